@@ -176,23 +176,35 @@ def hash_order(*parts: Column | str) -> Column:
 
 
 def first_by_hash(
-    df: DataFrame, keys: Sequence[str], digest: str, limit: Column, weight: Column | None = None
+    df: DataFrame,
+    keys: Sequence[str],
+    digest: str,
+    limit: Column,
+    weight: Column | None = None,
+    until_reached: bool = False,
 ) -> DataFrame:
-    """Rows whose running weight (in ``digest`` order, the row included) stays within ``limit``.
+    """Rows of each key whose running weight, in ``digest`` order, stays within ``limit``.
 
-    Buckets of the digest's first three hex digits are totalled first; then a row's own bucket, a
-    4096th of the group, is ranked. ``limit`` may use the key's columns.
+    With ``until_reached`` rows are kept until the weight reaches the limit, and none after. The
+    limit may use ``_n``, the key's total weight. Buckets of the digest's first three hex digits
+    are totalled first; then a row's own bucket, a 4096th of the group, is ranked.
     """
     keys = list(keys)
     tagged = df.withColumn("_bucket", F.conv(F.substring(digest, 1, 3), 16, 10).cast("int"))
     tagged = tagged.withColumn("_w", (weight if weight is not None else F.lit(1)).cast("long"))
-    ahead = Window.partitionBy(*keys).orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    whole = Window.partitionBy(*keys)
+    ahead = whole.orderBy("_bucket").rowsBetween(Window.unboundedPreceding, -1)
     totals = tagged.groupBy(*keys, "_bucket").agg(F.sum("_w").alias("_total"))
     totals = totals.withColumn("_ahead", F.coalesce(F.sum("_total").over(ahead), F.lit(0)))
+    totals = totals.withColumn("_n", F.sum("_total").over(whole)).withColumn("_limit", limit)
     joined = tagged.alias("d").join(totals.alias("t"), _same([*keys, "_bucket"], "d", "t"))
-    joined = joined.select("d.*", "_ahead").where(F.col("_ahead") <= limit)
+    joined = joined.select("d.*", "_ahead", "_limit").where(F.col("_ahead") <= F.col("_limit"))
     within = Window.partitionBy(*keys, "_bucket").orderBy(digest).rowsBetween(
         Window.unboundedPreceding, 0
     )
-    kept = joined.withColumn("_seen", F.col("_ahead") + F.sum("_w").over(within))
-    return kept.where(F.col("_seen") <= limit).drop("_bucket", "_w", "_ahead", "_seen")
+    seen = joined.withColumn("_seen", F.col("_ahead") + F.sum("_w").over(within))
+    if until_reached:
+        seen = seen.where(F.col("_seen") - F.col("_w") < F.col("_limit"))
+    else:
+        seen = seen.where(F.col("_seen") <= F.col("_limit"))
+    return seen.drop("_bucket", "_w", "_ahead", "_seen", "_limit")

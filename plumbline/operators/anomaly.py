@@ -201,7 +201,10 @@ def judge(
     on a verdict would otherwise be pushed down as a copy of every expression behind it.
     """
     chosen = detectors_by_name(detectors)
-    judged = judgements.withColumn("observation", finite(F.col("history"), F.col("observation")))
+    # Written first as well: the observations are a union, and each branch would otherwise get and
+    # compile its own copy of the detectors.
+    judged = cut(judgements)
+    judged = judged.withColumn("observation", finite(F.col("history"), F.col("observation")))
     for detector in chosen.values():
         judged = detector(judged)
     judged = judged.withColumn("detections", F.array(*chosen)).drop(*chosen)

@@ -1,6 +1,6 @@
 """Imports every module that registers queries."""
 
-from . import workload  # noqa: F401
+from . import quality, workload  # noqa: F401
 from .registry import ORACLES, QUERIES
 
 __all__ = ["ORACLES", "QUERIES"]
