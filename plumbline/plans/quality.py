@@ -680,12 +680,10 @@ def leave_one_out(t: Tables) -> DataFrame:
 
 @query(
     "total_variation",
-    """WITH p AS (SELECT k, v, n / sum(n) OVER (PARTITION BY k) AS s FROM (SELECT l_returnflag AS k, l_linenumber AS v, count(*) AS n
-          FROM lineitem WHERE l_linestatus = 'O' GROUP BY ALL),
-        q AS (SELECT k, v, n / sum(n) OVER (PARTITION BY k) AS s FROM (SELECT l_returnflag AS k, l_linenumber AS v, count(*) AS n
-          FROM lineitem WHERE l_linestatus = 'F' AND l_quantity < 25 GROUP BY ALL)
-       SELECT coalesce(p.k, q.k) AS "table", round(sum(abs(coalesce(p.s, 0) - coalesce(q.s, 0))) / 2, 9) AS distance
-       FROM p FULL JOIN q ON p.k = q.k AND p.v = q.v GROUP BY 1""",
+    """WITH n AS (SELECT l_returnflag AS k, l_linenumber AS v, count(*) FILTER (WHERE l_linestatus = 'O') AS a,
+          count(*) FILTER (WHERE l_linestatus = 'F' AND l_quantity < 25) AS b FROM lineitem GROUP BY ALL),
+        s AS (SELECT k, v, a / sum(a) OVER (PARTITION BY k) AS p, b / sum(b) OVER (PARTITION BY k) AS q FROM n)
+       SELECT k AS "table", round(sum(abs(p - q)) / 2, 9) AS distance FROM s GROUP BY k""",
 )
 def total_variation(t: Tables) -> DataFrame:
     def mix(rows: DataFrame) -> DataFrame:
