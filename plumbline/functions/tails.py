@@ -12,6 +12,7 @@ from statistics import NormalDist
 import numpy as np
 import pandas as pd
 from pyspark.sql import functions as F
+from pyspark.sql.types import DoubleType
 
 
 @lru_cache(maxsize=4096)
@@ -101,21 +102,21 @@ def t_quantile(p: float, df: int) -> float:
     return (low + high) / 2
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def binomial_p(k: pd.Series, n: pd.Series) -> pd.Series:
     return pd.Series([binomial_two_sided(int(a), int(b)) for a, b in zip(k, n)])
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def fisher_p(a: pd.Series, b: pd.Series, c: pd.Series, d: pd.Series) -> pd.Series:
     return pd.Series([hypergeometric_two_sided(*(int(x) for x in row)) for row in zip(a, b, c, d)])
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def signed_rank_p(w: pd.Series, n: pd.Series, ties: pd.Series) -> pd.Series:
     return pd.Series([signed_rank_two_sided(float(x), int(y), float(z)) if y > 0 else 1.0 for x, y, z in zip(w, n, ties)])
 
 
-@F.pandas_udf("double")
+@F.pandas_udf(DoubleType())
 def t_975(df: pd.Series) -> pd.Series:
     return pd.Series([t_quantile(0.975, int(x)) if x >= 1 else float("nan") for x in df])

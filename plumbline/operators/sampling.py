@@ -27,12 +27,13 @@ def corrupt(
 
 
 def corrupt_groups(
-    df: DataFrame, name: str, row_id: str, order: Sequence[Column], salt: str, threshold: int,
+    df: DataFrame, name: str, row_id: str, order: Sequence[str], salt: str, threshold: int,
     where: Column, size: int = 3, value=None,
 ) -> DataFrame:
     """Gives runs of ``size`` consecutive chosen rows one common value, taken from the run's first
     id (``value`` maps that id to the value)."""
-    recent = positions(df.where(where).select(row_id, *order), [], [*order], "_p")
+    needed = dict.fromkeys([row_id, *order])
+    recent = positions(df.where(where).select(*needed), [], [F.col(c).asc() for c in order], "_p")
     grouped = recent.select(row_id, F.floor((F.col("_p") - 1) / size).alias("_group"))
     heads = grouped.groupBy("_group").agg(F.min(row_id).alias("_head"))
     heads = heads.where(pick("_head", salt) < threshold)

@@ -16,6 +16,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.exprs import f1, normal_identifier, normal_path, ratio, route_pattern
+from ..session import cut
 
 #: Problem type -> category, in report order.
 PROBLEM_CATEGORY = {
@@ -254,14 +255,15 @@ def score(findings: DataFrame, entries: DataFrame) -> dict[str, DataFrame]:
     places, contents = _places(entries), _contents(findings)
     neighbours = _edges(places, contents).groupBy(*key, "finding").agg(F.array_sort(F.collect_set("place")).alias("places"))
     signed = neighbours.withColumn("signature", F.sha2(F.concat_ws(",", "app", "problem_type", F.col("places").cast("array<string>")), 256))
-    found = contents.join(signed.select("finding", "signature", "places"), "finding", "left")
+    # Written once: read for the classes, for the choice within each class and for the outcome.
+    found = cut(contents.drop("evidence").join(signed.select("finding", "signature", "places"), "finding", "left"))
     first = F.min(F.concat_ws("\0", "_path", F.lpad(F.col("line").cast("string"), 12, "0"), "rule_id", "fingerprint"))
     classes = found.where(F.col("signature").isNotNull()).groupBy(*key, "signature").agg(
         F.sum("n").alias("capacity"), first.alias("first"), F.first("places").alias("places")
     )
     expanded = classes.select(*key, "signature", "capacity", "first", F.explode("places").alias("place"))
     expanded = expanded.join(places.select("place", F.explode("ids").alias("entry_id")), "place").drop("place")
-    matching = maximum_matching(expanded)
+    matching = cut(maximum_matching(expanded))
     taken = matching.groupBy("signature").agg(
         F.count(F.lit(1)).alias("wanted"), F.array_sort(F.collect_list("entry_id")).alias("entry_ids")
     )
@@ -278,7 +280,7 @@ def score(findings: DataFrame, entries: DataFrame) -> dict[str, DataFrame]:
     pairs = chosen.withColumn("i", F.explode(F.sequence(F.lit(0), F.col("matched") - 1)))
     matches = pairs.join(taken.select("signature", "entry_ids"), "signature").select(
         "finding", F.get("entry_ids", (F.col("position") + F.col("i")).cast("int")).alias("entry_id")
-    ).join(contents.select("finding", "app", "problem_type", "rule_id", "file", "line", "fingerprint", "confidence"), "finding")
+    ).join(found.select("finding", "app", "problem_type", "rule_id", "file", "line", "fingerprint", "confidence"), "finding")
     hit = matching.select("app", F.col("entry_id").alias("id")).withColumn("_hit", F.lit(True))
     judged = entries.select("app", "problem_type", "id").join(hit, ["app", "id"], "left")
     return {

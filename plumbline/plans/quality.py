@@ -501,7 +501,7 @@ def corrupted_events(t: Tables) -> DataFrame:
     df = t.events.select("event_id", "ts", "user_id", "event_type", "value")
     df = sampling.corrupt(df, "user_id", "event_id", ":user", 166, F.lit(None), recent)
     df = sampling.corrupt(df, "event_type", "event_id", ":type", 180, F.lit("error"), recent)
-    return sampling.corrupt_groups(df, "value", "event_id", [F.col("ts"), F.col("event_id")], ":retry", 230, recent)
+    return sampling.corrupt_groups(df, "value", "event_id", ["ts", "event_id"], ":retry", 230, recent)
 
 
 @query("corrupt_events", f"SELECT * FROM {_SQL_CORRUPT}")

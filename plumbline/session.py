@@ -40,7 +40,7 @@ def build_session(
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The shared folder for checkpoints, stream state and intermediate tables."""
+    """The shared folder for stream state and intermediate tables."""
     context = spark.sparkContext
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
@@ -62,7 +62,11 @@ def fresh_path(spark: SparkSession, name: str) -> str:
 
 
 def cut(df: DataFrame) -> DataFrame:
-    """Materialises ``df`` in the shared folder, so later steps all see the same rows and a lost
-    executor costs a re-read, not a recomputation."""
-    shared_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    """Writes ``df`` once as a table in the shared folder and returns the table.
+
+    Later steps all see the same rows, read only the columns they need and know the table's size; a
+    lost executor costs a re-read, not a recomputation.
+    """
+    path = fresh_path(df.sparkSession, "step")
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
