@@ -13,6 +13,7 @@ from ..functions import exprs
 from ..functions.exprs import pick
 from ..operators import correlate as corr
 from ..operators import scoring, stats
+from ..session import cut
 from ..sources.tables import Tables
 from .quality import sql_pick
 from .registry import query
@@ -77,7 +78,7 @@ def _layer_findings(t: Tables) -> DataFrame:
         t.customer.where(F.col("c_mktsegment") == "BUILDING"), F.lit(corr.ORPHANED_FOREIGN_KEY), F.lit("schema.json"), F.col("c_custkey"),
         F.when(F.col("c_acctbal") > 5000, "HIGH").otherwise("LOW"), print_of("o", "c_custkey"), F.array(_item("DATA_QUALITY", orphaned)),
     )
-    return static.unionByName(index).unionByName(runtime).unionByName(orphans)
+    return cut(static.unionByName(index).unionByName(runtime).unionByName(orphans))
 
 
 def _layer_catalog(t: Tables) -> dict[str, DataFrame]:
