@@ -18,8 +18,9 @@ from ..session import cut
 ACCURACY = 10_000
 #: Groups up to this size are ranked whole; larger ones only around the wanted rank.
 WHOLE_GROUP = 100_000
-#: Value ranges a group is split into for running totals.
-RANGES = 256
+#: Value ranges a group is split into for running totals: STEP blocks of STEP ranges.
+STEP = 16
+RANGES = STEP * STEP
 
 
 def _same(keys: Sequence[str], left: str, right: str) -> Column:
@@ -121,9 +122,12 @@ def running_totals(
         tagged = df.alias("d").join(bounds.alias("s"), _same(keys, "d", "s")).select("d.*", "_b")
     else:
         tagged = df.withColumn("_b", bounds.select("_b").scalar())
-    tagged = tagged.withColumn(
-        "_range", F.size(F.filter("_b", lambda x: x < F.col(order).cast("double")))
-    ).drop("_b")
+    # Find the block by its last bound first, then the range within it.
+    below = lambda bounds: F.size(F.filter(bounds, lambda x: x < F.col(order).cast("double")))
+    ends = F.transform(F.sequence(F.lit(STEP - 1), F.lit(RANGES - 2), F.lit(STEP)), lambda i: F.get("_b", i))
+    tagged = tagged.withColumn("_block", below(ends) * STEP)
+    inner = F.slice("_b", F.col("_block") + 1, STEP - 1)
+    tagged = tagged.withColumn("_range", F.col("_block") + below(inner)).drop("_b", "_block")
     ahead = Window.partitionBy(*keys).orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
     totals = tagged.groupBy(*keys, "_range").agg(*[F.sum(w).alias(w) for w in weights])
     totals = totals.select(

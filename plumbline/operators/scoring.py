@@ -11,6 +11,8 @@ ground truth, not the number of findings, and no pair list of a busy place is ev
 from __future__ import annotations
 
 
+from collections import deque
+
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -198,27 +200,31 @@ def _assign(group: pd.DataFrame) -> pd.DataFrame:
         options.setdefault(entry, []).append(signature)
     for listed in options.values():
         listed.sort(key=lambda s: (first[s], s))
-    holders: dict[str, list[str]] = {s: [] for s in capacity}
+    holders: dict[str, set[str]] = {s: set() for s in capacity}
+    held: dict[str, str] = {}
+    closed: set[str] = set()  # classes a failed search went through: no later entry can gain from them
     for entry in sorted(options):
         reached_by: dict[str, str] = {}
-        frontier, free = [entry], None
+        frontier, free = deque([entry]), None
         while frontier and free is None:
-            current = frontier.pop(0)
+            current = frontier.popleft()
             for signature in options[current]:
-                if signature in reached_by:
+                if signature in reached_by or signature in closed:
                     continue
                 reached_by[signature] = current
                 if len(holders[signature]) < capacity[signature]:
                     free = signature
                     break
-                frontier.extend(holders[signature])
-        held = {e: s for s, es in holders.items() for e in es} if free is not None else {}
+                frontier.extend(sorted(holders[signature]))
+        if free is None:
+            closed.update(reached_by)
         while free is not None:
             mover = reached_by[free]
             left = held.get(mover)
             if left is not None:
                 holders[left].remove(mover)
-            holders[free].append(mover)
+            holders[free].add(mover)
+            held[mover] = free
             free = left
     rows = [(s, e) for s, entries in holders.items() for e in entries]
     result = pd.DataFrame(rows, columns=["signature", "entry_id"])

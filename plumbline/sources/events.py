@@ -8,7 +8,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.exprs import fingerprint, query_shape
+from ..functions.exprs import query_shape, shape_id
 from ..schemas import OPERATION_EVENT
 
 #: Fixed value: the only schema version understood.
@@ -58,9 +58,10 @@ def explode_statements(events: DataFrame) -> DataFrame:
         F.col("operationId").alias("operation_id"), "app", F.col("requestId").alias("request_id"), "route", "model",
         "operation", F.col("startedAt").alias("started_at"), F.posexplode("statements").alias("position", "s"),
     )
+    rows = rows.withColumn("normalized_sql", query_shape("s.sql"))
     return rows.select(
         "operation_id", "app", "request_id", "route", "model", "operation", "started_at", "position", "s.sql",
-        fingerprint("s.sql").alias("fingerprint"), query_shape("s.sql").alias("normalized_sql"),
+        shape_id("normalized_sql").alias("fingerprint"), "normalized_sql",
         F.col("s.paramCount").alias("param_count"), "s.kind", F.col("s.durationMs").alias("duration_ms"), "s.rows",
     )
 

@@ -89,9 +89,9 @@ def own_files(df: DataFrame, path: str = "path") -> DataFrame:
 
 def sql_files(spark: SparkSession, root: str, pattern: str = "*.sql") -> DataFrame:
     """(path, text) of the SQL files below ``root``, path relative to it."""
-    reader = spark.read.option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", pattern)
+    reader = spark.read.option("recursiveFileLookup", True).option("pathGlobFilter", pattern)
     prefix = f"^(?:file:)?/*{re.escape(root.strip('/'))}/"
-    files = reader.text(root).select(
+    files = reader.text(root, wholetext=True).select(
         F.regexp_replace(F.col("_metadata.file_path"), prefix, "").alias("path"), F.col("value").alias("text")
     )
     return own_files(files)
