@@ -778,3 +778,50 @@ def study_set(t: Tables) -> DataFrame:
 )
 def stratified_sample(t: Tables) -> DataFrame:
     return sampling.stratified_sample(t.documents, ["lang"], "doc_id").select("lang", "doc_id")
+
+
+@query(
+    "models_named",
+    """SELECT event_id, CASE WHEN event_type = 'view' THEN ['view', 'u', 'Log'] ELSE [event_type, 'Log'] END AS models FROM events""",
+)
+def models_named(t: Tables) -> DataFrame:
+    item = lambda data: F.struct(F.lit("SQL").alias("source"), F.lit("d").alias("description"), F.lit(None).cast("string").alias("file"),
+                                 F.lit(None).cast("int").alias("line"), data.alias("data"))
+    first = F.to_json(F.struct(F.col("event_type").alias("model"), F.when(F.col("event_type") == "view", F.array(F.lit("view"), F.lit("u"))).alias("models")))
+    rows = t.events.select("event_id", F.array(item(first), item(F.lit(None).cast("string")), item(F.lit('{"model": "Log"}'))).alias("evidence"))
+    return rows.select("event_id", exprs.models_named("evidence").alias("models"))
+
+
+@query("evidence_hash", "SELECT count(DISTINCT (user_id, event_type)) AS hashes, count(*) AS findings FROM events")
+def evidence_hash(t: Tables) -> DataFrame:
+    """The order of an object's keys does not change the hash."""
+    ab = F.to_json(F.struct(F.col("user_id").alias("a"), F.col("event_type").alias("b")))
+    ba = F.to_json(F.struct(F.col("event_type").alias("b"), F.col("user_id").alias("a")))
+    item = F.struct(F.lit("SQL").alias("source"), F.lit("d").alias("description"), F.lit(None).cast("string").alias("file"),
+                    F.lit(None).cast("int").alias("line"), F.when(F.col("event_id") % 2 == 0, ab).otherwise(ba).alias("data"))
+    hashed = t.events.select(exprs.evidence_hash(F.array(item)).alias("h")).groupBy("h").agg(F.count(F.lit(1)).alias("n"))
+    return hashed.agg(F.count(F.lit(1)).alias("hashes"), F.sum("n").alias("findings"))
+
+
+@query("sql_functions", f"SELECT {sql_pick('c_custkey', ':s')} AS p, count(*) AS n FROM customer GROUP BY 1")
+def sql_functions(t: Tables) -> DataFrame:
+    exprs.register(t.spark)
+    return t.customer.groupBy(F.expr("pick(CAST(c_custkey AS STRING), ':s')").alias("p")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("latest_experiment", "SELECT user_id % 10 AS r, count(*) AS n FROM events WHERE event_type = 'view' GROUP BY 1")
+def latest_experiment(t: Tables) -> DataFrame:
+    """Raw rows of two experiments; the newest is read back and only then counted."""
+    path = fresh_path(t.spark, "results")
+    files.append_results(t.events.where("event_type = 'error'"), path, "2024-01")
+    files.append_results(t.events.where("event_type = 'view'"), path, "2024-02")
+    rows = files.latest_experiment(t.spark, path)
+    return rows.groupBy((F.col("user_id") % 10).alias("r")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(
+    "url_route",
+    "SELECT p_partkey, '/p/' || replace(replace(p_name, '/', '%2F'), ' ', '+') || '/%23' || p_size AS url FROM part",
+)
+def url_route(t: Tables) -> DataFrame:
+    return t.part.select("p_partkey", exprs.url_route(F.concat(F.lit("/p/"), "p_name", F.lit("/#"), "p_size")).alias("url"))

@@ -66,6 +66,17 @@ def parse_findings(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
     return findings, parsed.where(~good).select("value")
 
 
+def append_results(df: DataFrame, path: str, experiment: str) -> None:
+    """Appends raw per-run rows under their experiment; nothing is aggregated or overwritten."""
+    df.withColumn("experiment", F.lit(experiment)).write.mode("append").partitionBy("experiment").parquet(path)
+
+
+def latest_experiment(spark: SparkSession, path: str) -> DataFrame:
+    """Rows of the newest experiment (experiments are named so that later ones sort last)."""
+    rows = spark.read.parquet(path)
+    return rows.where(F.col("experiment") == rows.agg(F.max("experiment")).scalar())
+
+
 def csv_lines(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     """One CSV line per row (column ``value``), fields quoted only where needed."""
     return df.select(F.concat_ws(",", *[csv_field(c) for c in columns]).alias("value"))
