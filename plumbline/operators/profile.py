@@ -83,9 +83,9 @@ def _in_windows(df: DataFrame, ts: str, windows: Sequence[Window]) -> DataFrame:
         for i, w in enumerate(windows)
     )
     if regular:
-        seconds = int(width.total_seconds())
-        index = F.floor(F.timestamp_diff("MICROSECOND", F.lit(first), moment) / F.lit(seconds * 1_000_000))
-        start = F.timestamp_add("SECOND", (index * F.lit(seconds)).cast("bigint"), F.lit(first))
+        passed = F.timestamp_diff("MICROSECOND", F.lit(first), moment)
+        length = F.lit(int(width / timedelta(microseconds=1)))
+        start = F.timestamp_add("MICROSECOND", passed - F.pmod(passed, length), F.lit(first))
         return bounded.withColumn("window_start", start.cast("timestamp_ntz"))
     return bounded.withColumn("window_start", F.explode(window_start_of(moment, windows)))
 

@@ -14,7 +14,7 @@ from pyspark.sql import functions as F
 from ..functions import exprs
 from ..functions.exprs import pick
 from ..operators import behaviour, loadruns, sampling, scans
-from ..session import fresh_path
+from ..session import cut, fresh_path
 from ..sources import events as ev
 from ..sources import files
 from ..sources.tables import Tables
@@ -62,6 +62,11 @@ def _statements(t: Tables) -> DataFrame:
     return ev.explode_statements(nested_events(t))
 
 
+def _stored_statements(t: Tables) -> DataFrame:
+    """The statements as an event store keeps them: shaped once, on the way in."""
+    return cut(_statements(t))
+
+
 def _operations(t: Tables) -> DataFrame:
     return ev.operations(nested_events(t))
 
@@ -218,7 +223,7 @@ def n_plus_one(t: Tables) -> DataFrame:
       FROM n1 JOIN m USING (fp)""",
 )
 def n_plus_one_findings(t: Tables) -> DataFrame:
-    statements = _statements(t)
+    statements = _stored_statements(t)
     detected = behaviour.n_plus_one(statements, _operations(t))
     found = behaviour.n_plus_one_findings(detected, behaviour.shape_representative(statements))
     return found.select("file", "title", "fingerprint", "confidence")
@@ -268,7 +273,7 @@ _SQL_STATS = f"""WITH {_SQL_STATEMENTS}, s AS (SELECT fp AS fingerprint, any_val
 
 
 def _stats(t: Tables) -> DataFrame:
-    stats = behaviour.shape_stats(_statements(t))
+    stats = behaviour.shape_stats(_stored_statements(t))
     return stats.withColumns({"mean_ms": F.round("mean_ms", 6), "p95_ms": F.round("p95_ms", 6), "total_ms": F.round("total_ms", 2)})
 
 
@@ -444,7 +449,7 @@ def csv_lines(t: Tables) -> DataFrame:
 )
 def findings_json(t: Tables) -> DataFrame:
     """Findings written as JSON and read back: nothing rejected, nothing changed."""
-    statements = _statements(t)
+    statements = _stored_statements(t)
     found = behaviour.n_plus_one_findings(behaviour.n_plus_one(statements, _operations(t)), behaviour.shape_representative(statements))
     lines = files.findings_json(found)
     back, rejected = files.parse_findings(lines)
