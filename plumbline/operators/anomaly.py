@@ -550,7 +550,7 @@ def _walk_forward(min_history: int) -> Callable[[pd.DataFrame], pd.DataFrame]:
             out["window_index"].append(int(i))
             out["observation"].append(abs(round(own, DIGITS)))
             out["history"].append([abs(round(float(d), DIGITS)) for d in 0.5 * (1 + away)])
-        return pd.DataFrame(out)
+        return pd.DataFrame(out, dtype=object)  # an empty list column must not become a number column
 
     return run
 

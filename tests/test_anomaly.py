@@ -143,6 +143,12 @@ def test_walk_forward_equals_exact_rationals(spark):
             assert row["history"][j] == pytest.approx(exact_distance(exact_shares(w), exact_mean(others)), abs=1e-11)
 
 
+def test_walk_forward_without_enough_history_is_empty(spark):
+    windows = [{"a": 1, "b": 2}] + [None] * 5 + [{"a": 2}]
+    observed = anomaly.walk_forward_observations(profiles(spark, windows), frame(spark, windows))
+    assert observed.where("metric = 'distribution_shift'").collect() == []
+
+
 def test_explanation_breaks_ties_by_name(spark):
     explained = anomaly.explain(frame(spark, [{"x": 1, "a": 1}]), frame(spark, [{"x": 3, "a": 1}])).collect()[0]["explanation"]
     assert [(e["value"], e["baseline_share"], e["current_share"]) for e in explained] == [("a", 0.5, 0.25), ("x", 0.5, 0.75)]
