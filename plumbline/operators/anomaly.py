@@ -15,7 +15,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions.exprs import digest
+from ..functions.exprs import clock, digest
 from ..session import cut
 
 #: Method parameters of the detectors.
@@ -328,7 +328,7 @@ def observations(
     The null rate is judged for every column; a column whose baseline ever carried a distribution
     is judged on its shift, any other on its duplicate rate. The default window is the latest.
     """
-    start = current.agg(F.max("window_start")).scalar() if window_start is None else F.lit(window_start)
+    start = current.agg(F.max("window_start")).scalar() if window_start is None else clock(window_start)
     now = current.where(F.col("window_start") == start)
     now_categories = current_categories.where(F.col("window_start") == start)
     if history_before_window:

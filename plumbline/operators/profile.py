@@ -15,7 +15,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.exprs import ratio
+from ..functions.exprs import clock, ratio, time_literal, utc_session
 from ..session import cut
 from ..sources.tables import BOOKKEEPING_TABLES
 
@@ -65,7 +65,7 @@ def window_start_of(ts: Column, windows: Sequence[Window]) -> Column:
         if start >= end:
             raise ValueError("window start must be before its end")
     holding = [
-        F.when((ts >= F.lit(start)) & (ts < F.lit(end)), F.lit(start)) for start, end in windows
+        F.when((ts >= clock(start)) & (ts < clock(end)), clock(start)) for start, end in windows
     ]
     return F.array_compact(F.array(*holding))
 
@@ -76,16 +76,18 @@ def _in_windows(df: DataFrame, ts: str, windows: Sequence[Window]) -> DataFrame:
     if isinstance(df.schema[ts].dataType, T.TimestampType):
         moment = F.to_utc_timestamp(moment, F.current_timezone()).cast("timestamp_ntz")
     first, last = min(w[0] for w in windows), max(w[1] for w in windows)
-    bounded = df.where((F.col(ts) >= F.lit(first)) & (F.col(ts) < F.lit(last)))
+    kind = df.schema[ts].dataType
+    bounded = df.where((F.col(ts) >= time_literal(first, kind)) & (F.col(ts) < time_literal(last, kind)))
     width = windows[0][1] - windows[0][0]
     regular = all(
         w == (windows[0][0] + width * i, windows[0][0] + width * (i + 1))
         for i, w in enumerate(windows)
     )
-    if regular:
-        passed = F.timestamp_diff("MICROSECOND", F.lit(first), moment)
+    # Spark's timestamp arithmetic follows the session's zone; comparisons of naive times do not.
+    if regular and utc_session(df.sparkSession):
+        passed = F.timestamp_diff("MICROSECOND", clock(first), moment)
         length = F.lit(int(width / timedelta(microseconds=1)))
-        start = F.timestamp_add("MICROSECOND", passed - F.pmod(passed, length), F.lit(first))
+        start = F.timestamp_add("MICROSECOND", passed - F.pmod(passed, length), clock(first))
         return bounded.withColumn("window_start", start.cast("timestamp_ntz"))
     return bounded.withColumn("window_start", F.explode(window_start_of(moment, windows)))
 

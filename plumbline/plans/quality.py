@@ -11,7 +11,7 @@ from datetime import datetime
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.exprs import pick
+from ..functions.exprs import clock, pick
 from ..operators import anomaly, contract, integrity, profile, sampling
 from ..session import fresh_path
 from ..sources import profile_store
@@ -497,7 +497,7 @@ _SQL_CORRUPT = f"""(WITH r AS (SELECT event_id, (row_number() OVER (ORDER BY ts,
 
 def corrupted_events(t: Tables) -> DataFrame:
     """Events whose last day lost user ids, repeats values and drifted towards one type."""
-    recent = F.col("ts") >= F.lit(LAST_DAY)
+    recent = F.col("ts") >= clock(LAST_DAY)
     df = t.events.select("event_id", "ts", "user_id", "event_type", "value")
     df = sampling.corrupt(df, "user_id", "event_id", ":user", 166, F.lit(None), recent)
     df = sampling.corrupt(df, "event_type", "event_id", ":type", 180, F.lit("error"), recent)

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from ..functions.exprs import utc_session
 from ..operators import anomaly, behaviour, profile
 from ..session import fresh_path
 from ..sources import events as ev
@@ -28,8 +29,8 @@ def stream_table(spark: SparkSession, path: str, files_per_trigger: int | None =
 def event_time(df: DataFrame, ts: str, watermark: str) -> DataFrame:
     """Sets the watermark; a time without zone is read as UTC, because watermarks need an instant."""
     if isinstance(df.schema[ts].dataType, T.TimestampNTZType):
-        epoch = F.lit("1970-01-01").cast("timestamp_ntz")
-        df = df.withColumn(ts, F.timestamp_micros(F.timestamp_diff("MICROSECOND", epoch, F.col(ts))))
+        named = F.to_timestamp(F.concat(F.col(ts).cast("string"), F.lit("Z")))
+        df = df.withColumn(ts, F.col(ts).cast("timestamp") if utc_session(df.sparkSession) else named)
     return df.withWatermark(ts, watermark)
 
 
