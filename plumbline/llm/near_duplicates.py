@@ -6,7 +6,8 @@ compared with a hub first, so a bucket with a large group costs one pair per mem
 linked are finished, and what is left is compared member by member across components. A pair's signatures are compared
 batch by batch: with m of n hashes equal and a uniform prior, the similarity has a Beta(m + 1, n - m + 1) posterior,
 and the pair is dropped as soon as the probability of a similarity at the threshold falls below ``miss``. Survivors
-are confirmed on their full shingle sets.
+are confirmed on their full shingle sets. Crowded buckets that hubs do not finish are compared on full sets in cells of
+bounded size, which report only the links that join components.
 
 Defined results: NULL or empty text has no shingles and links with nothing. A row without an id takes no part
 (component_id NULL, kept true). Repeated rows are members of one class. Ties go to the smaller id. An empty table gives
@@ -32,8 +33,11 @@ from .frames import components, id_and_text
 BANDS, ROWS = 25, 5
 #: Probability of losing a true pair in the sequential comparison, and hashes per batch.
 MISS, BATCH = 1e-6, 25
-#: Rounds with hubs go on while more cross pairs than this are left for each row of the buckets.
-PAIRS_PER_ROW = 2.0
+#: Rounds with hubs go on while each leaves at most this share of the cross pairs that were left before.
+PROGRESS = 0.8
+#: Members of a bucket that is compared pair by pair in the end; larger ones are compared in cells of two blocks of
+#: about CELL members, SLICE shingles at a time.
+SMALL, CELL, SLICE = 32, 512, 4096
 
 _LOWER = np.arange(256, dtype=np.uint8)
 _LOWER[65:91] += 32
@@ -157,9 +161,8 @@ def _likely(pairs: DataFrame, sigs: DataFrame, threshold: float, miss: float) ->
     return near.select("a", "b", "sig_a", "sig_b").mapInArrow(work, "a long, b long")
 
 
-def _confirmed(pairs: DataFrame, docs: DataFrame, reps: DataFrame, words: int, threshold: float) -> DataFrame:
-    """The pairs whose full shingle sets are at least ``threshold`` similar."""
-    share = round(threshold * 100)
+def _full_sets(needed: DataFrame, docs: DataFrame, reps: DataFrame, words: int) -> DataFrame:
+    """(rep, shingles): the sorted shingle hashes of the classes ``needed`` (rep), computed from their texts again."""
 
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         spans = Spans()
@@ -177,6 +180,16 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, reps: DataFrame, words: int, t
                     names=["rep", "k1", "shingles"],
                 )
 
+    ids = needed.select(F.col("rep").alias("doc_id"))
+    found = id_and_text(docs).join(ids, "doc_id", "left_semi").mapInArrow(sets, "rep long, k1 long, shingles binary")
+    # An id that is repeated with other texts gives several sets; the class digest tells which one is meant.
+    return cut(found.join(reps.select("rep", "k1"), ["rep", "k1"], "left_semi").dropDuplicates(["rep"]).select("rep", "shingles"))
+
+
+def _confirmed(pairs: DataFrame, docs: DataFrame, reps: DataFrame, words: int, threshold: float) -> DataFrame:
+    """The pairs whose full shingle sets are at least ``threshold`` similar."""
+    share = round(threshold * 100)
+
     def confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keep = []
@@ -187,16 +200,88 @@ def _confirmed(pairs: DataFrame, docs: DataFrame, reps: DataFrame, words: int, t
             mask = pa.array(keep, pa.bool_())
             yield pa.RecordBatch.from_arrays([batch.column(i).filter(mask) for i in (0, 1)], names=["a", "b"])
 
-    needed = pairs.select(F.col("a").alias("doc_id")).union(pairs.select("b")).distinct()
-    texts = id_and_text(docs).join(needed, "doc_id", "left_semi").mapInArrow(sets, "rep long, k1 long, shingles binary")
-    # An id that is repeated with other texts gives several sets; the class digest tells which one is meant.
-    texts = cut(texts.join(reps.select("rep", "k1"), ["rep", "k1"], "left_semi").dropDuplicates(["rep"]))
+    needed = pairs.select(F.col("a").alias("rep")).union(pairs.select("b")).distinct()
+    texts = _full_sets(needed, docs, reps, words)
     left = texts.select(F.col("rep").alias("a"), F.col("shingles").alias("x"))
     right = texts.select(F.col("rep").alias("b"), F.col("shingles").alias("y"))
     joined = pairs.join(left, "a").join(right, "b").select("a", "b", "x", "y")
     return joined.mapInArrow(confirm, "a long, b long")
 
 
+def similar_pairs(sets: list[np.ndarray], split: int, share: int) -> tuple[np.ndarray, np.ndarray]:
+    """Rows (i < split, j) with 100 * |i and j| >= share * |i or j|; j runs over all rows after i if split is len(sets).
+
+    Common shingles are counted by products of incidence matrices, a slice of the shingles at a time.
+    """
+    sizes = np.array([len(s) for s in sets], np.int64)
+    owner, values = np.repeat(np.arange(len(sets)), sizes), np.concatenate(sets)
+    kinds, kind, times = np.unique(values, return_inverse=True, return_counts=True)
+    # A shingle of one set is in no intersection.
+    shared = times[kind] > 1
+    number = np.cumsum(times > 1) - 1
+    owner, kind = owner[shared], number[kind[shared]]
+    low = 0 if split == len(sets) else split
+    common = np.zeros((split, len(sets) - low), np.float32)
+    order = np.argsort(kind, kind="stable")
+    owner, kind = owner[order], kind[order]
+    for start in range(0, int(kind[-1]) + 1 if len(kind) else 0, SLICE):
+        a, b = np.searchsorted(kind, (start, start + SLICE))
+        matrix = np.zeros((len(sets), SLICE), np.float32)
+        matrix[owner[a:b], kind[a:b] - start] = 1
+        common += matrix[:split] @ matrix[low:].T
+    union = sizes[:split, None] + sizes[None, low:] - common
+    left, right = np.nonzero((100 * common >= share * union) & (union > 0))
+    right = right + low
+    return left[left < right], right[left < right]
+
+
+def _crowded_links(members: DataFrame, sets: DataFrame, threshold: float) -> DataFrame:
+    """Links (a, b) that join different components of crowded groups.
+
+    ``members`` (rep, crowd, comp). Every member outside a crowd's largest component meets every other member of the
+    crowd in a cell of two blocks; a cell reports only links that join components it has not yet joined itself.
+    """
+    share = round(threshold * 100)
+    sizes = members.groupBy("crowd", "comp").agg(F.count(F.lit(1)).alias("c"))
+    main = sizes.groupBy("crowd").agg(F.max(F.struct("c", "comp"))["comp"].alias("main"), F.sum("c").alias("size"), F.max("c").alias("main_size"))
+    main = main.where("size > main_size").select(
+        "crowd", "main", F.ceil((F.col("size") - F.col("main_size")) / CELL).cast("int").alias("rests"),
+        F.ceil(F.col("main_size") / CELL).cast("int").alias("mains"),
+    )
+    placed = members.join(main, "crowd").withColumn("rest", F.col("comp") != F.col("main"))
+    block = F.pmod(F.xxhash64("rep"), F.when(F.col("rest"), F.col("rests")).otherwise(F.col("mains"))).cast("int")
+    placed = placed.withColumn("block", block)
+    upto = lambda n: F.sequence(F.lit(0), n - 1)
+    among = F.transform(upto(F.col("rests")), lambda j: F.struct(F.lit(0).alias("kind"), F.least("block", j).alias("p"), F.greatest("block", j).alias("q")))
+    against = F.transform(upto(F.col("mains")), lambda j: F.struct(F.lit(1).alias("kind"), F.col("block").alias("p"), j.alias("q")))
+    asked = F.transform(upto(F.col("rests")), lambda j: F.struct(F.lit(1).alias("kind"), j.alias("p"), F.col("block").alias("q")))
+    cells = F.when(F.col("rest"), F.concat(among, against)).otherwise(asked)
+    dealt = placed.select("rep", "comp", "crowd", "rest", F.explode(cells).alias("cell")).select("rep", "comp", "crowd", "rest", "cell.*")
+
+    def links(table: pa.Table) -> pa.Table:
+        rest = table["rest"].to_numpy()
+        order = np.lexsort((table["rep"].to_numpy(), ~rest))
+        reps, comps = table["rep"].to_numpy()[order], table["comp"].to_numpy()[order]
+        held = table["shingles"].combine_chunks()
+        sets = [np.frombuffer(held[int(i)].as_buffer(), np.uint64) for i in order]
+        parent: dict[int, int] = {}
+
+        def root(c: int) -> int:
+            while parent.get(c, c) != c:
+                c = parent[c]
+            return c
+
+        out = []
+        for i, j in zip(*similar_pairs(sets, int(rest.sum()), share)):
+            x, y = root(int(comps[i])), root(int(comps[j]))
+            if x != y:
+                parent[max(x, y)] = min(x, y)
+                out.append((int(reps[i]), int(reps[j])))
+        return pa.table({"a": pa.array([min(o) for o in out], pa.int64()), "b": pa.array([max(o) for o in out], pa.int64())})
+
+    return dealt.join(sets, "rep").groupBy("crowd", "kind", "p", "q").applyInArrow(links, "a long, b long").distinct()
+
+
 def near_duplicates(docs: DataFrame, words: int = 5, threshold: float = 0.8, miss: float = MISS) -> DataFrame:
     """(doc_id, n_shingles, component_id, kept, n_links): one row per document.
 
@@ -233,32 +318,43 @@ def near_duplicates(docs: DataFrame, words: int = 5, threshold: float = 0.8, mis
             F.count(F.lit(1)).alias("c"), F.min(F.struct(F.xxhash64("rep", F.lit(turn)).alias("h"), "rep")).alias("first")
         )
         state = parts.groupBy("bucket").agg(
-            F.count(F.lit(1)).alias("parts"), F.sum("c").alias("size"), F.max(F.struct("c", "comp")).alias("main"),
-            F.min("first")["rep"].alias("hub"),
+            F.count(F.lit(1)).alias("parts"), F.sum("c").alias("size"), F.max(F.struct("c", "first", "comp")).alias("main")
         ).where("parts > 1")
-        state = cut(state.select("bucket", "size", F.col("main.c").alias("main_size"), F.col("main.comp").alias("main"), "hub"))
+        state = cut(
+            state.select(
+                "bucket", "size", F.col("main.c").alias("main_size"), F.col("main.comp").alias("main"), F.col("main.first.rep").alias("hub")
+            )
+        )
         left = state.agg(F.sum((F.col("size") - F.col("main_size")) * F.col("size"))).first()[0] or 0
         if not left:
             break
-        exhaust = turn > 0 and (left <= PAIRS_PER_ROW * total or (before is not None and left > 0.7 * before))
+        exhaust = before is not None and left > PROGRESS * before
         before, turn = left, turn + 1
         active = placed.join(state, "bucket")
         if exhaust:
-            # Everything outside a bucket's largest component against every member of another component.
-            outside = active.where("comp <> main").select("bucket", F.col("rep").alias("x"), F.col("comp").alias("xc"))
-            pairs = active.join(outside, "bucket").where("comp <> xc and (comp = main or rep < x)").select(
+            # In a small bucket everything outside its largest component meets every member of another component.
+            small = active.where(F.col("size") <= SMALL)
+            outside = small.where("comp <> main").select("bucket", F.col("rep").alias("x"), F.col("comp").alias("xc"))
+            pairs = small.join(outside, "bucket").where("comp <> xc and (comp = main or rep < x)").select(
                 F.least("rep", "x").alias("a"), F.greatest("rep", "x").alias("b")
             )
         else:
-            hubs = active.where("rep <> hub").select("rep", "hub", "comp")
-            hub_comp = named.select(F.col("rep").alias("hub"), F.col("root").alias("hub_root"))
-            hubs = hubs.join(hub_comp, "hub", "left").where(F.col("comp") != F.coalesce("hub_root", "hub"))
             # At most one hub for each member and turn: most members are linked by the first one.
-            hubs = hubs.groupBy("rep").agg(F.min(F.struct(F.xxhash64("hub", F.lit(turn)).alias("h"), "hub"))["hub"].alias("hub"))
+            hubs = active.where("comp <> main").groupBy("rep").agg(
+                F.min(F.struct(F.xxhash64("hub", F.lit(turn)).alias("h"), "hub"))["hub"].alias("hub")
+            )
             pairs = hubs.select(F.least("rep", "hub").alias("a"), F.greatest("rep", "hub").alias("b"))
         pairs = cut(pairs.distinct().join(tested, ["a", "b"], "left_anti"))
         survivors = cut(_likely(pairs, reps, threshold, miss))
         found = cut(_confirmed(survivors, docs, reps, words, threshold)) if not survivors.isEmpty() else survivors
+        if exhaust:
+            # Large buckets overlap; what they connect is one crowd, compared in cells of bounded size.
+            large = active.where(F.col("size") > SMALL).select("bucket", "rep", "comp", "hub")
+            crowds = components(large.select(F.col("rep").alias("a"), F.col("hub").alias("b")))
+            members = cut(large.select("rep", "comp").distinct().join(crowds.select(F.col("node").alias("rep"), F.col("root").alias("crowd")), "rep"))
+            if not members.isEmpty():
+                sets = _full_sets(members.select("rep"), docs, reps, words)
+                found = found.unionByName(cut(_crowded_links(members, sets, threshold)))
         links = links.unionByName(found)
         if not found.isEmpty():
             labels = components(links)
