@@ -31,7 +31,7 @@ END = 1
 #: Bytes of text that one file takes about.
 FILE_BYTES = 64 << 20
 STRIPE_BYTES = 16 << 20
-REMEMBERED = 300_000
+REMEMBERED = 600_000
 SCHEMA = "doc_id long, part int, place long, n_tokens int, ids array<int>"
 
 
@@ -46,20 +46,44 @@ class Encoder:
         self.tokenizer.no_padding()
         self.tokenizer.no_truncation()
         self.find = re.compile(r"[^ \t\r\n]+").findall
-        self.known: dict[str, list[int]] = {}
+        self._forget()
 
-    def encode(self, texts: list[str]) -> list[list[int]]:
-        chunks = [self.find(t) for t in texts]
-        distinct = set().union(*chunks) if chunks else set()
-        fresh = distinct.difference(self.known)
-        if len(self.known) + len(fresh) > REMEMBERED:
-            self.known, fresh = {}, distinct
-        words = list(fresh)
+    def _forget(self) -> None:
+        self.known: dict[str, int] = {}
+        self.sizes, self.starts, self.ids = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int32)
+
+    def _learn(self, words: list[str]) -> None:
+        sizes, ids = [], []
         for first in range(0, len(words), 4096):
-            part = words[first : first + 4096]
-            self.known.update(zip(part, [e.ids for e in self.tokenizer.encode_batch_fast(part, add_special_tokens=False)]))
-        get = self.known.__getitem__
-        return [[i for chunk in map(get, own) for i in chunk] for own in chunks]
+            for found in self.tokenizer.encode_batch_fast(words[first : first + 4096], add_special_tokens=False):
+                own = found.ids
+                sizes.append(len(own))
+                ids += own
+        sizes = np.array(sizes, np.int64)
+        self.known.update(zip(words, range(len(self.known), len(self.known) + len(words))))
+        self.starts = np.append(self.starts, len(self.ids) + np.cumsum(sizes) - sizes)
+        self.sizes, self.ids = np.append(self.sizes, sizes), np.append(self.ids, np.array(ids, np.int32))
+
+    def encode(self, texts: list[str], end: int) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of all texts, each closed by ``end``, in one array, and the bounds of each text's ids."""
+        words, counts = [], np.zeros(len(texts), np.int64)
+        for i, text in enumerate(texts):
+            own = self.find(text)
+            counts[i] = len(own)
+            words += own
+        distinct = set(words)
+        fresh = distinct.difference(self.known)
+        if fresh and len(self.known) + len(fresh) > REMEMBERED:
+            self._forget()
+            fresh = distinct
+        if fresh:
+            self._learn(list(fresh))
+        index = np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))
+        sizes = self.sizes[index]
+        ends = np.cumsum(sizes)
+        source = np.arange(int(ends[-1]) if len(ends) else 0) - np.repeat(ends - sizes - self.starts[index], sizes)
+        bounds = np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(counts)])]
+        return np.insert(self.ids[source], bounds[1:], end), bounds + np.arange(len(texts) + 1)
 
 
 def write_tokens(docs: DataFrame, tokenizer: str, path: str, end: int = END, file_bytes: int = FILE_BYTES) -> str:
@@ -75,13 +99,11 @@ def write_tokens(docs: DataFrame, tokenizer: str, path: str, end: int = END, fil
         for batch in batches:
             texts = strings(batch.column(1))
             for first, last in text_chunks(texts):
-                ids = [own + [end] for own in encoder.encode(texts[first:last])]
-                sizes = np.array([len(own) for own in ids], np.int64)
-                bounds = np.concatenate([[0], np.cumsum(sizes)])
-                flat = np.fromiter((i for own in ids for i in own), np.int32, int(bounds[-1]))
+                flat, bounds = encoder.encode(texts[first:last], end)
+                sizes = np.diff(bounds)
                 yield pa.RecordBatch.from_arrays(
                     [
-                        batch.column(0).slice(first, last - first), pa.array(np.full(len(ids), part, np.int32)),
+                        batch.column(0).slice(first, last - first), pa.array(np.full(len(sizes), part, np.int32)),
                         pa.array(place + bounds[:-1]), pa.array(sizes.astype(np.int32)),
                         pa.ListArray.from_arrays(pa.array(bounds, pa.int32()), pa.array(flat)),
                     ],
