@@ -21,6 +21,22 @@ def fold_of(doc_id: Column, folds: int) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % folds
 
 
+#: Rows of one long that a semi join may broadcast (8 MB); the number is counted before.
+BROADCAST_ROWS = 1_000_000
+
+
+def only(rows: DataFrame, ids: DataFrame, key: str) -> DataFrame:
+    """The rows whose ``key`` is among the distinct ``ids`` (one column ``key``).
+
+    The ids are written once and counted: up to BROADCAST_ROWS they are broadcast, which spares a shuffle of the rows;
+    beyond that both sides are shuffled.
+    """
+    ids = cut(ids)
+    if ids.count() <= BROADCAST_ROWS:
+        ids = F.broadcast(ids)
+    return rows.join(ids, key, "left_semi")
+
+
 def packed(spark: SparkSession, value) -> Broadcast:
     """A bounded driver-side value for the tasks; they need no installed package to read it."""
     return spark.sparkContext.broadcast(cloudpickle.dumps(value))

@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from ..session import cut
 from .arrays import CHUNK, Spans, byte_rows, fold, row_chunks, word_spans
-from .frames import components, id_and_text
+from .frames import components, id_and_text, only
 
 #: Bands times rows hashes make a signature. A pair at similarity 0.8 shares no band with probability 5e-5.
 BANDS, ROWS = 25, 5
@@ -70,7 +70,7 @@ def _permutations(count: int) -> tuple[np.ndarray, np.ndarray]:
 def minhashes(sets: list[np.ndarray], count: int) -> np.ndarray:
     """Signatures of non-empty sets, one row each."""
     factors, flips = _permutations(count)
-    out = np.empty((len(sets), count), np.uint32)
+    out = np.empty((len(sets), count), np.uint16)
     sizes = np.array([len(s) for s in sets], np.int64)
     bounds = np.concatenate([[0], np.cumsum(sizes)])
     for first, last in row_chunks(bounds, 1 << 15):
@@ -80,7 +80,8 @@ def minhashes(sets: list[np.ndarray], count: int) -> np.ndarray:
         for i in range(count):
             np.bitwise_xor(values, flips[i], out=work)
             np.multiply(work, factors[i], out=work)
-            out[first:last, i] = np.minimum.reduceat(work, starts)
+            # The least value's low bits differ with probability 1 - 2**-16 where the least values do.
+            out[first:last, i] = np.minimum.reduceat(work, starts).astype(np.uint16)
     return out
 
 
@@ -97,23 +98,23 @@ def signatures(docs: DataFrame, words: int, count: int = BANDS * ROWS) -> DataFr
                 digests = np.zeros((len(sets), 2), np.int64)
                 for i in full:
                     digests[i] = np.frombuffer(hashlib.blake2b(sets[i].tobytes(), digest_size=16).digest(), np.int64)
-                matrix = minhashes([sets[i] for i in full], count).view(np.int32) if full else np.empty((0, count), np.int32)
                 empty = np.ones(len(sets), bool)
                 empty[full] = False
-                offsets = np.zeros(len(sets) + 1, np.int32)
-                np.cumsum(np.where(empty, 0, count), out=offsets[1:])
+                sigs: list[bytes | None] = [None] * len(sets)
+                for i, row in zip(full, minhashes([sets[i] for i in full], count) if full else ()):
+                    sigs[i] = row.tobytes()
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column(0).slice(first, last - first),
                         pa.array([len(s) for s in sets], pa.int64()),
                         pa.array(digests[:, 0], mask=empty),
                         pa.array(digests[:, 1], mask=empty),
-                        pa.ListArray.from_arrays(pa.array(offsets), pa.array(matrix.ravel()), mask=pa.array(empty)),
+                        pa.array(sigs, pa.binary()),
                     ],
                     names=["doc_id", "n_shingles", "k1", "k2", "sig"],
                 )
 
-    return id_and_text(docs).mapInArrow(work, "doc_id long, n_shingles long, k1 long, k2 long, sig array<int>")
+    return id_and_text(docs).mapInArrow(work, "doc_id long, n_shingles long, k1 long, k2 long, sig binary")
 
 
 def least_matches(threshold: float, miss: float, count: int) -> np.ndarray:
@@ -151,10 +152,12 @@ def _likely(pairs: DataFrame, sigs: DataFrame, threshold: float, miss: float) ->
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            matrix = [np.asarray(batch.column(i).flatten()).reshape(-1, BANDS * ROWS) for i in (2, 3)]
+            matrix = [np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint16).reshape(-1, BANDS * ROWS) for i in (2, 3)]
             keep = pa.array(prune(matrix[0], matrix[1], least))
             yield pa.RecordBatch.from_arrays([batch.column(i).filter(keep) for i in (0, 1)], names=["a", "b"])
 
+    wanted = pairs.select(F.col("a").alias("rep")).union(pairs.select("b")).distinct()
+    sigs = only(sigs, wanted, "rep")
     sides = [sigs.select(F.col("rep").alias(k), F.col("n").alias(f"n_{k}"), F.col("sig").alias(f"sig_{k}")) for k in "ab"]
     joined = pairs.join(sides[0], "a").join(sides[1], "b")
     near = joined.where(F.least("n_a", "n_b") >= F.greatest("n_a", "n_b") * F.lit(threshold) - F.lit(1e-9))
@@ -180,8 +183,8 @@ def _full_sets(needed: DataFrame, docs: DataFrame, reps: DataFrame, words: int)
                     names=["rep", "k1", "shingles"],
                 )
 
-    ids = needed.select(F.col("rep").alias("doc_id"))
-    found = id_and_text(docs).join(ids, "doc_id", "left_semi").mapInArrow(sets, "rep long, k1 long, shingles binary")
+    rows = only(id_and_text(docs), needed.select(F.col("rep").alias("doc_id")).distinct(), "doc_id")
+    found = rows.mapInArrow(sets, "rep long, k1 long, shingles binary")
     # An id that is repeated with other texts gives several sets; the class digest tells which one is meant.
     return cut(found.join(reps.select("rep", "k1"), ["rep", "k1"], "left_semi").dropDuplicates(["rep"]).select("rep", "shingles"))
 
@@ -292,14 +295,12 @@ def near_duplicates(docs: DataFrame, words: int = 5, threshold: float = 0.8, mis
     rows = cut(signatures(docs, words))
     known = rows.where("doc_id is not null and k1 is not null")
     classes = cut(known.groupBy("k1", "k2").agg(F.min("doc_id").alias("rep")))
-    first = classes.select("k1", "k2", F.col("rep").alias("doc_id"))
+    # One id may be the first of several classes when it is repeated with other texts; one of them is compared.
+    first = classes.groupBy(F.col("rep").alias("doc_id")).agg(F.min(F.struct("k1", "k2")).alias("k")).select("doc_id", "k.k1", "k.k2")
     reps = known.join(first, ["k1", "k2", "doc_id"], "left_semi").dropDuplicates(["k1", "k2", "doc_id"])
-    # One id may be the first of several classes when it is repeated with other texts; such classes share their links.
-    reps = cut(
-        reps.select(F.col("doc_id").alias("rep"), "k1", F.col("n_shingles").alias("n"), "sig").dropDuplicates(["rep"])
-    )
+    reps = cut(reps.select(F.col("doc_id").alias("rep"), "k1", F.col("n_shingles").alias("n"), "sig"))
     bands = F.transform(
-        F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda i: F.xxhash64(i, F.slice("sig", i * ROWS + 1, ROWS))
+        F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda i: F.xxhash64(i, F.substring("sig", i * (2 * ROWS) + 1, F.lit(2 * ROWS)))
     )
     banded = reps.select("rep", F.explode(bands).alias("bucket"))
     crowded = banded.groupBy("bucket").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
