@@ -142,11 +142,10 @@ def q06_documents(t: Tables, text: str = "Oredat") -> DataFrame:
        ORDER BY o_orderdate DESC, o_orderkey DESC LIMIT 50""",
 )
 def q07(t: Tables) -> DataFrame:
-    joined = t.orders.join(t.customer, F.col("c_custkey") == F.col("o_custkey"))
-    return (
-        joined.orderBy(F.desc("o_orderdate"), F.desc("o_orderkey")).limit(50)
-        .select("o_orderkey", "o_orderdate", "o_totalprice", "c_name", "c_mktsegment")
-    )
+    # Every order has a customer, so the 50 orders are known before the join.
+    latest = t.orders.orderBy(F.desc("o_orderdate"), F.desc("o_orderkey")).limit(50)
+    joined = latest.join(t.customer, F.col("c_custkey") == F.col("o_custkey"))
+    return joined.select("o_orderkey", "o_orderdate", "o_totalprice", "c_name", "c_mktsegment")
 
 
 @query(

@@ -5,7 +5,7 @@ from datetime import datetime
 
 import pytest
 
-from plumbline.functions import exprs
+from plumbline.functions import exprs, sqltext
 from plumbline.operators import behaviour
 from plumbline.sources import events as ev
 from plumbline.sources import files
@@ -147,3 +147,28 @@ def test_context_is_numbered_and_marked(spark):
     got = {r["finding_id"]: r["source_context"].split("\n") for r in files.source_context(corpus, flagged, context=2).collect()}
     assert got["x"] == ["  62 | l62", "  63 | l63", "> 64 | l64", "> 65 | l65", "  66 | l66", "  67 | l67"]
     assert got["y"] == ["  128 | l128", "  129 | l129", "> 130 | l130"]
+
+
+def test_shapes_of_hard_texts(spark):
+    shape = sqltext.shape
+    assert shape("select * from t where id IN ($1::uuid, $2::uuid)") == shape("select * from t where id in ($1::uuid)") == "select * from t where id in(?)"
+    assert shape("insert into t values (now(), 1), (now(), 2)") == shape("insert into t values (now(), 3)")
+    assert shape("select 1e5, 0x1F, $$a -- b$$, E'it\\'s', $t$x$t$") == "select ?,?,?,?,?"
+    assert shape("select a - 1 from t") == shape("select a-1 from t") == shape("select a -1 from t")
+    assert shape("select -1") == shape("select 1")
+    assert shape("select /* a /* nested */ b */ x") == "select x"
+    assert shape('select * from "a--b" where z = 4 limit 1') == 'select * from "a--b" where z=? limit ?'
+    assert "select" in shape("select * from t where a in (select b from u)")
+
+
+def test_rules_at_any_depth():
+    deep = "select " + "(" * 9 + "select 3 from q where a = 1 limit 3" + ")" * 9 + " as v from t"
+    assert sqltext.unbounded(deep) == "SQL_UNBOUNDED_SELECT"
+    assert sqltext.unbounded('select * from "a--b" where z = 4 limit 1') is None
+    assert sqltext.unbounded("delete from t") == "SQL_UNBOUNDED_MUTATION"
+    assert sqltext.unbounded("select count(*) as n, max(f(g(h(k(m(x)))))) from t") is None
+
+
+def test_condition_columns_skip_types_and_constants():
+    sql = "select * from t where x = 1e5 and t.id in ($1::uuid) and true and e = E'a' and a = '--x' and b = cast(c as text)"
+    assert sqltext.conditions(sql) == ["x", "id", "e", "a", "b", "c"]
