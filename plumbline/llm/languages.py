@@ -26,7 +26,7 @@ from .frames import fold_of, id_and_text
 
 BINS = 4096
 CENTROIDS = 4
-MAX_SAMPLE = 4000
+MAX_SAMPLE = 2000
 #: Cosine distance beyond which a text is in none of the learned languages.
 MAX_DISTANCE = 0.92
 UNKNOWN = "und"
@@ -109,7 +109,7 @@ def fit(labelled: DataFrame, max_sample: int = MAX_SAMPLE) -> Model | None:
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column(0).slice(first, last - first), batch.column(2).slice(first, last - first),
-                        pa.array([r.tobytes() for r in x], pa.binary()),
+                        pa.array([r.tobytes() for r in np.minimum(x, 65535).astype(np.uint16)], pa.binary()),
                     ],
                     names=["doc_id", "lang", "counts"],
                 )
@@ -125,12 +125,13 @@ def fit(labelled: DataFrame, max_sample: int = MAX_SAMPLE) -> Model | None:
     picked = rows.join(F.broadcast(chosen.select("doc_id").distinct()), "doc_id", "left_semi")
     table = picked.select("doc_id", "text", "lang").mapInArrow(count, "doc_id long, lang string, counts binary")
     sample = table.orderBy("lang", F.xxhash64("doc_id")).limit(2 * max_sample).toArrow()
-    x = np.stack([np.frombuffer(v.as_buffer(), np.float32) for v in sample["counts"]]) if len(sample) else np.empty((0, BINS))
+    x = np.stack([np.frombuffer(v.as_buffer(), np.uint16) for v in sample["counts"]]).astype(np.float32) if len(sample) else np.empty((0, BINS))
     names = sample["lang"].to_pylist()
     full = x.any(1)
     x, names = x[full], np.array([n for n, f in zip(names, full) if f], dtype=object)
     if not len(x):
         return None
+    del sample
     weights = (np.log((1 + len(x)) / (1 + (x > 0).sum(0))) + 1).astype(np.float32)
     model = Model(sorted(set(names)), np.empty(0, int), np.empty((0, BINS)), weights)
     vectors = model.vectors(x)
