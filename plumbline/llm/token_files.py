@@ -32,6 +32,8 @@ END = 1
 FILE_BYTES = 64 << 20
 STRIPE_BYTES = 16 << 20
 REMEMBERED = 600_000
+#: A character that stands between words that are encoded together; words that hold it are encoded on their own.
+MARK = "\x01"
 SCHEMA = "doc_id long, part int, place long, n_tokens int, ids array<int>"
 
 
@@ -46,23 +48,31 @@ class Encoder:
         self.tokenizer.no_padding()
         self.tokenizer.no_truncation()
         self.find = re.compile(r"[^ \t\r\n]+").findall
+        self.mark = self.tokenizer.encode(MARK, add_special_tokens=False).ids
         self._forget()
 
     def _forget(self) -> None:
         self.known: dict[str, int] = {}
         self.sizes, self.starts, self.ids = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int32)
 
+    def _encode(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """Ids of the words in one array, and each word's number of ids."""
+        if len(words) > 1 and len(self.mark) == 1 and not any(MARK in w for w in words):
+            # White space separates words, so many are encoded as one text with a mark between them.
+            ids = np.array(self.tokenizer.encode_batch_fast([f" {MARK} ".join(words)], add_special_tokens=False)[0].ids, np.int32)
+            marks = np.flatnonzero(ids == self.mark[0])
+            if len(marks) == len(words) - 1:
+                return np.delete(ids, marks), np.diff(np.concatenate([[-1], marks, [len(ids)]])) - 1
+        found = [e.ids for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
+        return np.array([i for own in found for i in own], np.int32), np.array([len(own) for own in found], np.int64)
+
     def _learn(self, words: list[str]) -> None:
-        sizes, ids = [], []
-        for first in range(0, len(words), 4096):
-            for found in self.tokenizer.encode_batch_fast(words[first : first + 4096], add_special_tokens=False):
-                own = found.ids
-                sizes.append(len(own))
-                ids += own
-        sizes = np.array(sizes, np.int64)
+        words = [w for w in words if MARK not in w] + [w for w in words if MARK in w]
+        parts = [self._encode(words[i : i + 2048]) for i in range(0, len(words), 2048)]
+        ids, sizes = (np.concatenate(c) for c in zip(*parts))
         self.known.update(zip(words, range(len(self.known), len(self.known) + len(words))))
         self.starts = np.append(self.starts, len(self.ids) + np.cumsum(sizes) - sizes)
-        self.sizes, self.ids = np.append(self.sizes, sizes), np.append(self.ids, np.array(ids, np.int32))
+        self.sizes, self.ids = np.append(self.sizes, sizes), np.append(self.ids, ids)
 
     def encode(self, texts: list[str], end: int) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, each closed by ``end``, in one array, and the bounds of each text's ids."""
