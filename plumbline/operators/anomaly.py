@@ -422,9 +422,9 @@ def anomaly_findings(analyses: DataFrame, explanations: DataFrame | None = None)
         .otherwise("total-variation distance between this window's value shares and the baseline's mean")
     )
     headline = (
-        F.when(F.col("metric") == "null_rate", "NULL rate %.1f%% is outside its learned range")
-        .when(F.col("metric") == "duplicate_rate", "duplicate rate %.1f%% is outside its learned range")
-        .otherwise("value distribution moved %.1f%% from its baseline")
+        F.when(F.col("metric") == "null_rate", "%.1f%% NULL, more than usual")
+        .when(F.col("metric") == "duplicate_rate", "%.1f%% repeated values, more than usual")
+        .otherwise("values spread differently, by %.1f%%")
     )
     percent = F.format_string("%.1f%%", F.col("observation") * 100)
     name = F.concat_ws(".", "table", "column")
@@ -435,11 +435,11 @@ def anomaly_findings(analyses: DataFrame, explanations: DataFrame | None = None)
     ]
 
     def sentence(d: Column) -> Column:
-        verdict = F.when(d["anomalous"], F.concat(d["direction"], F.lit(" the"))).otherwise("within the")
+        verdict = F.when(d["anomalous"], d["direction"]).otherwise("inside")
         return F.format_string(
-            "%s: %.3f is %s learned range [%.3f, %.3f] (centre %.3f, spread %.3f, %d earlier windows)",
-            d["detector"], d["observation"], verdict, d["lower"], d["upper"], d["center"],
-            d["spread"], d["history_size"],
+            "%s learned %.3f to %.3f from %d windows (middle %.3f, width %.3f); %.3f is %s",
+            d["detector"], d["lower"], d["upper"], d["history_size"], d["center"], d["spread"],
+            d["observation"], verdict,
         )
 
     def item(description: Column, data: Column) -> Column:
@@ -476,7 +476,7 @@ def anomaly_findings(analyses: DataFrame, explanations: DataFrame | None = None)
         )
         moved = F.array(
             item(
-                F.lit("Categories that moved most, baseline share to current share"),
+                F.lit("shares before and now of the values that changed most"),
                 F.to_json(F.struct(*where, categories.alias("categories"))),
             )
         )
@@ -496,8 +496,7 @@ def anomaly_findings(analyses: DataFrame, explanations: DataFrame | None = None)
         F.concat(name, F.lit(": "), F.replace(headline, F.lit("%.1f%%"), percent)).alias("title"),
         F.concat(
             F.format_string(
-                "For the window starting %s, the %s is %.3f. %d of %d detectors place that outside "
-                "the range learned from this column's own history:\n\n",
+                "Window of %s: %s, %.3f. Out of the ordinary by %d votes of %d:\n\n",
                 F.date_format("window_start", "yyyy-MM-dd"), meaning, F.col("observation"),
                 F.col("fired"), F.col("evaluated"),
             ),
@@ -505,9 +504,8 @@ def anomaly_findings(analyses: DataFrame, explanations: DataFrame | None = None)
         ).alias("body"),
         evidence.alias("evidence"),
         F.format_string(
-            "```sql\n-- Compare recent rows with earlier ones for \"%1$s\".\"%2$s\":\n"
-            "SELECT count(*) AS rows, count(\"%2$s\") AS non_null,\n"
-            "       count(DISTINCT \"%2$s\") AS distinct_values\nFROM \"%1$s\";\n```",
+            "Look at the values themselves:\n```sql\nSELECT \"%2$s\", count(*) AS n FROM \"%1$s\"\n"
+            "GROUP BY \"%2$s\" ORDER BY n DESC;\n```",
             F.col("table"), F.col("column"),
         ).alias("suggested_fix"),
         digest([rule, file, F.col("column"), F.col("metric")]).alias("fingerprint"),

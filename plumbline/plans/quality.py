@@ -298,9 +298,9 @@ def integrity_sweep(t: Tables) -> DataFrame:
 @query(
     "integrity_findings",
     _sql_sweep(
-        """SELECT 'ORPHANED_FOREIGN_KEY' AS rule_id, line, orphan_rows || ' orphaned ' || tab || '(' || col || ') rows reference no ' || parent AS title,
+        """SELECT 'ORPHANED_FOREIGN_KEY' AS rule_id, line, tab || '(' || col || '): ' || orphan_rows || ' rows lack their ' || parent AS title,
              substr(sha256('ORPHANED_FOREIGN_KEY' || chr(0) || 'schema.json' || chr(0) || tab || chr(0) || col), 1, 32) AS fingerprint,
-             orphan_rows || ' of ' || checked_rows || ' non-null keys have no parent row' AS evidence"""
+             checked_rows || ' keys looked up, ' || orphan_rows || ' not found' AS evidence"""
     ) + " WHERE orphan_rows > 0",
 )
 def integrity_findings(t: Tables) -> DataFrame:

@@ -464,8 +464,8 @@ def compare_by_type(t: Tables) -> DataFrame:
         k AS (SELECT *, least(1.0, (count(*) OVER (PARTITION BY prim) - row_number() OVER (PARTITION BY prim ORDER BY p) + 1) * p) AS st FROM p),
         h AS (SELECT *, max(st) OVER (PARTITION BY prim ORDER BY p ROWS UNBOUNDED PRECEDING) AS ph FROM k)
         SELECT comparison, "both", only_first, only_second, round(p, 9) AS p_value, CASE WHEN prim THEN round(ph, 9) END AS p_holm,
-          CASE WHEN NOT prim THEN 'not part of the corrected family' WHEN ph >= 0.05 THEN 'not supported: no significant difference in detection'
-               WHEN only_second > only_first THEN 'supported: significantly more problems detected' ELSE 'CONTRADICTED: significantly fewer problems detected' END AS verdict FROM h""",
+          CASE WHEN NOT prim THEN 'secondary: p is not corrected' WHEN ph >= 0.05 THEN 'open: the corrected p is 0.05 or more'
+               WHEN only_second > only_first THEN 'supported: the second finds more' ELSE 'reversed: the second finds fewer' END AS verdict FROM h""",
 )
 def compare_configurations(t: Tables) -> DataFrame:
     table = stats.compare(scoring.canonical_detection(_outcomes(t)))
@@ -745,9 +745,9 @@ def label_disagreements(t: Tables) -> DataFrame:
 
 @query(
     "worksheet_violations",
-    f"""WITH {_SQL_SHEET} SELECT finding_id, 'no label' AS problem FROM ws WHERE label = '' UNION ALL SELECT finding_id, 'FP needs fp_cause' FROM ws WHERE label = 'FP' AND fp_cause = ''
-        UNION ALL SELECT finding_id, 'UNSURE needs a rationale' FROM ws WHERE label = 'UNSURE' AND NOT why UNION ALL SELECT finding_id, 'double-label row has no second label' FROM ws WHERE doubled AND label_2 = ''
-        UNION ALL SELECT finding_id, 'FP needs fp_cause_2' FROM ws WHERE label_2 = 'FP' UNION ALL SELECT finding_id, 'UNSURE needs a rationale_2' FROM ws WHERE label_2 = 'UNSURE'""",
+    f"""WITH {_SQL_SHEET} SELECT finding_id, 'label is empty' AS problem FROM ws WHERE label = '' UNION ALL SELECT finding_id, 'fp_cause is empty or unknown' FROM ws WHERE label = 'FP' AND fp_cause = ''
+        UNION ALL SELECT finding_id, 'rationale is empty' FROM ws WHERE label = 'UNSURE' AND NOT why UNION ALL SELECT finding_id, 'label_2 is empty' FROM ws WHERE doubled AND label_2 = ''
+        UNION ALL SELECT finding_id, 'fp_cause_2 is empty or unknown' FROM ws WHERE label_2 = 'FP' UNION ALL SELECT finding_id, 'rationale_2 is empty' FROM ws WHERE label_2 = 'UNSURE'""",
 )
 def worksheet_violations(t: Tables) -> DataFrame:
     return stats.worksheet_violations(_worksheet(t))

@@ -218,7 +218,7 @@ def n_plus_one(t: Tables) -> DataFrame:
 @query(
     "n_plus_one_findings",
     _SQL_N1 + """, m AS (SELECT fp, arg_min(model, (operation_id, position)) AS model FROM st GROUP BY fp)
-      SELECT 'route:' || route AS file, 'N+1 at runtime: ' || model || '.findMany executed up to ' || peak || 'x in one ' || route || ' request' AS title,
+      SELECT 'route:' || route AS file, route || ' calls ' || model || '.findMany again and again, ' || peak || ' times at worst' AS title,
         substr(sha256('RUNTIME_N_PLUS_ONE' || chr(0) || 'shop' || chr(0) || route || chr(0) || fp), 1, 32) AS fingerprint, confidence
       FROM n1 JOIN m USING (fp)""",
 )
