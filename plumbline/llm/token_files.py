@@ -6,7 +6,9 @@ for every 10,000 rows and Bloom filters on doc_id. Every row holds its place ins
 files' totals to know the place of a document among all ids; lookups by doc_id skip files, stripes and row groups.
 
 White space separates words of this tokenizer and is dropped, so a text is encoded by its distinct chunks between
-spaces, tabs and line ends; a bounded table keeps the ids of chunks seen before.
+ASCII white space; a bounded table keeps the ids of chunks seen before. Where the tokenizer lower-cases and
+divides chunks into letters, digits and signs, a new chunk of Latin-1 characters is put together from its pieces, and a
+second bounded table keeps theirs; other chunks are encoded whole.
 
 Defined results: NULL text is empty and holds only the end id. Rows with equal doc_id stand in the order of their text's
 hash; equal rows are each written. Rows without doc_id come first. An empty table gives an empty folder of files.
@@ -14,6 +16,7 @@ hash; equal rows are each written. Rows without doc_id come first. An empty tabl
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import zlib
@@ -21,24 +24,57 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .arrays import strings, text_chunks
+from .arrays import byte_rows, row_chunks
 from .frames import packed
 
 END = 1
 #: Bytes of text that one file takes about.
 FILE_BYTES = 64 << 20
 STRIPE_BYTES = 16 << 20
-REMEMBERED = 600_000
+#: Bytes of text that are divided at once.
+CHUNK_BYTES = 4 << 20
+REMEMBERED = 690_000
 #: A character that stands between words that are encoded together; words that hold it are encoded on their own.
 MARK = "\x01"
+#: The normalisers and the division into pieces for which chunks are put together from pieces.
+NORMALIZERS = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]
+DIVISION = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+#: Latin-1 without spaces and controls, and its lower-case letters and its numbers.
+LATIN = re.compile("[!-~\xa1-\xff]+")
+_LETTERS, _NUMBERS = "a-z\xaa\xb5\xba\xdf-\xf6\xf8-\xff", "0-9\xb2\xb3\xb9\xbc-\xbe"
+PIECES = re.compile(f"\n|'s|'t|'re|'ve|'m|'ll|'d|[{_LETTERS}]+|[{_NUMBERS}]|[^\n{_LETTERS}{_NUMBERS}]+")
 SCHEMA = "doc_id long, part int, place long, n_tokens int, ids array<int>"
 
 
+class Memory:
+    """Ids of strings seen before: each string's number, and where its ids stand in one array."""
+
+    def __init__(self) -> None:
+        self.known: dict[str, int] = {}
+        self.sizes, self.starts, self.ids = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int32)
+
+    def add(self, words: list[str], ids: np.ndarray, sizes: np.ndarray) -> None:
+        self.known.update(zip(words, range(len(self.known), len(self.known) + len(words))))
+        self.starts = np.append(self.starts, len(self.ids) + np.cumsum(sizes) - sizes)
+        self.sizes, self.ids = np.append(self.sizes, sizes), np.append(self.ids, ids)
+
+    def gather(self, words: list[str], order: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of known words one after the other (of words[i] for each i of ``order``), and where each one's end."""
+        index = np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))
+        if order is not None:
+            index = index[order]
+        sizes = self.sizes[index]
+        ends = np.cumsum(sizes)
+        source = np.arange(int(ends[-1]) if len(ends) else 0) - np.repeat(ends - sizes - self.starts[index], sizes)
+        return self.ids[source], ends
+
+
 class Encoder:
-    """Encodes texts with the tokenizers library; remembers the ids of chunks between white space."""
+    """Encodes texts with the tokenizers library; remembers the ids of chunks between white space and of their pieces."""
 
     def __init__(self, definition: str) -> None:
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
@@ -47,13 +83,24 @@ class Encoder:
         self.tokenizer = Tokenizer.from_str(definition)
         self.tokenizer.no_padding()
         self.tokenizer.no_truncation()
-        self.find = re.compile(r"[^ \t\r\n]+").findall
         self.mark = self.tokenizer.encode(MARK, add_special_tokens=False).ids
-        self._forget()
-
-    def _forget(self) -> None:
-        self.known: dict[str, int] = {}
-        self.sizes, self.starts, self.ids = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int32)
+        self.chunks, self.pieces = Memory(), Memory()
+        told = json.loads(definition)
+        self.added = [t["content"] for t in told["added_tokens"]]
+        normalizers = (told["normalizer"] or {}).get("normalizers")
+        steps = (told["pre_tokenizer"] or {}).get("pretokenizers") or [{}]
+        division = [s.get("pattern", {}).get("Regex") for s in steps if s.get("type") == "Split"]
+        self.divided = normalizers == NORMALIZERS and division == [DIVISION] and steps[0]["invert"] and [s["type"] for s in steps[1:]] == ["ByteLevel"]
+        self.last = np.empty(0, bool)
+        if self.divided:
+            # Pieces need no normaliser and are divided by spaces alone; a piece's last id bears the suffix.
+            told |= {"normalizer": None, "pre_tokenizer": {"type": "Sequence", "pretokenizers": [{"type": "WhitespaceSplit"}, *steps[1:]]}}
+            self.joined = Tokenizer.from_str(json.dumps(told))
+            self.joined.no_padding()
+            self.joined.no_truncation()
+            self.last = np.zeros(max(told["model"]["vocab"].values()) + len(self.added) + 1, bool)
+            if suffix := told["model"].get("end_of_word_suffix"):
+                self.last[[i for token, i in told["model"]["vocab"].items() if token.endswith(suffix)]] = True
 
     def _encode(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of the words in one array, and each word's number of ids."""
@@ -66,34 +113,57 @@ class Encoder:
         found = [e.ids for e in self.tokenizer.encode_batch_fast(words, add_special_tokens=False)]
         return np.array([i for own in found for i in own], np.int32), np.array([len(own) for own in found], np.int64)
 
-    def _learn(self, words: list[str]) -> None:
+    def _learn(self, memory: Memory, words: list[str]) -> None:
         words = [w for w in words if MARK not in w] + [w for w in words if MARK in w]
         parts = [self._encode(words[i : i + 2048]) for i in range(0, len(words), 2048)]
-        ids, sizes = (np.concatenate(c) for c in zip(*parts))
-        self.known.update(zip(words, range(len(self.known), len(self.known) + len(words))))
-        self.starts = np.append(self.starts, len(self.ids) + np.cumsum(sizes) - sizes)
-        self.sizes, self.ids = np.append(self.sizes, sizes), np.append(self.ids, ids)
-
-    def encode(self, texts: list[str], end: int) -> tuple[np.ndarray, np.ndarray]:
+        memory.add(words, *(np.concatenate(c) for c in zip(*parts)))
+
+    def _compose(self, words: list[str]) -> None:
+        """Learns chunks of Latin-1 characters from the ids of their pieces."""
+        parts = PIECES.findall("\n".join(words).lower())
+        distinct = set(parts)
+        fresh = distinct.difference(self.pieces.known)
+        if fresh and len(self.pieces.known) + len(fresh) > REMEMBERED:
+            self.pieces, fresh = Memory(), distinct
+        if "\n" in fresh:
+            # The line end between chunks has no ids.
+            fresh.remove("\n")
+            self.pieces.add(["\n"], np.empty(0, np.int32), np.zeros(1, np.int64))
+        fresh = list(fresh)
+        for start in range(0, len(fresh), 2048):
+            own = fresh[start : start + 2048]
+            ids = np.array(self.joined.encode_batch_fast([" ".join(own)], add_special_tokens=False)[0].ids, np.int32)
+            lasts = np.flatnonzero(self.last[ids])
+            if len(lasts) == len(own) and lasts[-1] == len(ids) - 1:
+                self.pieces.add(own, ids, np.diff(lasts, prepend=-1))
+            else:
+                self.pieces.add(own, *self._encode(own))
+        ids, ends = self.pieces.gather(parts)
+        lasts = np.append(np.flatnonzero(np.fromiter(map("\n".__eq__, parts), bool, len(parts))), len(parts) - 1)
+        self.chunks.add(words, ids, np.diff(ends[lasts], prepend=0))
+
+    def encode(self, texts: pa.Array, end: int) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, each closed by ``end``, in one array, and the bounds of each text's ids."""
-        words, counts = [], np.zeros(len(texts), np.int64)
-        for i, text in enumerate(texts):
-            own = self.find(text)
-            counts[i] = len(own)
-            words += own
-        distinct = set(words)
-        fresh = distinct.difference(self.known)
-        if fresh and len(self.known) + len(fresh) > REMEMBERED:
-            self._forget()
-            fresh = distinct
+        split = pc.ascii_split_whitespace(texts)
+        coded = split.flatten().dictionary_encode()
+        words = coded.dictionary.to_pylist()
+        fresh = set(words).difference(self.chunks.known)
+        if fresh and len(self.chunks.known) + len(fresh) > REMEMBERED:
+            self.chunks, fresh = Memory(), set(words)
         if fresh:
-            self._learn(list(fresh))
-        index = np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))
-        sizes = self.sizes[index]
-        ends = np.cumsum(sizes)
-        source = np.arange(int(ends[-1]) if len(ends) else 0) - np.repeat(ends - sizes - self.starts[index], sizes)
+            text = "\n".join(fresh)
+            special = [t for t in self.added if t in text]
+            plain = [w for w in fresh if LATIN.fullmatch(w)] if self.divided else []
+            if special:
+                plain = [w for w in plain if not any(t in w for t in special)]
+            if plain:
+                self._compose(plain)
+            if whole := list(fresh.difference(plain)):
+                self._learn(self.chunks, whole)
+        ids, ends = self.chunks.gather(words, coded.indices.to_numpy())
+        counts = pc.list_value_length(split).to_numpy()
         bounds = np.concatenate([[0], ends])[np.concatenate([[0], np.cumsum(counts)])]
-        return np.insert(self.ids[source], bounds[1:], end), bounds + np.arange(len(texts) + 1)
+        return np.insert(ids, bounds[1:], end), bounds + np.arange(len(texts) + 1)
 
 
 def write_tokens(docs: DataFrame, tokenizer: str, path: str, end: int = END, file_bytes: int = FILE_BYTES) -> str:
@@ -107,9 +177,9 @@ def write_tokens(docs: DataFrame, tokenizer: str, path: str, end: int = END, fil
 
         part, place, encoder = TaskContext.get().partitionId(), 0, Encoder(pickle.loads(shared.value))
         for batch in batches:
-            texts = strings(batch.column(1))
-            for first, last in text_chunks(texts):
-                flat, bounds = encoder.encode(texts[first:last], end)
+            texts = batch.column(1).fill_null("")
+            for first, last in row_chunks(byte_rows(texts)[1], CHUNK_BYTES):
+                flat, bounds = encoder.encode(texts.slice(first, last - first), end)
                 sizes = np.diff(bounds)
                 yield pa.RecordBatch.from_arrays(
                     [
