@@ -517,7 +517,7 @@ def anomaly_findings(analyses: DataFrame, explanations: DataFrame | None = None)
 
 def _walk_forward(min_history: int) -> Callable[[pd.DataFrame], pd.DataFrame]:
     """Per column: for each judged window, the leave-one-out distances of the earlier windows and
-    the window's own distance from their mean.
+    the window's own distance from their mean. Rows with ``wanted`` false are history only.
 
     A group is one column's stored history: its windows times at most max_categories values.
     """
@@ -531,7 +531,8 @@ def _walk_forward(min_history: int) -> Callable[[pd.DataFrame], pd.DataFrame]:
         totals = pd.Series(count).groupby(index).transform("sum").to_numpy()
         share = count / totals if len(count) else count
         values = int(code.max()) + 1 if len(code) else 0
-        for i in np.unique(index[index >= min_history]) if len(index) else []:
+        wanted = rows["wanted"].to_numpy(dtype=bool)
+        for i in np.unique(index[(index >= min_history) & wanted]) if len(index) else []:
             earlier = index < i
             windows, slot = np.unique(index[earlier], return_inverse=True)
             m = len(windows)
@@ -554,12 +555,14 @@ def _walk_forward(min_history: int) -> Callable[[pd.DataFrame], pd.DataFrame]:
 
 
 def walk_forward_observations(
-    columns: DataFrame, categories: DataFrame, min_history: int = MIN_HISTORY
+    columns: DataFrame, categories: DataFrame, min_history: int = MIN_HISTORY, since=None
 ) -> DataFrame:
     """Each window from ``min_history`` on, judged on the windows before it only.
 
-    The metric and the leave-one-out distances are re-derived for every prefix.
+    The metric and the leave-one-out distances are re-derived for every prefix. With ``since``, windows
+    that start before it are history only.
     """
+    wanted = lambda start: F.lit(True) if since is None else F.col(start) >= clock(since)
     carried = categories.groupBy(*COLUMN, "window_start").agg(F.lit(True).alias("has"))
     point = F.struct("window_start", "null_rate", "duplicate_rate", F.coalesce("has", F.lit(False)).alias("has"))
     series = (
@@ -572,6 +575,7 @@ def walk_forward_observations(
         series.where(F.size("points") > min_history)
         .withColumn("i", F.explode(F.sequence(F.lit(min_history), F.size("points") - 1)))
         .withColumn("point", F.get("points", F.col("i")))
+        .where(wanted("point.window_start"))
         .withColumn("earlier", F.slice("points", F.lit(1), F.col("i")))
         .withColumn("categorical", F.exists("earlier", lambda p: p["has"]))
     )
@@ -589,7 +593,7 @@ def walk_forward_observations(
     )
     shifts = (
         categories.join(indexed, [*COLUMN, "window_start"])
-        .select(*COLUMN, "window_index", "value", "count")
+        .select(*COLUMN, "window_index", "value", "count", wanted("window_start").alias("wanted"))
         .groupBy(*COLUMN)
         .applyInPandas(
             _walk_forward(min_history),
@@ -611,9 +615,10 @@ def backtest(
     detectors: Sequence[str] | None = None,
     vote: str = "majority",
     min_history: int = MIN_HISTORY,
+    since=None,
 ) -> DataFrame:
-    """Walk-forward judgements over clean history: every alarm is a false alarm."""
-    return judge(walk_forward_observations(columns, categories, min_history), detectors, vote)
+    """Walk-forward judgements; over clean history every alarm is a false alarm."""
+    return judge(walk_forward_observations(columns, categories, min_history, since), detectors, vote)
 
 
 def backtest_summary(judged: DataFrame) -> DataFrame:

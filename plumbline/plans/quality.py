@@ -695,7 +695,8 @@ def total_variation(t: Tables) -> DataFrame:
     return result.select("table", F.round("distance", 9).alias("distance"))
 
 
-_SQL_BACKTEST = f"""WITH {_sql_profiles('events', 'b')}, ix AS (SELECT ws, col, null_rate, duplicate_rate, row_number() OVER (PARTITION BY col ORDER BY ws) - 1 AS i FROM b_r),
+def sql_backtest(source: str) -> str:
+    return f"""WITH {_sql_profiles(source, 'b')}, ix AS (SELECT ws, col, null_rate, duplicate_rate, row_number() OVER (PARTITION BY col ORDER BY ws) - 1 AS i FROM b_r),
       bc AS (SELECT b_c.*, i FROM b_c JOIN ix USING (ws, col)),
       pm AS (SELECT x.col, x.i, count(DISTINCT c.ws) AS m FROM ix x JOIN bc c ON c.col = x.col AND c.i < x.i WHERE x.i >= 5 GROUP BY ALL),
       vals AS (SELECT DISTINCT col, v FROM bc), wins AS (SELECT DISTINCT col, i, ws FROM bc),
@@ -714,7 +715,7 @@ _SQL_BACKTEST = f"""WITH {_sql_profiles('events', 'b')}, ix AS (SELECT ws, col,
 
 @query(
     "backtest_summary",
-    _SQL_BACKTEST + """ SELECT 'detector' AS kind, detector AS name, count(*) AS evaluations, count(*) FILTER (WHERE an) AS alarms,
+    sql_backtest("events") + """ SELECT 'detector' AS kind, detector AS name, count(*) AS evaluations, count(*) FILTER (WHERE an) AS alarms,
           count(*) FILTER (WHERE an AND side = 'above') AS alarms_above FROM j WHERE ev GROUP BY detector
         UNION ALL SELECT 'metric', metric, count(*), count(*) FILTER (WHERE anomalous), count(*) FILTER (WHERE anomalous AND direction = 'above') FROM votes WHERE evaluated > 0 GROUP BY metric
         UNION ALL SELECT 'vote', 'all', count(*), count(*) FILTER (WHERE anomalous), count(*) FILTER (WHERE anomalous AND direction = 'above') FROM votes WHERE evaluated > 0""",
@@ -725,7 +726,7 @@ def backtest_summary(t: Tables) -> DataFrame:
 
 @query(
     "backtest_false_alarms",
-    _SQL_BACKTEST + """ SELECT col AS "column", metric, ws AS window_start, direction, round(o, 9) AS observation, fired, evaluated
+    sql_backtest("events") + """ SELECT col AS "column", metric, ws AS window_start, direction, round(o, 9) AS observation, fired, evaluated
         FROM votes JOIN (SELECT col, i, ws FROM ix) USING (col, i) WHERE anomalous""",
 )
 def backtest_false_alarms(t: Tables) -> DataFrame:

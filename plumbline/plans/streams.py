@@ -13,7 +13,7 @@ from ..session import fresh_path
 from ..sources.tables import Tables
 from ..streaming import jobs
 from . import runtime
-from .quality import DAYS, _days, _sql_profile, corrupted_events
+from .quality import _sql_profile, sql_backtest, sql_pick
 from .registry import query
 
 _CLOSED = "(SELECT max(ts) - INTERVAL 1 HOUR FROM events)"
@@ -102,14 +102,26 @@ def stream_accounting(t: Tables) -> DataFrame:
     return t.spark.read.parquet(path).agg(F.sum("rows").alias("captured")).withColumn("dropped", F.lit(dropped))
 
 
-@query("stream_judgements")
+#: Events that lost user ids on one day in the middle of the stream.
+_SPIKE_DAY = "2024-01-20"
+_SQL_SPIKED = f"""(SELECT event_id, ts, CASE WHEN date_trunc('day', ts) = TIMESTAMP '{_SPIKE_DAY}' AND {sql_pick('event_id', ':stream')} < 150
+    THEN NULL ELSE user_id END AS user_id, event_type, value FROM events WHERE date_trunc('day', ts) + INTERVAL 1 DAY <= {_CLOSED})"""
+
+
+@query(
+    "stream_judgements",
+    sql_backtest(_SQL_SPIKED) + """ SELECT 'events' AS "table", col AS "column", metric, ws AS window_start, round(o, 9) AS observation, fired, evaluated,
+        anomalous, direction FROM votes JOIN (SELECT col, i, ws FROM ix) USING (col, i)""",
+)
 def stream_judgements(t: Tables) -> DataFrame:
-    """Closed windows of corrupted events judged against the stored clean history."""
-    columns, categories = _days(t.events, DAYS)
-    stream = jobs.stream_table(t.spark, _files(corrupted_events(t), "corrupted"))
+    """Every closed window of the stream judged on the windows closed before it."""
+    lost = (F.date_trunc("day", F.col("ts")) == F.lit(_SPIKE_DAY).cast("timestamp_ntz")) & (pick("event_id", ":stream") < 150)
+    spiked = t.events.drop("props").withColumn("user_id", F.when(~lost, F.col("user_id")))
+    stream = jobs.stream_table(t.spark, _files(spiked, "spiked"))
     histogram = jobs.stream_histogram(stream, "events", ["user_id", "event_type", "value"], "ts", "1 day", "1 hour")
     path = fresh_path(t.spark, "judged")
-    written = jobs.run_available(histogram, "histogram")
-    last = written.agg(F.max("window_start")).scalar()
-    jobs.judge_batch(columns, categories, path)(written.where(F.col("window_start") == last), 0)
-    return t.spark.read.parquet(path).select("table", "column", "metric", "window_start", "fired", "evaluated", "anomalous")
+    jobs.run_batches(histogram, jobs.judge_batch(path), "judged")
+    judged = t.spark.read.parquet(path)
+    return judged.select(
+        "table", "column", "metric", "window_start", F.round("observation", 9).alias("observation"), "fired", "evaluated", "anomalous", "direction"
+    )

@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.exprs import csv_field, slugify
+from ..session import cut
 from ..sources.tables import Tables
 from .registry import query
 
@@ -158,13 +159,13 @@ def q07(t: Tables) -> DataFrame:
        WHERE o_orderstatus = 'P' GROUP BY o_orderkey""",
 )
 def q08(t: Tables, status: str = "P") -> DataFrame:
-    """Orders with their customer and an array of items."""
-    items = t.lineitem.join(t.part, F.col("p_partkey") == F.col("l_partkey")).select(
-        "l_orderkey", "l_linenumber", "p_name", F.col("l_quantity").cast("bigint").alias("quantity")
-    )
+    """Orders with their customer and an array of items. Only items of the listed orders meet the products."""
     orders = t.orders.where(F.col("o_orderstatus") == status).select("o_orderkey", "o_custkey")
     named = orders.join(t.customer.select("c_custkey", "c_name"), F.col("c_custkey") == F.col("o_custkey"))
-    listed = named.join(items, F.col("l_orderkey") == F.col("o_orderkey")).groupBy("o_orderkey").agg(
+    items = t.lineitem.select("l_orderkey", "l_partkey", "l_linenumber", F.col("l_quantity").cast("bigint").alias("quantity"))
+    bought = named.join(items, F.col("l_orderkey") == F.col("o_orderkey"))
+    products = t.part.select("p_partkey", "p_name")
+    listed = bought.join(products, F.col("p_partkey") == F.col("l_partkey")).groupBy("o_orderkey").agg(
         F.any_value("c_name").alias("c_name"),
         F.count(F.lit(1)).alias("items"),
         F.array_sort(F.collect_list(F.struct("l_linenumber", "p_name", "quantity"))).alias("lines"),
@@ -438,9 +439,8 @@ def q26(t: Tables) -> DataFrame:
        SELECT tag, n, CAST(round(n / greatest(1, (SELECT max(n) FROM c)) * 4) AS BIGINT) + 1 AS weight FROM c""",
 )
 def q27(t: Tables) -> DataFrame:
-    tags = child_count(t.supplier.select(F.col("s_suppkey").alias("tag")), "tag", t.lineitem, "l_suppkey", "n")
-    largest = t.lineitem.groupBy("l_suppkey").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).scalar()
-    top = F.greatest(F.lit(1), F.coalesce(largest, F.lit(1)))
+    tags = cut(child_count(t.supplier.select(F.col("s_suppkey").alias("tag")), "tag", t.lineitem, "l_suppkey", "n"))
+    top = F.greatest(F.lit(1), tags.agg(F.max("n")).scalar())
     return tags.withColumn("weight", F.round(F.col("n") / top * 4).cast("bigint") + 1)
 
 

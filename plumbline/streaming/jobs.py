@@ -12,7 +12,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.exprs import utc_session
+from ..functions.exprs import clock, utc_session
 from ..operators import anomaly, behaviour, profile
 from ..session import fresh_path
 from ..sources import events as ev
@@ -146,19 +146,33 @@ def latest(spark: SparkSession, path: str, keys: Sequence[str], order: Sequence[
     return ev.latest_by_key(spark.read.parquet(path).drop("batch"), list(keys), list(order))
 
 
-def judge_batch(baseline: DataFrame, categories: DataFrame, path: str, vote: str = "majority") -> Callable[[DataFrame, int], None]:
-    """A batch function that judges the newest closed window of each histogram batch against the stored
-    profiles of earlier windows and writes the judgements to the batch's own folder."""
+def judge_batch(
+    path: str, baseline: tuple[DataFrame, DataFrame] | None = None, vote: str = "majority"
+) -> Callable[[DataFrame, int], None]:
+    """A batch function for closed histogram windows: every window of the batch is judged on all windows
+    before it, those of ``baseline`` (columns, categories), of earlier batches and of the batch itself.
+
+    Judgements go to ``path``, the batch's profiles to ``path``-columns and ``path``-categories, each to a
+    folder of the batch, so a replayed batch changes nothing. Windows with fewer earlier ones than the
+    detectors need are stored and not judged.
+    """
 
     def write(batch: DataFrame, epoch: int) -> None:
-        columns, values = profile.settle(
+        profiles = profile.settle(
             {"columns": profile.column_profile(batch), "categories": profile.category_frequency(batch)}
         )
-        if columns.isEmpty():
+        oldest = profiles[0].agg(F.min("window_start")).first()[0]
+        if oldest is None:
             return
-        newest = columns.agg(F.min("window_start")).scalar()
-        earlier = lambda df: df.where(F.col("window_start") < newest)
-        judged = anomaly.detect(earlier(baseline), earlier(categories), columns, values, vote=vote)
+        history = []
+        for i, (part, rows) in enumerate(zip(("columns", "categories"), profiles)):
+            rows.write.mode("overwrite").parquet(f"{path}-{part}/batch={epoch}")
+            stored = batch.sparkSession.read.schema(rows.schema).parquet(f"{path}-{part}")
+            stored = stored.where(F.col("batch") <= epoch).drop("batch")
+            if baseline is not None:
+                stored = baseline[i].where(F.col("window_start") < clock(oldest)).select(*rows.columns).unionByName(stored)
+            history.append(stored)
+        judged = anomaly.backtest(*history, vote=vote, since=oldest)
         judged.drop("history").write.mode("overwrite").parquet(f"{path}/batch={epoch}")
 
     return write
