@@ -81,8 +81,11 @@ def explode_statements(t: Tables) -> DataFrame:
 
 @query(
     "read_events",
-    f"""SELECT bad AS quarantined, count(*) AS events, round(sum(value), 2) AS duration FROM (SELECT value,
-          {sql_pick('event_id', ':neg')} < 8 OR {sql_pick('event_id', ':empty')} < 8 OR {sql_pick('event_id', ':version')} < 8 AS bad FROM events) GROUP BY bad""",
+    f"""SELECT reason, count(*) AS events, round(sum(CASE WHEN reason IS NULL THEN value END), 2) AS duration FROM (SELECT value,
+          CASE WHEN {sql_pick('event_id', ':cut')} < 8 THEN 'not a JSON object' WHEN {sql_pick('event_id', ':key')} < 8 THEN 'keys'
+            WHEN {sql_pick('event_id', ':type')} < 8 THEN 'types' WHEN {sql_pick('event_id', ':version')} < 8 THEN 'schemaVersion'
+            WHEN {sql_pick('event_id', ':empty')} < 8 THEN 'operationId' WHEN {sql_pick('event_id', ':neg')} < 8 THEN 'statements' END AS reason
+          FROM events) GROUP BY reason""",
 )
 def read_events(t: Tables) -> DataFrame:
     """Events written as JSON lines, some of them broken, and read back."""
@@ -95,10 +98,16 @@ def read_events(t: Tables) -> DataFrame:
             pick("_id", ":neg") < 8, F.transform("statements", lambda s: s.withField("durationMs", F.lit(-1.0)))
         ).otherwise(F.col("statements")),
     })
-    broken.drop("_id").write.json(path)
+    text = F.to_json(F.struct(*[c for c in broken.columns if c != "_id"]), {"ignoreNullFields": "false"})
+    text = F.when(pick("_id", ":type") < 8, F.regexp_replace(text, '"rowsReturned":[^,]*', '"rowsReturned":"many"')).otherwise(text)
+    text = F.when(pick("_id", ":key") < 8, F.regexp_replace(text, "^[{]", '{"extra":1,')).otherwise(text)
+    text = F.when(pick("_id", ":cut") < 8, F.lit('{"schemaVersion":')).otherwise(text)
+    broken.select(text.alias("value")).write.text(path)
     valid, quarantine = ev.read_events(t.spark, path)
-    both = valid.withColumn("quarantined", F.lit(False)).unionByName(quarantine.withColumn("quarantined", F.lit(True)))
-    return both.groupBy("quarantined").agg(F.count(F.lit(1)).alias("events"), F.round(F.sum("durationMs"), 2).alias("duration"))
+    both = valid.select(F.lit(None).cast("string").alias("reason"), "durationMs").unionByName(
+        quarantine.select("reason", F.lit(None).cast("double").alias("durationMs"))
+    )
+    return both.groupBy("reason").agg(F.count(F.lit(1)).alias("events"), F.round(F.sum("durationMs"), 2).alias("duration"))
 
 
 def _resent(t: Tables) -> DataFrame:
@@ -426,13 +435,15 @@ def source_context(t: Tables) -> DataFrame:
     return files.source_context(corpus, flagged)
 
 
-@query("worksheet_roundtrip", """SELECT CAST(doc_id AS VARCHAR) AS doc_id, length(text) AS letters, lang, md5(text) AS digest FROM documents""")
+@query("worksheet_roundtrip", """SELECT CAST(doc_id AS VARCHAR) AS doc_id, length(text) AS letters, lang, md5(text) AS digest,
+    CASE WHEN doc_id % 7 = 0 THEN '' WHEN doc_id % 7 <> 1 THEN lang END AS note FROM documents""")
 def worksheet_roundtrip(t: Tables) -> DataFrame:
     """Whole texts, line breaks included, written as CSV and read back as strings."""
     path = fresh_path(t.spark, "worksheet")
-    files.write_csv(t.documents.select("doc_id", "text", "lang"), path)
-    sheet = files.read_worksheet(t.spark, path)
-    return sheet.select("doc_id", F.length("text").alias("letters"), "lang", F.md5(F.col("text").cast("binary")).alias("digest"))
+    empty = F.when(F.col("doc_id") % 7 == 0, "").when(F.col("doc_id") % 7 != 1, F.col("lang"))
+    files.write_csv(t.documents.select("doc_id", "text", "lang", empty.alias("note")), path, null="\\N")
+    sheet = files.read_worksheet(t.spark, path, null="\\N")
+    return sheet.select("doc_id", F.length("text").alias("letters"), "lang", "note", F.md5(F.col("text").cast("binary")).alias("digest"))
 
 
 @query(

@@ -15,33 +15,62 @@ from ..schemas import OPERATION_EVENT
 SCHEMA_VERSION = 1
 
 
-def _invalid() -> Column:
-    """Whether an event breaks a rule; a NULL where a value is required counts as broken."""
-    statement_ok = lambda s: (
-        s["sql"].isNotNull() & (s["paramCount"] >= 0) & s["kind"].isin("query", "execute") & (s["durationMs"] >= 0)
-    )
-    rules = [
-        F.col("schemaVersion") == SCHEMA_VERSION,
-        F.length("app") > 0,
-        F.length("operationId") > 0,
-        F.length("operation") > 0,
-        F.col("startedAt").isNotNull(),
-        F.col("durationMs") >= 0,
-        F.col("error").isNotNull(),
-        F.forall("statements", statement_ok),
-    ]
-    return ~reduce(lambda a, b: a & b, [F.coalesce(r, F.lit(False)) for r in rules])
+def _same_keys(found: Column, names: Sequence[str]) -> Column:
+    return F.sort_array(F.map_keys(found)) == F.array(*[F.lit(n) for n in sorted(names)])
+
+
+def _typed(found: Column, read: Column, names: Sequence[str]) -> Column:
+    """Whether every value that the text holds could be read as its type."""
+    return reduce(lambda a, b: a & b, [found[n].isNull() == read[n].isNull() for n in names])
 
 
-def split_valid(events: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(valid, quarantine): every row is in exactly one of them."""
-    return events.where(~_invalid()), events.where(_invalid())
+def _rules(names: Sequence[str], statement_names: Sequence[str]) -> dict[str, Column]:
+    """What an event must satisfy, in the order in which a broken rule is reported."""
+    e = F.col("_event")
+    statement_ok = lambda s, found: (
+        _same_keys(found, statement_names) & _typed(found, s, statement_names) & s["sql"].isNotNull()
+        & (s["paramCount"] >= 0) & s["kind"].isin("query", "execute") & (s["durationMs"] >= 0)
+    )
+    return {
+        "not a JSON object": F.col("_found").isNotNull(),
+        "keys": _same_keys(F.col("_found"), names),
+        "types": _typed(F.col("_found"), e, names),
+        "schemaVersion": e["schemaVersion"] == SCHEMA_VERSION,
+        "app": F.length(e["app"]) > 0,
+        "operationId": F.length(e["operationId"]) > 0,
+        "operation": F.length(e["operation"]) > 0,
+        "startedAt": e["startedAt"].isNotNull(),
+        "durationMs": e["durationMs"] >= 0,
+        "error": e["error"].isNotNull(),
+        "statements": F.forall(
+            F.zip_with(e["statements"], "_statements", lambda s, found: F.coalesce(statement_ok(s, found), F.lit(False))),
+            lambda ok: ok,
+        ),
+    }
+
+
+def parse_events(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(valid, quarantine) from lines of JSON text (column ``value``): every line is in exactly one.
+
+    An event holds exactly the known keys, each of its type; a NULL where a value is required counts as
+    broken. Quarantined rows are (value, reason): the line as it came and the first rule that it breaks.
+    """
+    read = lines.select(
+        "value", F.from_json("value", OPERATION_EVENT).alias("_event"),
+        F.from_json("value", "map<string,string>").alias("_found"),
+        F.from_json(F.get_json_object("value", "$.statements"), "array<map<string,string>>").alias("_statements"),
+    )
+    kind = read.schema["_event"].dataType
+    rules = _rules(kind.names, kind["statements"].dataType.elementType.names)
+    broken = F.coalesce(*[F.when(~F.coalesce(ok, F.lit(False)), F.lit(name)) for name, ok in rules.items()])
+    judged = read.withColumn("reason", broken)
+    return judged.where(F.col("reason").isNull()).select("_event.*"), judged.where(F.col("reason").isNotNull()).select("value", "reason")
 
 
 def read_events(spark: SparkSession, path: str, stream: bool = False) -> tuple[DataFrame, DataFrame]:
-    """Operation events from JSON lines, split into valid and quarantined ones."""
+    """Operation events from files of JSON lines, split into valid and quarantined ones."""
     reader = spark.readStream if stream else spark.read
-    return split_valid(reader.schema(OPERATION_EVENT).json(path))
+    return parse_events(reader.text(path))
 
 
 def operations(events: DataFrame) -> DataFrame:

@@ -14,6 +14,11 @@ from ..functions.exprs import csv_field
 #: Folders whose files are not the project's own.
 SKIPPED_DIRECTORIES = ("node_modules", ".git", "dist", "build", ".next", "generated")
 
+#: Levels of severity and confidence, and where evidence comes from.
+LEVELS = ("LOW", "MEDIUM", "HIGH")
+EVIDENCE_SOURCES = ("STATIC_SOURCE", "DECLARED_SCHEMA", "ACTUAL_SCHEMA", "SQL", "RUNTIME", "DATA_QUALITY")
+EVIDENCE_KEYS = ("source", "description", "file", "line", "data")
+
 #: JSON names of a finding and of an evidence item.
 FINDING_KEYS = {
     "schema_version": "schemaVersion", "rule_id": "ruleId", "severity": "severity", "confidence": "confidence",
@@ -42,15 +47,32 @@ _FINDING_JSON = (
 
 
 def parse_findings(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """(findings, rejected) from JSON lines; unknown keys and wrong versions are rejected."""
+    """(findings, rejected) from JSON lines. Unknown or missing keys, also of evidence, wrong versions, values
+    that are not of their type, unknown levels and unknown evidence sources are rejected."""
     known = list(FINDING_KEYS.values())
     required = [k for k in known if k not in ("endLine", "suggestedFix")]
     keys = F.json_object_keys("value")
-    parsed = lines.withColumn("f", F.from_json("value", _FINDING_JSON)).withColumn("_keys", keys)
+    parsed = lines.withColumn("f", F.from_json("value", _FINDING_JSON)).withColumn("_keys", keys).withColumns({
+        "_found": F.from_json("value", "map<string,string>"),
+        "_items": F.from_json(F.get_json_object("value", "$.evidence"), "array<map<string,string>>"),
+    })
+    listed = lambda names: F.array(*[F.lit(n) for n in names])
+    item_ok = lambda e, found: (
+        (F.size(F.array_except(F.map_keys(found), listed(EVIDENCE_KEYS))) == 0)
+        & e["source"].isin(*EVIDENCE_SOURCES) & e["description"].isNotNull()
+        & (e["line"].isNull() == found["line"].isNull())
+    )
+    typed = F.lit(True)
+    for name in known:
+        typed = typed & (F.col("_found")[name].isNull() == F.col(f"f.{name}").isNull())
+    for name in required:
+        typed = typed & F.col(f"f.{name}").isNotNull()
     good = (
         (F.size(F.array_except("_keys", F.array(*[F.lit(k) for k in known]))) == 0)
         & (F.size(F.array_except(F.array(*[F.lit(k) for k in required]), F.col("_keys"))) == 0)
-        & (F.col("f.schemaVersion") == 1)
+        & (F.col("f.schemaVersion") == 1) & typed
+        & F.col("f.severity").isin(*LEVELS) & F.col("f.confidence").isin(*LEVELS)
+        & F.forall(F.zip_with("f.evidence", "_items", lambda e, i: F.coalesce(item_ok(e, i), F.lit(False))), lambda ok: ok)
     )
     good = F.coalesce(good, F.lit(False))
     item = lambda e: F.struct(
@@ -82,14 +104,18 @@ def csv_lines(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return df.select(F.concat_ws(",", *[csv_field(c) for c in columns]).alias("value"))
 
 
-def write_csv(df: DataFrame, path: str) -> None:
-    """CSV files with a header; quotes are doubled and NULL is empty."""
-    df.write.csv(path, header=True, quote='"', escape='"', emptyValue="", nullValue="", quoteAll=True)
+def write_csv(df: DataFrame, path: str, null: str = "") -> None:
+    """CSV files with a header; quotes are doubled and NULL is written as ``null``."""
+    df.write.csv(path, header=True, quote='"', escape='"', emptyValue="", nullValue=null, quoteAll=True)
 
 
-def read_worksheet(spark: SparkSession, path: str) -> DataFrame:
-    """A CSV worksheet with a header, every column a string, fields may span lines."""
-    return spark.read.csv(path, header=True, multiLine=True, quote='"', escape='"')
+def read_worksheet(spark: SparkSession, path: str, null: str | None = None) -> DataFrame:
+    """A CSV worksheet with a header, every column a string, fields may span lines. An empty field is an
+    empty text; only a field that equals ``null`` is NULL."""
+    sheet = spark.read.csv(path, header=True, multiLine=True, quote='"', escape='"').fillna("")
+    if null is None:
+        return sheet
+    return sheet.select(*[F.nullif(F.col(f"`{c}`"), F.lit(null)).alias(c) for c in sheet.columns])
 
 
 def own_files(df: DataFrame, path: str = "path") -> DataFrame:

@@ -109,8 +109,18 @@ def test_broken_events_are_quarantined(read):
         {**good, "statements": [{"sql": "x", "paramCount": -1, "kind": "query", "durationMs": 1.0, "rows": None}]},
         {**good, "statements": [{"sql": "x", "paramCount": 1, "kind": "other", "durationMs": 1.0, "rows": None}]},
     ]
+    statement = good["statements"][0]
+    bad += [
+        {**good, "extra": 1}, {k: v for k, v in good.items() if k != "route"}, {**good, "rowsReturned": "many"}, {**good, "statements": None},
+        {**good, "statements": [{**statement, "extra": 1}]}, {**good, "statements": [{**statement, "rows": "many"}]}, {**good, "statements": [None]}, 7,
+    ]
     valid, quarantine = read([good, *bad])
-    assert [r["operationId"] for r in valid.collect()] == ["ok"] and quarantine.count() == len(bad)
+    assert [r["operationId"] for r in valid.collect()] == ["ok"]
+    reasons = {r["value"]: r["reason"] for r in quarantine.collect()}
+    assert sorted(reasons) == sorted(json.dumps(b) for b in bad)
+    assert [reasons[json.dumps(b)] for b in bad] == [
+        "schemaVersion", "operationId", "durationMs", "app", "error", "statements", "statements", "keys", "keys", "types", "statements", "statements",
+        "statements", "statements", "not a JSON object"]
 
 
 def test_sql_files_and_statements(spark, tmp_path):
@@ -126,12 +136,23 @@ def test_unknown_finding_keys_are_rejected(spark):
     good = {"schemaVersion": 1, "ruleId": "R", "severity": "LOW", "confidence": "LOW", "file": "f", "line": 1, "title": "t", "body": "b",
             "evidence": [{"source": "SQL", "description": "d", "data": {"b": 1, "a": [2]}}], "fingerprint": "x"}
     rows = [good, {**good, "extra": 1}, {**good, "schemaVersion": 2}, {k: v for k, v in good.items() if k != "title"}]
+    rows += [{**good, "severity": "CRITICAL"}, {**good, "confidence": "XX"}, {**good, "line": "one"}, {**good, "title": None}, {**good, "evidence": [None]}]
+    rows += [{**good, "evidence": [{**good["evidence"][0], **c}]} for c in ({"source": "NOPE"}, {"extra": 1}, {"line": "one"}, {"description": None})]
     found, rejected = files.parse_findings(spark.createDataFrame([(json.dumps(r),) for r in rows], "value string"))
-    assert [json.loads(r["evidence"][0]["data"]) for r in found.collect()] == [{"a": [2], "b": 1}] and rejected.count() == 3
+    assert [json.loads(r["evidence"][0]["data"]) for r in found.collect()] == [{"a": [2], "b": 1}] and rejected.count() == len(rows) - 1
     (line,) = [json.loads(r["value"]) for r in files.findings_json(found).collect()]
     assert line == good
 
 
+def test_empty_fields_of_a_worksheet(spark, tmp_path):
+    rows = [("a", ""), ("b", None), ("c", 'x "y",\nz')]
+    for null, want in (("", ["", "", rows[2][1]]), ("<none>", ["", None, rows[2][1]])):
+        path = str(tmp_path / f"sheet{len(null)}")
+        files.write_csv(spark.createDataFrame(rows, "k string, v string"), path, null=null)
+        sheet = files.read_worksheet(spark, path, null=null or None)
+        assert [r["v"] for r in sorted(sheet.collect())] == want
+
+
 def test_session_bounds_are_inclusive(spark):
     at = lambda m, s: datetime(2026, 1, 1, 10, m, s)
     ops = spark.createDataFrame([(1, at(0, 0)), (2, at(5, 30)), (3, at(5, 31)), (4, at(20, 0))], "id int, started_at timestamp_ntz")
