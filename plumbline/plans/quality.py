@@ -6,7 +6,7 @@ Daily windows of ``events`` are the history; the corrupted last day is the windo
 
 from __future__ import annotations
 
-from datetime import datetime
+from datetime import datetime, timedelta
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -18,14 +18,28 @@ from ..sources import profile_store
 from ..sources.tables import Tables, expected_type, narrowed, spark_type
 from .registry import query
 
+#: The driver's tables and their columns.
 SCHEMA = {
-    "orders": ["o_orderkey", "o_custkey", "o_orderstatus", "o_totalprice", "o_orderdate", "o_orderpriority"],
-    "customer": ["c_custkey", "c_name", "c_nationkey", "c_acctbal", "c_mktsegment"],
-    "part": ["p_partkey", "p_name", "p_brand", "p_type", "p_size", "p_retailprice"],
+    name: columns.split() for name, columns in {
+        "region": "r_regionkey r_name",
+        "nation": "n_nationkey n_name n_regionkey",
+        "customer": "c_custkey c_name c_nationkey c_acctbal c_mktsegment",
+        "supplier": "s_suppkey s_name s_nationkey s_acctbal",
+        "part": "p_partkey p_name p_brand p_type p_size p_retailprice",
+        "orders": "o_orderkey o_custkey o_orderstatus o_totalprice o_orderdate o_orderpriority",
+        "lineitem": "l_orderkey l_partkey l_suppkey l_linenumber l_quantity l_extendedprice l_discount l_tax l_returnflag l_linestatus l_shipdate",
+        "events": "event_id ts user_id event_type value props",
+        "documents": "doc_id text lang source n_chars",
+        "embeddings": "vec_id embedding label",
+        "pages": "page_id url html",
+        "benchmark": "item_id text",
+        "labels": "doc_id quality toxic",
+        "conversations": "conv_id turn role text",
+    }.items()
 }
 LAST_DAY = datetime(2024, 1, 30)
 DAYS = profile.consecutive_windows(datetime(2024, 1, 31), 30, 1)
-MONTHS = profile.consecutive_windows(datetime(2001, 8, 2), 12, 30)
+PERIOD = 90
 
 
 def sql_pick(row_id: str, salt: str) -> str:
@@ -60,21 +74,26 @@ def profile_tables(t: Tables) -> DataFrame:
     return _snapshot(t)["tables"].drop("window_start")
 
 
-@query("profile_lineitem", " UNION ALL ".join(
-    _sql_profile("lineitem", c) for c in ("l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity",
-                                          "l_discount", "l_returnflag", "l_linestatus", "l_shipdate")))
+@query("profile_lineitem", " UNION ALL ".join(_sql_profile("lineitem", c) for c in SCHEMA["lineitem"]))
 def profile_lineitem(t: Tables) -> DataFrame:
-    columns = ["l_orderkey", "l_partkey", "l_suppkey", "l_linenumber", "l_quantity", "l_discount",
-               "l_returnflag", "l_linestatus", "l_shipdate"]
-    histogram = profile.value_histogram(t.lineitem, "lineitem", columns)
+    histogram = profile.value_histogram(t.lineitem, "lineitem")
     return profile.column_profile(histogram).drop("data_type", "window_start")
 
 
-_SQL_MONTHS = (
-    "(SELECT TIMESTAMP '2001-08-02' - to_days(CAST(30 * (n + 1) AS INTEGER)) AS ws, "
-    "TIMESTAMP '2001-08-02' - to_days(CAST(30 * n AS INTEGER)) AS we FROM range(12) r(n))"
-)
-_WINDOWED_COLUMNS = ["o_orderdate", "o_orderpriority", "o_orderstatus", "o_custkey"]
+def _periods(t: Tables) -> list[profile.Window]:
+    """Windows of PERIOD days that end after the day of the newest order and cover the oldest."""
+    day = lambda c: F.date_trunc("day", c).cast("timestamp_ntz")
+    oldest, newest = t.orders.agg(day(F.min("o_orderdate")), day(F.max("o_orderdate"))).first()
+    if oldest is None:
+        return profile.consecutive_windows(datetime(2000, 1, 1), 1, PERIOD)
+    end = newest + timedelta(days=1)
+    return profile.consecutive_windows(end, -(-(end - oldest).days // PERIOD), PERIOD)
+
+
+_SQL_MONTHS = f"""(SELECT e - to_days(CAST({PERIOD} * (n + 1) AS INTEGER)) AS ws, e - to_days(CAST({PERIOD} * n AS INTEGER)) AS we FROM (
+    SELECT e, unnest(range(CAST(ceil(date_diff('day', s, e) / {PERIOD}.0) AS BIGINT))) AS n FROM (
+      SELECT date_trunc('day', min(o_orderdate))::TIMESTAMP AS s, date_trunc('day', max(o_orderdate))::TIMESTAMP + INTERVAL 1 DAY AS e FROM orders)))"""
+_WINDOWED_COLUMNS = SCHEMA["orders"]
 
 
 @query(
@@ -87,7 +106,7 @@ _WINDOWED_COLUMNS = ["o_orderdate", "o_orderpriority", "o_orderstatus", "o_custk
 )
 def profile_windowed(t: Tables) -> DataFrame:
     """Windows without rows are reported with 0 rows and undefined rates."""
-    histogram = profile.value_histogram(t.orders, "orders", _WINDOWED_COLUMNS, "o_orderdate", MONTHS)
+    histogram = profile.value_histogram(t.orders, "orders", _WINDOWED_COLUMNS, "o_orderdate", _periods(t))
     return profile.column_profile(histogram).drop("data_type")
 
 
@@ -97,9 +116,10 @@ def profile_windowed(t: Tables) -> DataFrame:
         LEFT JOIN orders ON o_orderdate >= ws AND o_orderdate < we GROUP BY ws, we""",
 )
 def make_windows(t: Tables) -> DataFrame:
-    """Consecutive windows ending at a date, with the orders in each."""
-    windows = profile.make_windows(t.spark, datetime(2001, 8, 2), 12, 30)
-    starts = F.explode(profile.window_start_of(F.col("o_orderdate"), MONTHS))
+    """Consecutive windows over all orders, with the orders in each."""
+    spans = _periods(t)
+    windows = profile.make_windows(t.spark, spans[-1][1], len(spans), PERIOD)
+    starts = F.explode(profile.window_start_of(F.col("o_orderdate"), spans))
     counted = t.orders.select(starts.alias("window_start")).groupBy("window_start").agg(F.count(F.lit(1)).alias("orders"))
     return windows.join(counted, "window_start", "left").fillna(0, ["orders"])
 
@@ -112,17 +132,18 @@ _SQL_CATEGORY = """SELECT 'orders' AS "table", '{c}' AS "column", ws AS window_s
 
 @query("category_frequency", " UNION ALL ".join(_SQL_CATEGORY.format(c=c, m=_SQL_MONTHS) for c in _WINDOWED_COLUMNS))
 def category_frequency(t: Tables) -> DataFrame:
-    histogram = profile.value_histogram(t.orders, "orders", _WINDOWED_COLUMNS, "o_orderdate", MONTHS)
+    histogram = profile.value_histogram(t.orders, "orders", _WINDOWED_COLUMNS, "o_orderdate", _periods(t))
     return profile.category_frequency(histogram)
 
 
 @query(
     "value_histogram",
-    """SELECT 'l_quantity' AS "column", CAST(l_quantity AS VARCHAR) AS value, count(*) AS n FROM lineitem GROUP BY ALL
-       UNION ALL SELECT 'l_shipdate', CAST(l_shipdate AS VARCHAR), count(*) FROM lineitem GROUP BY ALL""",
+    " UNION ALL ".join(
+        f"""SELECT '{c}' AS "column", CAST({c} AS VARCHAR) AS value, count(*) AS n FROM lineitem GROUP BY ALL""" for c in SCHEMA["lineitem"]
+    ),
 )
 def value_histogram(t: Tables) -> DataFrame:
-    histogram = profile.value_histogram(t.lineitem, "lineitem", ["l_quantity", "l_shipdate"])
+    histogram = profile.value_histogram(t.lineitem, "lineitem")
     return histogram.where(F.col("n") > 0).select("column", "value", "n")
 
 
@@ -132,21 +153,17 @@ def approx_profile(t: Tables) -> DataFrame:
 
 
 def _stored(t: Tables) -> dict[str, DataFrame]:
-    """A store with one snapshot run and twelve windowed runs of ``orders``."""
+    """A store with one snapshot run and a run of ``orders`` for each window."""
     path = fresh_path(t.spark, "profiles")
-    month = profile.profile({"orders": t.orders}, MONTHS, columns={"orders": _WINDOWED_COLUMNS})
-    columns, categories = profile.settle(month)
+    spans = _periods(t)
+    columns, categories = profile.settle(profile.profile({"orders": t.orders}, spans))
     named = lambda df: df.withColumn("run_id", F.date_format("window_start", "'w'yyyyMMdd")).withColumns(
         {"app": F.lit("shop"), "label": F.lit("clean")}
     )
-    for start, end in MONTHS:
-        run = profile_store.run_row(
-            t.spark, f"w{start:%Y%m%d}", "shop", "clean", datetime(2001, 8, 3), (start, end),
-            time_columns={"orders": "o_orderdate"},
-        )
-        profile_store.append_profile(path, run=run)
-    profile_store.append_profile(path, column=named(columns), category=named(categories))
-    whole = profile.profile({"orders": t.orders}, columns={"orders": _WINDOWED_COLUMNS})["columns"]
+    windows = profile.make_windows(t.spark, spans[-1][1], len(spans), PERIOD)
+    runs = profile_store.run_rows(windows, "shop", "clean", datetime(2001, 8, 3), time_columns={"orders": "o_orderdate"})
+    profile_store.append_profile(path, run=runs, column=named(columns), category=named(categories))
+    whole = profile.profile({"orders": t.orders})["columns"]
     snapshot = {"run_id": F.lit("snapshot"), "app": F.lit("shop"), "label": F.lit("clean")}
     profile_store.append_profile(
         path, run=profile_store.run_row(t.spark, "snapshot", "shop", "clean", datetime(2001, 8, 4)),
@@ -181,13 +198,24 @@ def category_history(t: Tables) -> DataFrame:
     return history.select("window_start", text.alias("distribution"))
 
 
-@query("profile_runs")
+@query(
+    "profile_runs",
+    f"""SELECT 'w' || strftime(ws, '%Y%m%d') AS run_id, 'shop' AS app, 'clean' AS label, TIMESTAMP '2001-08-03' AS profiled_at, ws AS window_start,
+          we AS window_end, {len(SCHEMA['orders'])} AS columns FROM {_SQL_MONTHS}
+        UNION ALL SELECT 'snapshot', 'shop', 'clean', TIMESTAMP '2001-08-04', NULL, NULL, {len(SCHEMA['orders'])}""",
+)
 def profile_runs(t: Tables) -> DataFrame:
     s = _stored(t)
     return profile_store.profile_runs(s["run"], s["column"], "shop")
 
 
-@query("profile_run_summary")
+@query(
+    "profile_run_summary",
+    f"""SELECT 'w' || strftime(ws, '%Y%m%d') AS run_id, 'shop' AS app, 'clean' AS label, ws AS window_start, we AS window_end, 1 AS tables,
+          {len(SCHEMA['orders'])} AS columns, coalesce(n, 0) AS category_rows FROM {_SQL_MONTHS} LEFT JOIN (SELECT window_start AS ws, count(*) AS n
+          FROM ({" UNION ALL ".join(f"SELECT * FROM ({_SQL_CATEGORY.format(c=c, m=_SQL_MONTHS)})" for c in _WINDOWED_COLUMNS)}) GROUP BY 1) USING (ws)
+        UNION ALL SELECT 'snapshot', 'shop', 'clean', NULL, NULL, 1, {len(SCHEMA['orders'])}, 0""",
+)
 def profile_run_summary(t: Tables) -> DataFrame:
     s = _stored(t)
     tables = s["column"].select("run_id", "table").distinct()

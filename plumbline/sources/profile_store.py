@@ -35,6 +35,23 @@ def run_row(
     )
 
 
+def run_rows(
+    windows: DataFrame, app: str, label: str | None, profiled_at: datetime, max_categories: int = 50,
+    time_columns: Mapping[str, str] | None = None, skipped_tables: Mapping[str, str] | None = None,
+) -> DataFrame:
+    """One run per window, named after the day on which the window starts."""
+    one = run_row(windows.sparkSession, "", app, label, profiled_at, None, max_categories, time_columns, skipped_tables)
+    named = windows.select(F.date_format("window_start", "'w'yyyyMMdd").alias("run_id"), "window_start", "window_end")
+    pairs = lambda values: F.map_from_arrays(
+        F.array(*[F.lit(k) for k in values]).cast("array<string>"), F.array(*[F.lit(v) for v in values.values()]).cast("array<string>")
+    )
+    full = named.withColumns({
+        "app": F.lit(app), "label": F.lit(label), "max_categories": F.lit(max_categories), "profiled_at": F.lit(profiled_at).cast("timestamp_ntz"),
+        "time_columns": pairs(dict(time_columns or {})), "skipped_tables": pairs(dict(skipped_tables or {})),
+    })
+    return full.select(*[F.col(f.name).cast(f.dataType).alias(f.name) for f in one.schema])
+
+
 def append_profile(path: str, **parts: DataFrame) -> None:
     """Appends the given parts (``run``, ``table``, ``column``, ``category``, ``integrity``).
 

@@ -16,14 +16,13 @@ from plumbline.plans.catalogue import ORACLES, QUERIES
 DIRECTORY = os.environ.get("ORACLE_SF_DIR", "/root/testdata/sf0.001")
 #: Queries whose rows come from sketches or seeded resampling.
 WITHOUT_SQL = {
-    "approx_profile", "profile_runs", "profile_run_summary", "delta_bootstrap", "problem_bootstrap", "kappa_ci",
-    "cluster_bootstrap",
+    "approx_profile", "delta_bootstrap", "problem_bootstrap", "kappa_ci", "cluster_bootstrap",
 }
 
 
 #: What runs by default.
 USUAL = (
-    "q01", "q08", "q15", "q22", "q28", "profile_s", "profile_w", "category_f", "orphans", "integrity_s", "column_div", "key_div",
+    "q01", "q08", "q15", "q22", "q28", "profile_s", "profile_w", "profile_r", "value_h", "category_f", "orphans", "integrity_s", "column_div", "key_div",
     "verify", "corrupt", "anomaly_detect", "backtest_s", "read_events", "operations_n", "sql_fingerprint", "n_plus_one", "shape_stats",
     "split_st", "source_c", "findings_json", "repeatability", "finding_ids", "findings_diff", "select_until", "stratified",
     "correlate_f", "score_counts", "compare_conf", "cliffs", "kappa", "fisher", "stream_dedupe", "stream_profile", "stream_upsert", "stream_judge", "worksheet",
