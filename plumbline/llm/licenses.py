@@ -1,9 +1,11 @@
 """License scans by conditional compression.
 
 Lines that hold a licence word, with the neighbouring lines written in the templates' words, are candidate blocks. A
-block is compressed with zstandard alone and with each template as raw dictionary; the templates are ranked by how much
-their dictionary shortens the block. The best ranked ones are compared word by word, and the one with the fewest
-differences that still holds enough of the template's words is confirmed; the differences are reported exactly.
+long block is read in overlapping windows around its licence words, each a few times the longest template. A window is
+compressed with zstandard alone and with each template as raw dictionary; the templates are ranked by how much their
+dictionary shortens the window. Every template whose words the window can hold is compared word by word with the place
+nearest to it, and the one with the fewest differences that still holds enough of the template's words is confirmed; the
+differences are reported exactly.
 
 Defined results: NULL and empty texts have no blocks. A block that no template explains has a NULL license. Ties in size
 go to the template that sorts first. Rows are scanned one by one, so repeated rows agree; rows without doc_id keep it
@@ -14,8 +16,11 @@ from __future__ import annotations
 
 import difflib
 import re
+from bisect import bisect_right
+from collections import Counter
 from collections.abc import Iterator, Mapping
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -47,13 +52,37 @@ TEMPLATES: dict[str, str] = {
 #: A line with one of these (lower case) opens a block.
 CUES = ("licen", "copyright", "permission", "warrant", "rights reserved", "redistribut", "cc by", "cc0")
 LEVEL = 9
-#: Templates compared word by word, and the share of a template's words that must stand in the block in order.
-RANKED, COVERAGE = 5, 0.85
-_WORD = re.compile(r"[\w+.-]*\w")
+#: The share of a template's words that must stand in the block in order.
+COVERAGE = 0.85
+#: What a missing or replaced word of the template and a word put between its words cost when its place is sought.
+MISSING, INSERTED = 10, 1
+#: Characters of the windows that a task remembers.
+REMEMBERED = 1 << 24
+_WORD = re.compile(r"(?<![\w+.-])[\w+.-]*\w")
+_CUE = re.compile("|".join(map(re.escape, CUES)))
+
+
+def lowered(text: str) -> str:
+    """Lower case, character by character, so that places stay."""
+    low = text.lower()
+    return low if len(low) == len(text) else "".join(x if len(x := c.lower()) == 1 else c for c in text)
 
 
 def words(text: str) -> list[str]:
-    return _WORD.findall(text.lower())
+    return _WORD.findall(lowered(text))
+
+
+def nearest(template: np.ndarray, own: np.ndarray) -> tuple[int, int]:
+    """The range of ``own`` that turns into ``template`` at the lowest cost; of equal ones the latest start."""
+    unit, n = 1 << 32, len(own)
+    inserted = np.arange(n + 1) * (INSERTED * unit)
+    row = n - np.arange(n + 1)  # cost * unit + n - start
+    for word in template:
+        following = row + MISSING * unit
+        np.minimum(following[1:], row[:-1] + np.where(own == word, 0, MISSING * unit), out=following[1:])
+        row = np.minimum.accumulate(following - inserted) + inserted
+    end = int(row.argmin())
+    return n - int(row[end] % unit), end
 
 
 class Scanner:
@@ -64,7 +93,10 @@ class Scanner:
 
         self.names = sorted(templates)
         self.words = [words(templates[n]) for n in self.names]
-        self.vocabulary = set().union(*self.words) if self.words else set()
+        self.vocabulary = {w: k for k, w in enumerate(sorted(set().union(*self.words)))}
+        self.codes = [np.array([self.vocabulary[w] for w in own], np.int64) for own in self.words]
+        self.counts = [Counter(own) for own in self.words]
+        self.reach = max(map(len, self.words), default=1)
         dictionaries = [
             zstandard.ZstdCompressionDict(templates[n].encode(), dict_type=zstandard.DICT_TYPE_RAWCONTENT) for n in self.names
         ]
@@ -72,6 +104,7 @@ class Scanner:
         self.alone = zstandard.ZstdCompressor(**plain)
         self.given = [zstandard.ZstdCompressor(dict_data=d, write_dict_id=False, **plain) for d in dictionaries]
         self.seen: dict[str, tuple] = {}
+        self.remembered = 0
 
     def blocks(self, text: str) -> Iterator[tuple[int, int, str]]:
         """(first line, last line, block): runs of lines around a cue whose words are mostly the templates'."""
@@ -98,24 +131,60 @@ class Scanner:
             yield first, last, "\n".join(lines[first : last + 1])
             i = last + 1
 
+    def windows(self, low: str, starts: list[int]) -> Iterator[tuple[int, int]]:
+        """Ranges of words: all of a short block, else those around the cues, so that each notice is whole in one."""
+        n = len(starts)
+        if n <= 5 * self.reach:
+            yield 0, n
+            return
+        end = 0
+        for cue in _CUE.finditer(low):
+            at = bisect_right(starts, cue.start()) - 1
+            if at >= end:
+                end = at + self.reach
+                yield max(0, at - 2 * self.reach), min(n, end + 2 * self.reach)
+
     def explain(self, block: str) -> tuple[str | None, int, float, float, list[str]]:
         """(license, rank, reduction, coverage, differences); license is None if no template is confirmed."""
-        known = self.seen.get(block)
+        low = lowered(block)
+        starts = [m.start() for m in _WORD.finditer(low)]
+        best, most = None, None
+        for first, last in self.windows(low, starts):
+            text = block[starts[first] if first else 0 : starts[last] if last < len(starts) else len(block)]
+            gain, found = self.remember(text)
+            most = gain if most is None else max(most, gain)
+            if found and (best is None or found[0] < best[0]):
+                best = found
+        if best is None:
+            return None, 0, float(most or 0.0), 0.0, []
+        return best[1:]
+
+    def remember(self, text: str):
+        known = self.seen.get(text)
         if known is None:
-            if len(self.seen) > 100_000:
+            self.remembered += len(text)
+            if self.remembered > REMEMBERED:
                 self.seen.clear()
-            known = self.seen[block] = self._explain(block)
+                self.remembered = len(text)
+            known = self.seen[text] = self._explain(text)
         return known
 
-    def _explain(self, block: str):
-        data, own = block.encode("utf-8", "surrogatepass"), words(block)
+    def _explain(self, text: str):
+        """The largest reduction and ((differences, -equal words), license, rank, reduction, coverage, differences) or None."""
+        data, own = text.encode("utf-8", "surrogatepass"), words(text)
         size = len(self.alone.compress(data))
         gains = [(size - len(c.compress(data))) / size for c in self.given]
         ranked = sorted(range(len(gains)), key=lambda i: (-gains[i], self.names[i]))
+        has = Counter(w for w in own if w in self.vocabulary)
+        codes = np.array([self.vocabulary.get(w, -1) for w in own], np.int64)
         best = None
-        for rank, i in enumerate(ranked[:RANKED], 1):
-            matcher = difflib.SequenceMatcher(None, self.words[i], own, autojunk=False)
-            steps = matcher.get_opcodes()
+        for rank, i in enumerate(ranked, 1):
+            # Words that the window does not hold at all cannot be covered.
+            if sum(min(n, has[w]) for w, n in self.counts[i].items()) < COVERAGE * max(1, len(self.words[i])):
+                continue
+            first, last = nearest(self.codes[i], codes)
+            place = own[first:last]
+            steps = difflib.SequenceMatcher(None, self.words[i], place, autojunk=False).get_opcodes()
             equal = sum(b - a for tag, a, b, _, _ in steps if tag == "equal")
             coverage = equal / max(1, len(self.words[i]))
             common = [k for k, step in enumerate(steps) if step[0] == "equal"]
@@ -125,14 +194,12 @@ class Scanner:
                 around = not common or not common[0] < k < common[-1]
                 if tag == "equal" or (around and a == b):
                     continue
-                here, there = self.words[i][a:b], [] if around else own[c:d]
+                here, there = self.words[i][a:b], [] if around else place[c:d]
                 told.append(f"{' '.join(here)} -> {' '.join(there)}")
                 count += max(len(here), len(there))
-            if gains[i] > 0 and coverage >= COVERAGE and (best is None or (count, -equal) < best[0]):
+            if coverage >= COVERAGE and (best is None or (count, -equal) < best[0]):
                 best = ((count, -equal), self.names[i], rank, gains[i], coverage, told)
-        if best is None:
-            return None, 0, float(max(gains, default=0.0)), 0.0, []
-        return best[1:]
+        return float(max(gains, default=0.0)), best
 
 
 def scan(docs: DataFrame, templates: Mapping[str, str] | None = None) -> DataFrame:

@@ -139,6 +139,26 @@ def test_license_lines(spark, documents, odd):
     assert rows[1]["license"] in ("GPL-2.0", "GPL-3.0") and len(rows[1]["differences"]) == 1 and rows[1]["first_line"] == 1
 
 
+def test_license_in_long_lines(spark):
+    """A notice in a text without line breaks is found wherever it stands, also between many other licence words."""
+    rng = np.random.default_rng(4)
+    plain = ["".join(rng.choice(list("abdeghilnorstu"), n)) for n in rng.integers(2, 10, 4000)] + ["the", "of", "all", "this"] * 400
+    rows, wanted = [], {}
+    for size in (5_000, 20_000, 100_000):
+        for k, (name, template) in enumerate(licenses.TEMPLATES.items()):
+            prose = " ".join(rng.choice(plain, size // 6))
+            cut = prose.index(" ", (k + 1) * len(prose) // 20)
+            wanted[len(rows)] = name
+            rows.append((len(rows), f"{prose[:cut]}. {template} Then{prose[cut:]}"))
+    licence = "nobody asked for a license or a permission to cross the river at night " * 1500
+    wanted[len(rows)] = "MPL-2.0"
+    rows.append((len(rows), f"{licence}{licenses.TEMPLATES['MPL-2.0']} {licence}"))
+    docs = spark.createDataFrame([*rows, (len(rows), licence)], "doc_id long, text string")
+    got = licenses.scan(docs).collect()
+    assert {r["doc_id"]: r["license"] for r in got if r["license"]} == wanted
+    assert all(not r["differences"] for r in got) and [r["license"] for r in got if r["doc_id"] == len(rows)] == [None]
+
+
 def test_byte_pairs_equal_library(spark, documents, odd):
     tokenizer = Tokenizer.from_file(tokenizer_path(BYTE))
     for docs in (documents, odd):
