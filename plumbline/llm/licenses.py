@@ -5,10 +5,11 @@ long block is read in overlapping windows around its licence words, each a few t
 compressed with zstandard alone and with each template as raw dictionary; the templates are ranked by how much their
 dictionary shortens the window. Every template whose words the window can hold is compared word by word with the place
 nearest to it, and the one with the fewest differences that still holds enough of the template's words is confirmed; the
-differences are reported exactly.
+differences are reported exactly. Its words are taken out and the words before and after them are explained in the same
+way, until nothing is confirmed; of places in two windows that overlap, the one with fewer differences counts.
 
-Defined results: NULL and empty texts have no blocks. A block that no template explains has a NULL license. Ties in size
-go to the template that sorts first. Rows are scanned one by one, so repeated rows agree; rows without doc_id keep it
+Defined results: NULL and empty texts have no blocks. Each confirmed notice is a row with the lines of its own words. A
+block in which nothing is confirmed is one row with a NULL license and the lines of the block. Ties in size go to the template that sorts first. Rows are scanned one by one, so repeated rows agree; rows without doc_id keep it
 NULL. An empty table gives no rows. Columns other than doc_id and text are not read.
 """
 
@@ -144,20 +145,44 @@ class Scanner:
                 end = at + self.reach
                 yield max(0, at - 2 * self.reach), min(n, end + 2 * self.reach)
 
-    def explain(self, block: str) -> tuple[str | None, int, float, float, list[str]]:
-        """(license, rank, reduction, coverage, differences); license is None if no template is confirmed."""
+    def explain(self, block: str) -> list[tuple[int, int, str | None, int, float, float, list[str]]]:
+        """(first line, last line, license, rank, reduction, coverage, differences) of each confirmed notice in the block.
+
+        One row with license None if nothing is confirmed.
+        """
         low = lowered(block)
         starts = [m.start() for m in _WORD.finditer(low)]
-        best, most = None, None
-        for first, last in self.windows(low, starts):
-            text = block[starts[first] if first else 0 : starts[last] if last < len(starts) else len(block)]
-            gain, found = self.remember(text)
-            most = gain if most is None else max(most, gain)
-            if found and (best is None or found[0] < best[0]):
-                best = found
-        if best is None:
-            return None, 0, float(most or 0.0), 0.0, []
-        return best[1:]
+        taken: list[tuple] = []  # (first word, last word + 1, notice), in order and apart
+        most = None
+        todo = list(self.windows(low, starts))
+        while todo:
+            found = []
+            for first, last in todo:
+                text = block[starts[first] if first else 0 : starts[last] if last < len(starts) else len(block)]
+                gain, notices = self.remember(text)
+                most = gain if most is None else max(most, gain)
+                found += [(score, first + a, first + b, notice, (first, last)) for score, a, b, notice in notices]
+            found.sort(key=lambda f: (f[0], f[1], f[2]))
+            again = set()
+            for _, a, b, notice, window in found:
+                k = bisect_right(taken, a, key=lambda t: t[0])
+                if (k == 0 or taken[k - 1][1] <= a) and (k == len(taken) or b <= taken[k][0]):
+                    taken.insert(k, (a, b, notice))
+                elif k == 0 or taken[k - 1][:2] != (a, b):
+                    again.add(window)
+            # Where another window's notice was better, the words beside it are explained again.
+            todo = []
+            for first, last in sorted(again):
+                for a, b, _ in taken:
+                    if first < b and a < last:
+                        todo.append((first, a))
+                        first = b
+                todo.append((first, last))
+            todo = [(a, b) for a, b in todo if a < b]
+        if not taken:
+            return [(0, block.count("\n"), None, 0, float(most or 0.0), 0.0, [])]
+        ends = [m.start() for m in re.finditer("\n", block)]
+        return [(bisect_right(ends, starts[a]), bisect_right(ends, starts[b - 1]), *notice) for a, b, notice in taken]
 
     def remember(self, text: str):
         known = self.seen.get(text)
@@ -169,24 +194,45 @@ class Scanner:
             known = self.seen[text] = self._explain(text)
         return known
 
-    def _explain(self, text: str):
-        """The largest reduction and ((differences, -equal words), license, rank, reduction, coverage, differences) or None."""
-        data, own = text.encode("utf-8", "surrogatepass"), words(text)
+    def gains(self, text: str) -> list[float]:
+        data = text.encode("utf-8", "surrogatepass")
         size = len(self.alone.compress(data))
-        gains = [(size - len(c.compress(data))) / size for c in self.given]
-        ranked = sorted(range(len(gains)), key=lambda i: (-gains[i], self.names[i]))
+        return [(size - len(c.compress(data))) / size for c in self.given]
+
+    def _explain(self, text: str):
+        """The largest reduction, and ((differences, -equal words), first word, last word + 1, notice) of each notice."""
+        low = lowered(text)
+        starts = [m.start() for m in _WORD.finditer(low)]
+        own = words(low)
+        whole, found, rest = self.gains(text), [], [(0, len(own))]
+        while rest:
+            first, last = rest.pop()
+            closest = self.closest(own[first:last])
+            if not closest:
+                continue
+            gains = whole
+            if last - first < len(own):
+                gains = self.gains(text[starts[first] : starts[last] if last < len(own) else len(text)])
+            ranked = sorted(range(len(gains)), key=lambda k: (-gains[k], self.names[k]))
+            rank, score, i, a, b, coverage, told = min((ranked.index(c[1]) + 1, *c) for c in closest)
+            found.append((score, first + a, first + b, (self.names[i], rank, gains[i], coverage, told)))
+            rest += [(x, y) for x, y in ((first, first + a), (first + b, last)) if x < y]
+        return float(max(whole, default=0.0)), found
+
+    def closest(self, own: list[str]) -> list[tuple]:
+        """((differences, -equal words), template, first word, last word + 1, coverage, differences) of the best templates."""
         has = Counter(w for w in own if w in self.vocabulary)
         codes = np.array([self.vocabulary.get(w, -1) for w in own], np.int64)
-        best = None
-        for rank, i in enumerate(ranked, 1):
-            # Words that the window does not hold at all cannot be covered.
-            if sum(min(n, has[w]) for w, n in self.counts[i].items()) < COVERAGE * max(1, len(self.words[i])):
+        best: list[tuple] = []
+        for i, template in enumerate(self.words):
+            # Words that do not stand there at all cannot be covered.
+            if sum(min(n, has[w]) for w, n in self.counts[i].items()) < COVERAGE * max(1, len(template)):
                 continue
             first, last = nearest(self.codes[i], codes)
             place = own[first:last]
-            steps = difflib.SequenceMatcher(None, self.words[i], place, autojunk=False).get_opcodes()
+            steps = difflib.SequenceMatcher(None, template, place, autojunk=False).get_opcodes()
             equal = sum(b - a for tag, a, b, _, _ in steps if tag == "equal")
-            coverage = equal / max(1, len(self.words[i]))
+            coverage = equal / max(1, len(template))
             common = [k for k, step in enumerate(steps) if step[0] == "equal"]
             told, count = [], 0
             for k, (tag, a, b, c, d) in enumerate(steps):
@@ -194,16 +240,17 @@ class Scanner:
                 around = not common or not common[0] < k < common[-1]
                 if tag == "equal" or (around and a == b):
                     continue
-                here, there = self.words[i][a:b], [] if around else place[c:d]
+                here, there = template[a:b], [] if around else place[c:d]
                 told.append(f"{' '.join(here)} -> {' '.join(there)}")
                 count += max(len(here), len(there))
-            if coverage >= COVERAGE and (best is None or (count, -equal) < best[0]):
-                best = ((count, -equal), self.names[i], rank, gains[i], coverage, told)
-        return float(max(gains, default=0.0)), best
+            if coverage >= COVERAGE and (not best or (count, -equal) <= best[0][0]):
+                confirmed = ((count, -equal), i, first + steps[common[0]][3], first + steps[common[-1]][4], coverage, told)
+                best = [*(c for c in best if c[0] == confirmed[0]), confirmed]
+        return best
 
 
 def scan(docs: DataFrame, templates: Mapping[str, str] | None = None) -> DataFrame:
-    """(doc_id, first_line, last_line, license, rank, reduction, coverage, differences): one row per candidate block."""
+    """(doc_id, first_line, last_line, license, rank, reduction, coverage, differences): one row per notice, or per block without one."""
     templates = dict(TEMPLATES if templates is None else templates)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -211,8 +258,8 @@ def scan(docs: DataFrame, templates: Mapping[str, str] | None = None) -> DataFra
         for batch in batches:
             out = []
             for doc_id, text in zip(batch.column(0).to_pylist(), strings(batch.column(1))):
-                for first, last, block in scanner.blocks(text):
-                    out.append((doc_id, first, last, *scanner.explain(block)))
+                for first, _, block in scanner.blocks(text):
+                    out += [(doc_id, first + a, first + b, *notice) for a, b, *notice in scanner.explain(block)]
             columns = list(zip(*out)) if out else [[]] * 8
             kinds = [pa.int64(), pa.int64(), pa.int64(), pa.string(), pa.int32(), pa.float64(), pa.float64(), pa.list_(pa.string())]
             yield pa.RecordBatch.from_arrays(

@@ -159,6 +159,25 @@ def test_license_in_long_lines(spark):
     assert all(not r["differences"] for r in got) and [r["license"] for r in got if r["doc_id"] == len(rows)] == [None]
 
 
+def test_all_licenses_of_a_block(spark):
+    """Each of several notices is a row, in neighbouring lines, in one line and across the windows of a long one."""
+    t = licenses.TEMPLATES
+    rng, names = np.random.default_rng(5), sorted(t)
+    many = [names[i] for i in rng.permutation(np.repeat(np.arange(len(names)), 20))]
+    parts = [f"{t[n]} Then {' '.join(rng.choice(['river', 'bank', 'town', 'of'], 3 + 9 * (i % 5)))}." for i, n in enumerate(many)]
+    changed = t["GPL-3.0"].replace("This work", "This small work")
+    texts = [
+        "Licensed under CC BY 4.0.\nReleased under the MIT License.", f"A tale. {t['MPL-2.0']} All rights reserved. The end.",
+        f"{t['MIT']} {t['MIT']}\nCopyright nobody.", f"{t['LGPL-3.0']} {changed} {t['CC0-1.0']}", " ".join(parts), "A licence of their own.\nThe License",
+    ]
+    got = collections.defaultdict(list)
+    for r in licenses.scan(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect():
+        got[r["doc_id"]].append((r["first_line"], r["last_line"], r["license"], len(r["differences"])))
+    assert got[0] == [(0, 0, "CC-BY-4.0", 0), (1, 1, "MIT", 0)] and got[1] == [(0, 0, "MPL-2.0", 0), (0, 0, "All rights reserved", 0)]
+    assert got[2] == [(0, 0, "MIT", 0)] * 2 and got[3] == [(0, 0, "LGPL-3.0", 0), (0, 0, "GPL-3.0", 1), (0, 0, "CC0-1.0", 0)]
+    assert got[4] == [(0, 0, n, 0) for n in many] and got[5] == [(0, 1, None, 0)]
+
+
 def test_byte_pairs_equal_library(spark, documents, odd):
     tokenizer = Tokenizer.from_file(tokenizer_path(BYTE))
     for docs in (documents, odd):
