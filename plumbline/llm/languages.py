@@ -2,10 +2,12 @@
 
 A text is the TF-IDF vector of its hashed letter n-grams (1 to 3 letters, anything that is no letter is one space). Each
 language's vectors are clustered into a few centroids; a text gets the language of the centroid with the highest
-cosine. A text without letters, or farther from every centroid than ``max_distance``, is rejected.
+cosine. A text without letters, or farther from every centroid than texts of that language and length are, is rejected.
 
 The model is fitted on a bounded sample: at most ``max_sample`` labelled texts, shared evenly among the languages and
-taken in hash order of the id. The prediction reads whole texts of all rows.
+taken in hash order of the id. A quarter as many texts again are left out of the fit; the cosines of these texts and of
+their beginnings to their own language's solid centroids give the least cosine (a low quantile) of each language and length. Length is
+counted in distinct n-grams, so that a text of one repeated word is short. The prediction reads whole texts of all rows.
 
 Defined results: NULL text or text without a letter is ``und`` with score 0 and rejected; so is every text when nothing
 can be learned. Ties go to the language that sorts first. Rows are scored one by one, so repeated rows agree.
@@ -14,21 +16,26 @@ can be learned. Ties go to the language that sorts first. Rows are scored one by
 from __future__ import annotations
 
 from collections.abc import Iterator
-from dataclasses import dataclass
+from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import cut
 from .arrays import Codes, strings, text_chunks
 from .frames import fold_of, id_and_text
 
 BINS = 4096
 CENTROIDS = 4
 MAX_SAMPLE = 2000
-#: Cosine distance beyond which a text is in none of the learned languages.
+#: Cosine distance beyond which a text of any length is in none of the learned languages.
 MAX_DISTANCE = 0.92
+#: Share of a language's left out texts below the least cosine, and rows that give one of its points.
+TAIL, POINT_ROWS = 0.01, 60
+#: Share of a language's texts that a centroid needs to vouch for others; one of a few odd texts only names the language.
+SOLID = 0.05
 UNKNOWN = "und"
 _ROWS = 128
 
@@ -68,6 +75,8 @@ class Model:
     owners: np.ndarray  # language of each centroid
     centroids: np.ndarray
     weights: np.ndarray  # inverse document frequencies
+    solid: np.ndarray = field(default_factory=lambda: np.empty(0, bool))  # centroids of more than a few odd texts
+    floors: list[tuple[np.ndarray, np.ndarray]] = field(default_factory=list)  # lengths and least cosines of each language
 
     def vectors(self, counts: np.ndarray) -> np.ndarray:
         x = np.log1p(counts) * self.weights
@@ -81,6 +90,45 @@ class Model:
         found = counts.any(1)
         return np.where(found, self.owners[best], -1), np.where(found, cosines.max(1), 0.0)
 
+    def near(self, counts: np.ndarray, k: int) -> np.ndarray:
+        """The cosine of each row to the nearest solid centroid of language ``k``."""
+        return (self.vectors(counts) @ self.centroids[(self.owners == k) & self.solid].T).max(1)
+
+    def accepts(self, counts: np.ndarray, found: np.ndarray, max_distance: float) -> np.ndarray:
+        """Whether each row is as near to its language ``found`` as texts of that language and length are."""
+        accepted = np.zeros(len(counts), bool)
+        for k in np.unique(found[found >= 0]):
+            mine = np.flatnonzero(found == k)
+            least = np.full(len(mine), 1 - max_distance)
+            if self.floors:
+                least = np.maximum(least, np.interp(length(counts[mine]), *self.floors[k]))
+            accepted[mine] = self.near(counts[mine], k) >= least
+        return accepted
+
+
+def length(counts: np.ndarray) -> np.ndarray:
+    """Logarithm of the number of distinct n-grams."""
+    return np.log2(np.maximum(1, (counts > 0).sum(1)))
+
+
+def beginnings(text: str) -> list[str]:
+    """The text and its beginnings, each longer by half; later parts may be in other languages than the label."""
+    found, size = [text], 8
+    while size < len(text):
+        found.append(text[:size])
+        size += size // 2
+    return found
+
+
+def _floor(lengths: np.ndarray, cosines: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Least cosines at a few lengths; of under 1 / TAIL rows the tail is taken to go on below the lowest one."""
+    x, y = [], []
+    for rows in np.array_split(np.lexsort((cosines, lengths)), max(1, len(lengths) // POINT_ROWS)):
+        low, middle = np.quantile(cosines[rows], [TAIL, 0.5])
+        x.append(lengths[rows].mean())
+        y.append(low - max(0.0, 1 - TAIL * len(rows)) * (middle - low) / 4)
+    return np.array(x), np.array(y)
+
 
 def _centroids(x: np.ndarray, k: int, rounds: int = 12) -> np.ndarray:
     """Spherical k-means; starts from the mean's nearest vector and then the farthest ones."""
@@ -97,6 +145,11 @@ def _centroids(x: np.ndarray, k: int, rounds: int = 12) -> np.ndarray:
     return centres
 
 
+def _solid(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
+    held = np.bincount((x @ centres.T).argmax(1), minlength=len(centres))
+    return held >= min(SOLID * len(x), held.max())
+
+
 def fit(labelled: DataFrame, max_sample: int = MAX_SAMPLE) -> Model | None:
     """Learns from (doc_id, text, lang); NULL languages are left out. None if nothing can be learned."""
 
@@ -119,11 +172,13 @@ def fit(labelled: DataFrame, max_sample: int = MAX_SAMPLE) -> Model | None:
     if not languages:
         return None
     each = max(1, max_sample // len(languages))
+    also = max(1, each // 4)  # texts left out of the fit
     order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
     # The sample is chosen on the ids; only its rows bring their texts.
-    chosen = rows.select("doc_id", "lang").withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= each)
-    picked = rows.join(F.broadcast(chosen.select("doc_id").distinct()), "doc_id", "left_semi")
-    table = picked.select("doc_id", "text", "lang").mapInArrow(count, "doc_id long, lang string, counts binary")
+    chosen = rows.select("doc_id", "lang").withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= each + also)
+    chosen = chosen.groupBy("doc_id").agg(F.max(F.col("_r") % 5 == 2).alias("left_out"))
+    picked = cut(rows.join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "lang", "left_out"))
+    table = picked.where("not left_out").select("doc_id", "text", "lang").mapInArrow(count, "doc_id long, lang string, counts binary")
     sample = table.orderBy("lang", F.xxhash64("doc_id")).limit(2 * max_sample).toArrow()
     x = np.stack([np.frombuffer(v.as_buffer(), np.uint16) for v in sample["counts"]]).astype(np.float32) if len(sample) else np.empty((0, BINS))
     names = sample["lang"].to_pylist()
@@ -138,9 +193,43 @@ def fit(labelled: DataFrame, max_sample: int = MAX_SAMPLE) -> Model | None:
     groups = [_centroids(vectors[names == name], CENTROIDS) for name in model.languages]
     model.owners = np.repeat(np.arange(len(groups)), [len(g) for g in groups])
     model.centroids = np.concatenate(groups).astype(np.float32)
+    model.solid = np.concatenate([_solid(vectors[names == name], g) for name, g in zip(model.languages, groups)])
+    model.floors = _floors(picked.where("left_out"), model, 50 * max_sample)
     return model
 
 
+def _floors(left_out: DataFrame, model: Model, limit: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """Of each language the least cosines by length; of all languages together for one without texts."""
+
+    def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        codes = Codes()
+        for batch in batches:
+            for doc_id, text, name in zip(batch.column(0).to_pylist(), strings(batch.column(1)), batch.column(2).to_pylist()):
+                if name not in model.languages:
+                    continue
+                own = model.languages.index(name)
+                texts = beginnings(text)
+                for first, last in text_chunks(texts, rows=_ROWS):
+                    counts = gram_counts(texts[first:last], codes)
+                    counts = counts[counts.any(1)]
+                    cosine = model.near(counts, own)
+                    yield pa.RecordBatch.from_arrays(
+                        [
+                            pa.array([doc_id] * len(counts), pa.int64()), pa.array([name] * len(counts), pa.string()),
+                            pa.array(length(counts).astype(float)), pa.array(cosine.astype(float)),
+                        ],
+                        names=["doc_id", "lang", "length", "cosine"],
+                    )
+
+    measured = left_out.select("doc_id", "text", "lang").mapInArrow(measure, "doc_id long, lang string, length double, cosine double")
+    found = measured.orderBy(F.xxhash64("doc_id"), "lang", "length", "cosine").limit(limit).toArrow()
+    names = np.array(found["lang"].to_pylist(), dtype=object)
+    lengths, cosines = found["length"].to_numpy(), found["cosine"].to_numpy()
+    if not len(names):
+        return []
+    return [_floor(lengths[mine], cosines[mine]) if (mine := names == name).any() else _floor(lengths, cosines) for name in model.languages]
+
+
 def predict(docs: DataFrame, model: Model | None, max_distance: float = MAX_DISTANCE) -> DataFrame:
     """(doc_id, lang_pred, score, rejected): score is the cosine to the nearest centroid."""
 
@@ -153,10 +242,11 @@ def predict(docs: DataFrame, model: Model | None, max_distance: float = MAX_DIST
                 found, cosine = model.score(counts) if model else (np.full(len(counts), -1), np.zeros(len(counts)))
                 names = [model.languages[i] if i >= 0 else UNKNOWN for i in found]
                 score = np.clip(cosine.astype(float), 0, 1)
+                accepted = model.accepts(counts, found, max_distance) if model else found >= 0
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column(0).slice(first, last - first), pa.array(names, pa.string()), pa.array(score),
-                        pa.array((found < 0) | (score < 1 - max_distance)),
+                        pa.array(~accepted),
                     ],
                     names=["doc_id", "lang_pred", "score", "rejected"],
                 )
@@ -201,8 +291,7 @@ def accept(model: Model | None, max_distance: float = MAX_DISTANCE):
                 if model is None:
                     keep += [False] * len(counts)
                 else:
-                    found, cosine = model.score(counts)
-                    keep += list((found >= 0) & (cosine >= 1 - max_distance))
+                    keep += list(model.accepts(counts, model.score(counts)[0], max_distance))
             yield pa.array([bool(k) for k in keep], pa.bool_())
 
     return accepted

@@ -310,6 +310,25 @@ def test_languages_held_out(spark, odd):
     assert got[4]["lang_pred"] in ("en", "fr") and languages.identify(odd.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize("left_out", [None, "de", "en"])
+def test_languages_reject_noise_and_unlearned(spark, left_out):
+    """Random letters of any script and length and a language left out of learning are rejected, held-out good rows stay."""
+    folder = "/root/testdata/sf0.01"
+    docs = spark.read.parquet(f"{folder}/documents.parquet")
+    model = languages.fit(languages.learning_rows(docs).where(F.col("lang") != (left_out or "")))
+    rng, scripts = np.random.default_rng(6), ["abcdefghijklmnopqrstuvwxyz", "".join(map(chr, range(0x430, 0x450))), "".join(map(chr, range(0x4E00, 0x5600)))]
+    noise = [" ".join("".join(rng.choice(list(s), rng.integers(2, 10))) for _ in range(n)) for s in scripts for n in (10, 30, 100, 1000, 10_000)]
+    noise = spark.createDataFrame(list(enumerate(noise)), "doc_id long, text string")
+    assert languages.predict(noise, model).where("not rejected").count() == 0
+    assert languages._keep(noise, model).count() == 0
+    good = spark.read.parquet(f"{folder}/labels.parquet").where("quality = 1").select("doc_id")
+    rows = languages.predict(docs, model).join(docs.select("doc_id", "lang", (languages.fold_of(F.col("doc_id"), 5) == 0).alias("held_out")), "doc_id")
+    if left_out:
+        assert rows.where(F.col("lang") == left_out).agg(F.avg(F.col("rejected").cast("int"))).first()[0] > 0.95
+    kept = rows.where((F.col("lang") != (left_out or "")) & F.col("held_out")).join(good, "doc_id")
+    assert kept.agg(F.avg((~F.col("rejected")).cast("int"))).first()[0] > 0.95
+
+
 def test_pipeline_equals_its_stages_by_hand(spark, tmp_path):
     """Deduplication, decontamination and encoding of what the classifiers kept, against brute force."""
     docs = spark.read.parquet(f"{FOLDER}/documents.parquet")
