@@ -105,12 +105,32 @@ def row_chunks(bounds: np.ndarray, size: int = CHUNK, rows: int = 1 << 30) -> It
 
 
 class Codes:
-    """Code points of a chunk of texts, and tables of their classes."""
+    """Code points of a chunk of texts and their classes; a code point is classified when it is first seen."""
+
+    LETTER, WORD, UPPER, DIGIT, SPACE, SEEN = 1, 2, 4, 8, 16, 128
 
     def __init__(self) -> None:
-        points = [chr(i) for i in range(0x110000)]
-        self.letter = np.fromiter((c.isalpha() for c in points), bool, len(points))
-        self.word = self.letter | np.fromiter((c.isalnum() or c == "_" for c in points), bool, len(points))
+        self.classes = np.zeros(0x110000, np.uint8)
+
+    def flags(self, symbols: np.ndarray) -> np.ndarray:
+        """The classes of each symbol as bits."""
+        out = self.classes[symbols]
+        fresh = out == 0
+        if fresh.any():
+            for point in np.unique(symbols[fresh]).tolist():
+                c = chr(point)
+                self.classes[point] = (
+                    self.SEEN | self.LETTER * c.isalpha() | self.WORD * (c.isalnum() or c == "_") | self.UPPER * c.isupper()
+                    | self.DIGIT * c.isdigit() | self.SPACE * c.isspace()
+                )
+            out = self.classes[symbols]
+        return out
+
+    def letter(self, symbols: np.ndarray) -> np.ndarray:
+        return (self.flags(symbols) & self.LETTER) > 0
+
+    def word(self, symbols: np.ndarray) -> np.ndarray:
+        return (self.flags(symbols) & self.WORD) > 0
 
     @staticmethod
     def of(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:

@@ -51,7 +51,7 @@ class Words:
     def of(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Hashes of all words, and the range of each text's words."""
         symbols, bounds = self.codes.of([t.lower() for t in texts])
-        starts, ends, ranges = word_spans(self.codes.word[symbols], bounds)
+        starts, ends, ranges = word_spans(self.codes.word(symbols), bounds)
         return self.spans.hashes(symbols, starts, ends), ranges
 
 

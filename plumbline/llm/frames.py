@@ -21,6 +21,18 @@ def fold_of(doc_id: Column, folds: int) -> Column:
     return F.crc32(F.coalesce(doc_id.cast("string"), F.lit("")).cast("binary")) % folds
 
 
+def hash_sample(rows: DataFrame, size: int, spare: float = 1.0) -> DataFrame:
+    """About ``size`` of the rows by a hash of doc_id, all of them if there are fewer; no row passes through one task.
+
+    The threshold follows from the counted rows, so the choice depends on the ids and their number alone.
+    """
+    count = rows.count()
+    if count <= size * spare:
+        return rows
+    threshold = int(size / count * (1 << 62))
+    return rows.where(F.shiftrightunsigned(F.xxhash64(F.lit(size), "doc_id"), 2) < threshold)
+
+
 #: Rows of one long that a semi join may broadcast (8 MB); the number is counted before.
 BROADCAST_ROWS = 1_000_000
 

@@ -45,7 +45,7 @@ def gram_counts(texts: list[str], codes: Codes) -> np.ndarray:
     symbols, bounds = codes.of([t.lower() for t in texts])
     n = len(texts)
     row = np.repeat(np.arange(n), np.diff(bounds))
-    letters = codes.letter[symbols]
+    letters = codes.letter(symbols)
     # One space stands for each run of other characters, and one before each text.
     keep = letters.copy()
     keep[1:] |= letters[:-1] & (row[1:] == row[:-1])

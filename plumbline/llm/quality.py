@@ -41,18 +41,14 @@ class Encoder:
     WIDTH = 20 + _MARKS
 
     def __init__(self) -> None:
-        points = [chr(i) for i in range(0x110000)]
-        n = len(points)
-        self.letter = np.fromiter((c.isalpha() for c in points), bool, n)
-        self.upper = np.fromiter((c.isupper() for c in points), bool, n)
-        self.digit = np.fromiter((c.isdigit() for c in points), bool, n)
-        self.space = np.fromiter((c.isspace() for c in points), bool, n)
+        self.codes = Codes()
         self.spans = Spans()
 
     def encode(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
         """Passage vectors of all texts, and the bounds of each text's passages (one at least)."""
         symbols, bounds = Codes.of(texts)
-        space = self.space[symbols]
+        flags = self.codes.flags(symbols)
+        space, letters, digits = (flags & Codes.SPACE) > 0, (flags & Codes.LETTER) > 0, (flags & Codes.DIGIT) > 0
         starts, ends, ranges = word_spans(~space, bounds)
         counts = np.diff(ranges)
         passages = np.maximum(1, -(-counts // PASSAGE_WORDS))
@@ -74,8 +70,8 @@ class Encoder:
             sums = np.concatenate([[0], np.cumsum(mask, dtype=np.int64)])
             return (sums[ends] - sums[starts]).astype(np.float32)
 
-        letter, upper, digit = inside(self.letter[symbols]), inside(self.upper[symbols]), inside(self.digit[symbols])
-        marks = ~(self.letter[symbols] | self.digit[symbols] | space)
+        letter, upper, digit = inside(letters), inside((flags & Codes.UPPER) > 0), inside(digits)
+        marks = ~(letters | digits | space)
         mark = inside(marks)
         chars = np.maximum(per(length), 1)
         hashes = self.spans.hashes(symbols, starts, ends)

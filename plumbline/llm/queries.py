@@ -1,4 +1,4 @@
-"""The ten operators on the given tables, and the SQL that must give the same rows where SQL can say it."""
+"""The operators on the given tables, and the SQL that must give the same rows where SQL can say it."""
 
 from __future__ import annotations
 
@@ -10,7 +10,10 @@ from pyspark.sql import functions as F
 
 from ..session import fresh_path
 from ..sources.tables import load
-from . import byte_pairs, chat_formatting, decontamination, inner_products, languages, licenses, near_duplicates, quality, sharding, token_files
+from . import (
+    byte_pairs, chat_formatting, decontamination, inner_products, languages, lexical_search, licenses, near_duplicates, quality, sharding,
+    spelling, token_files, toxicity,
+)
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -216,3 +219,90 @@ def op9(spark: SparkSession, sf_dir: str) -> DataFrame:
 @query("op10_languages")
 def op10(spark: SparkSession, sf_dir: str) -> DataFrame:
     return languages.identify(load(spark, sf_dir, "documents")).select("doc_id", "held_out", "lang_pred", "score", "rejected")
+
+
+@query(
+    "op11_spelling_variants",
+    r"""
+    WITH RECURSIVE crc_table AS (
+        SELECT list(list_reduce(list_concat([i], range(8)),
+            lambda x, k: CASE WHEN x % 2 = 1 THEN xor(CAST(3988292384 AS BIGINT), x >> 1) ELSE x >> 1 END) ORDER BY i) AS crc FROM range(256) t(i)
+    ), runs AS (
+        SELECT coalesce(CAST(doc_id AS VARCHAR), '') || ':' AS id, translate(unnest(regexp_extract_all(text, '[A-Za-zÀ-ÿ]+')),
+            'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS run FROM documents
+    ), long_runs AS (
+        SELECT id, run, count(*) AS times, hex(encode(id || run)) AS bytes FROM runs WHERE length(run) >= 7 GROUP BY ALL
+    ), hashed AS (
+        SELECT run, times, xor(list_reduce(list_concat([CAST(4294967295 AS BIGINT)], list_transform(range(1, length(bytes) + 1, 2),
+            lambda i: 16 * (instr('0123456789ABCDEF', substring(bytes, i, 1)) - 1) + instr('0123456789ABCDEF', substring(bytes, i + 1, 1)) - 1)),
+            lambda s, b: xor(s >> 8, crc[CAST(xor(s, b) & 255 AS INTEGER) + 1])), 4294967295) AS h
+        FROM long_runs, crc_table
+    ), slipped AS (
+        SELECT CASE WHEN h % 31 = 0 THEN substring(run, 1, CAST(h % length(run) AS INTEGER)) || substring(run, CAST(h % length(run) AS INTEGER) + 2)
+            ELSE run END AS word, times FROM hashed
+    ), words AS (
+        SELECT word, CAST(sum(times) AS BIGINT) AS n FROM slipped WHERE length(word) >= 7 GROUP BY word HAVING sum(times) >= 2
+    ), less AS (
+        SELECT word, n, i, substring(word, 1, i) || substring(word, i + 2) AS rest FROM (SELECT *, unnest(range(length(word))) AS i FROM words)
+    ), pairs AS (
+        SELECT a.word, b.word AS near, b.n AS near_n FROM less a JOIN less b ON a.rest = b.rest AND a.i = b.i AND a.word <> b.word
+        UNION
+        SELECT a.word, b.word, b.n FROM less a JOIN words b ON a.rest = b.word
+        UNION
+        SELECT b.word, a.word, a.n FROM less a JOIN words b ON a.rest = b.word
+    ), best AS (
+        SELECT *, count(*) OVER (PARTITION BY word) AS n_near, row_number() OVER (PARTITION BY word ORDER BY near_n DESC, near) AS place FROM pairs
+    ), judged AS (
+        SELECT w.word, w.n, coalesce(n_near, 0) AS n_near, CASE WHEN near_n >= 10 * w.n THEN near END AS form, CASE WHEN near_n >= 10 * w.n THEN near_n END AS form_n
+        FROM words w LEFT JOIN best b ON w.word = b.word AND b.place = 1
+    ), walk AS (
+        SELECT word, word AS root, 0 AS depth FROM judged
+        UNION ALL
+        SELECT walk.word, j.form, depth + 1 FROM walk JOIN judged j ON j.word = walk.root WHERE j.form IS NOT NULL
+    ), ends AS (
+        SELECT word, arg_max(root, depth) AS root FROM walk GROUP BY word
+    )
+    SELECT word, form, root, n, n_near, form_n FROM judged JOIN ends USING (word)
+    """,
+)
+def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return spelling.variants(load(spark, sf_dir, "documents"))
+
+
+@query(
+    "op12_lexical_search",
+    r"""
+    WITH docs AS (
+        SELECT doc_id, row_number() OVER () AS row, list_transform(regexp_extract_all(text, '[^ -/:-@[-`{-]+'),
+            lambda x: translate(x, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')) AS terms FROM documents WHERE text IS NOT NULL
+    ), items AS (
+        SELECT item_id, unnest(list_transform(regexp_extract_all(text, '[^ -/:-@[-`{-]+'),
+            lambda x: translate(x, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'))) AS term
+        FROM (SELECT item_id, min(text) AS text FROM benchmark WHERE item_id IS NOT NULL AND text IS NOT NULL GROUP BY item_id)
+    ), asked AS (
+        SELECT item_id, term, count(*) AS times FROM items GROUP BY ALL
+    ), totals AS (
+        SELECT count(*) AS total, CAST(sum(len(terms)) AS BIGINT) AS length FROM docs WHERE len(terms) > 0
+    ), counted AS (
+        SELECT row, doc_id, n, term, count(*) AS tf FROM (SELECT row, doc_id, len(terms) AS n, unnest(terms) AS term FROM docs)
+        WHERE term IN (SELECT term FROM asked) GROUP BY ALL
+    ), weights AS (
+        SELECT term, CAST(floor(1000 * ln((2 * total + 2) / (2 * count(*) + 1))) AS BIGINT) AS w FROM counted, totals GROUP BY term, total
+    ), impacts AS (
+        SELECT row, doc_id, term, w * ((1000000000 * tf) // (1000 * tf + 12 * (75 + (25 * n * total) // length))) AS value
+        FROM counted JOIN weights USING (term), totals
+    ), scored AS (
+        SELECT item_id, row, doc_id, CAST(sum(times * value) AS BIGINT) AS score FROM asked JOIN impacts USING (term) GROUP BY ALL
+    ), ranked AS (
+        SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id NULLS LAST) AS rank FROM scored WHERE score > 0
+    )
+    SELECT item_id, CAST(rank AS INTEGER) AS rank, doc_id, score FROM ranked WHERE rank <= 20
+    """,
+)
+def op12(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lexical_search.rank_documents(load(spark, sf_dir, "documents"), load(spark, sf_dir, "benchmark"))
+
+
+@query("op13_toxicity")
+def op13(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.assess(load(spark, sf_dir, "documents"), load(spark, sf_dir, "labels"))
