@@ -273,10 +273,10 @@ def op11(spark: SparkSession, sf_dir: str) -> DataFrame:
     "op12_lexical_search",
     r"""
     WITH docs AS (
-        SELECT doc_id, row_number() OVER () AS row, list_transform(regexp_extract_all(text, '[^ -/:-@[-`{-]+'),
+        SELECT doc_id, row_number() OVER () AS row, list_transform(regexp_extract_all(text, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+'),
             lambda x: translate(x, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')) AS terms FROM documents WHERE text IS NOT NULL
     ), items AS (
-        SELECT item_id, unnest(list_transform(regexp_extract_all(text, '[^ -/:-@[-`{-]+'),
+        SELECT item_id, unnest(list_transform(regexp_extract_all(text, '[^\x00-\x2F\x3A-\x40\x5B-\x60\x7B-\x7F]+'),
             lambda x: translate(x, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'))) AS term
         FROM (SELECT item_id, min(text) AS text FROM benchmark WHERE item_id IS NOT NULL AND text IS NOT NULL GROUP BY item_id)
     ), asked AS (

@@ -3,7 +3,8 @@
 Confirmed toxic documents are the positives; any other text is unlabelled, never taken for clean. With class prior p the
 risk of a classifier g is p * E_pos[l(g)] + max(0, E_unl[l(-g)] - p * E_pos[l(-g)]): the risk on clean text is the
 unlabelled risk less the share that toxic text has in it, and where a batch makes that estimate negative, the step goes
-the other way. l is the logistic loss, so the sigmoid of g is the probability of toxic text.
+the other way. l is the sigmoid loss, bounded, so that a prior slightly off moves the estimate of the clean risk by no
+more than its error; the score is the sigmoid of g.
 
 A text is described by the share of its words that hold a feature: a whole word, a word's first 3 to 6 letters or five
 letters inside it, found by their hash. The features are learned: those whose presence differs most (G test) between the
@@ -36,7 +37,7 @@ from .frames import fold_of, hash_sample, id_and_text, packed, unpacked
 MAX_POSITIVE, MAX_UNLABELLED = 2000, 6000
 THRESHOLD = 0.7
 #: Features kept, the least G value and the least sampled positives that hold one.
-FEATURES, LEAST_G, LEAST_POSITIVE = 1024, 30.0, 4
+FEATURES, LEAST_G, LEAST_POSITIVE = 1024, 10.0, 3
 PREFIXES, INNER = (3, 4, 5, 6), 5
 MODELS, HIDDEN = 3, 8
 
@@ -119,8 +120,7 @@ def _gradients(w: dict[str, np.ndarray], x: np.ndarray, h: np.ndarray, d: np.nda
 
 def risk(g_positive: np.ndarray, g_unlabelled: np.ndarray, prior: float) -> tuple[float, float]:
     """The risk on toxic text, and the estimated risk on clean text, which may come out below 0."""
-    loss = lambda z: np.logaddexp(0, -z)
-    return prior * loss(g_positive).mean(), loss(-g_unlabelled).mean() - prior * loss(-g_positive).mean()
+    return prior * _sigmoid(-g_positive).mean(), _sigmoid(g_unlabelled).mean() - prior * _sigmoid(g_positive).mean()
 
 
 def step_of(w: dict[str, np.ndarray], positive: np.ndarray, unlabelled: np.ndarray, prior: float) -> dict[str, np.ndarray]:
@@ -128,11 +128,11 @@ def step_of(w: dict[str, np.ndarray], positive: np.ndarray, unlabelled: np.ndarr
     x = np.concatenate([positive, unlabelled])
     g, h = _network(w, x)
     gp, gu = g[: len(positive)], g[len(positive) :]
-    clean = np.concatenate([-prior * _sigmoid(gp) / max(1, len(gp)), _sigmoid(gu) / max(1, len(gu))])
+    slope = lambda z: _sigmoid(z) * _sigmoid(-z) / max(1, len(z))
+    clean = np.concatenate([-prior * slope(gp), slope(gu)])
     if risk(gp, gu, prior)[1] < 0:
         return _gradients(w, x, h, -clean)
-    toxic = np.concatenate([prior * (_sigmoid(gp) - 1) / max(1, len(gp)), np.zeros(len(gu))])
-    return _gradients(w, x, h, toxic + clean)
+    return _gradients(w, x, h, clean + np.concatenate([-prior * slope(gp), np.zeros(len(gu))]))
 
 
 def train(positive: np.ndarray, unlabelled: np.ndarray, prior: float, seed: int, epochs: int = 30, size: int = 128) -> dict[str, np.ndarray]:
@@ -266,7 +266,7 @@ def fit(
 
 
 def scorer(model: Model):
-    """A column function: the probability that a text is toxic."""
+    """A column function: the score of a text, near 1 for toxic text."""
 
     @F.arrow_udf("double")
     def score(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
