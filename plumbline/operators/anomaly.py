@@ -417,9 +417,9 @@ def anomaly_findings(analyses: DataFrame, explanations: DataFrame | None = None)
         flagged = flagged.withColumn("explanation", F.lit(None))
     rule = F.create_map(*[F.lit(x) for kv in RULE_FOR_METRIC.items() for x in kv])[F.col("metric")]
     meaning = (
-        F.when(F.col("metric") == "null_rate", "share of rows where this column is NULL")
-        .when(F.col("metric") == "duplicate_rate", "share of non-null values that repeat another value")
-        .otherwise("total-variation distance between this window's value shares and the baseline's mean")
+        F.when(F.col("metric") == "null_rate", "NULLs per row of the window")
+        .when(F.col("metric") == "duplicate_rate", "values seen before in the window, per value that is not NULL")
+        .otherwise("half the summed differences of value shares between this window and an average earlier one")
     )
     headline = (
         F.when(F.col("metric") == "null_rate", "%.1f%% NULL, more than usual")
