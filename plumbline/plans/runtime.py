@@ -339,6 +339,54 @@ def unbounded_statements(t: Tables) -> DataFrame:
     return found.groupBy("rule_id", "confidence").agg(F.count(F.lit(1)).alias("statements"))
 
 
+#: Statements by order: text with a key in it, the rule it trips, the confidence and its condition columns.
+_SCOPED = [
+    ("with recent as (select * from orders where o_orderkey < {k}) select * from recent", "SQL_UNBOUNDED_SELECT", "MEDIUM", ["o_orderkey"]),
+    ("with old as (select o_orderkey from orders where o_orderkey > {k}) delete from orders where o_custkey = {k} returning o_orderkey, o_clerk", None, None, ["o_custkey"]),
+    ("with old as (select {k}) delete from orders", "SQL_UNBOUNDED_MUTATION", "HIGH", []),
+    ("select a from t where a = {k} union all select b from u", None, None, ["a"]),
+    ("select distinct max(o_totalprice) from orders where o_custkey = {k}", None, None, ["o_custkey"]),
+    ("select string_agg(o_clerk, ',' order by o_orderkey) as clerks from orders where o_shippriority = {k}", None, None, ["o_shippriority"]),
+    ("select * from t where id in (select o.user_id from orders o where o.x = {k}) and b = 2", "SQL_UNBOUNDED_SELECT", "LOW", ["id", "user_id", "x", "b"]),
+    ("select * from t where extract(year from ts) = {k} and d >= date '2024-01-01' limit 5", None, None, ["ts", "d"]),
+    ("select a, sum(a) over w from t where cast(a as double precision) > {k} window w as (partition by c)", "SQL_UNBOUNDED_SELECT", "LOW", ["a"]),
+    ("update t set a = {k} where exists (select 1 from u uu join v on v.id = uu.vid) and t.\"Key\" = {k}", None, None, ["id", "vid", "Key"]),
+    ("select count(*)::int from t -- {k}", "SQL_UNBOUNDED_SELECT", "MEDIUM", []),
+]
+
+
+def _scoped_statements(t: Tables) -> DataFrame:
+    """One statement per order, of a form that its key chooses."""
+    form = F.col("o_orderkey") % len(_SCOPED)
+    text = F.coalesce(*[F.when(form == i, F.replace(F.lit(q), F.lit("{k}"), F.col("o_orderkey").cast("string"))) for i, (q, *_) in enumerate(_SCOPED)])
+    return t.orders.select("o_orderkey", form.alias("form"), text.alias("sql"))
+
+
+def _sql_scoped(column: int) -> str:
+    shown = lambda x: "NULL" if x is None else str(x) if isinstance(x, list) else f"'{x}'"
+    return " ".join(f"WHEN {i} THEN {shown(row[column])}" for i, row in enumerate(_SCOPED))
+
+
+@query(
+    "unbounded_scopes",
+    f"""SELECT form, rule_id, confidence, count(*) AS statements FROM (SELECT o_orderkey % {len(_SCOPED)} AS form, CASE o_orderkey % {len(_SCOPED)} {_sql_scoped(1)} END AS rule_id,
+          CASE o_orderkey % {len(_SCOPED)} {_sql_scoped(2)} END AS confidence FROM orders) WHERE rule_id IS NOT NULL GROUP BY ALL""",
+)
+def unbounded_scopes(t: Tables) -> DataFrame:
+    """Common table expressions, set operations, aggregates and subqueries: what the statement itself bounds."""
+    rows = _scoped_statements(t).select("form", "o_orderkey", "sql")
+    return behaviour.unbounded_statements(rows).groupBy("form", "rule_id", "confidence").agg(F.count(F.lit(1)).alias("statements"))
+
+
+@query(
+    "filter_scopes",
+    f"SELECT o_orderkey, CASE o_orderkey % {len(_SCOPED)} {_sql_scoped(3)} END AS columns FROM orders",
+)
+def filter_scopes(t: Tables) -> DataFrame:
+    """Condition columns without tables, aliases, types, keywords of functions or what follows the condition."""
+    return _scoped_statements(t).select("o_orderkey", exprs.filter_columns("sql").alias("columns"))
+
+
 @query(
     "sql_findings",
     f"""WITH {_SQL_STATEMENTS} SELECT rule_id, 'route:' || route AS file, confidence,

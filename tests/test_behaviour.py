@@ -1,6 +1,7 @@
 from __future__ import annotations
 
 import json
+import random
 from datetime import datetime
 
 import pytest
@@ -193,3 +194,49 @@ def test_rules_at_any_depth():
 def test_condition_columns_skip_types_and_constants():
     sql = "select * from t where x = 1e5 and t.id in ($1::uuid) and true and e = E'a' and a = '--x' and b = cast(c as text)"
     assert sqltext.conditions(sql) == ["x", "id", "e", "a", "b", "c"]
+
+
+@pytest.mark.parametrize(
+    ("sql", "rule", "columns"),
+    [
+        ("with x as (select 1) select * from t", "SQL_UNBOUNDED_SELECT", []),
+        ("with recursive x(a, b) as (select 1 from u limit 2), y as materialized (select 1) select * from x limit 3", None, []),
+        ("with x as (select * from t where z = 1) delete from t", "SQL_UNBOUNDED_MUTATION", ["z"]),
+        ("with x as (select * from t where z = 1) select * from x where y = 2 limit 1", None, ["y"]),
+        ("select a from t union all select b from u", None, []),
+        ("select distinct max(a) from t", None, []),
+        ("select string_agg(a, ',' order by b) x, count(*) as \"n\" from t where f > 1", None, ["f"]),
+        ("select count(*) filter (where a) from t", "SQL_UNBOUNDED_SELECT", ["a"]),
+        ("select max(a) over () from t", "SQL_UNBOUNDED_SELECT", []),
+        ("select max(a) from t group by b", "SQL_UNBOUNDED_SELECT", []),
+        ("select a from t where b = (select c from d limit 1)", "SQL_UNBOUNDED_SELECT", ["b", "c"]),
+        ("select a is distinct from b", None, []),
+        ("select 1 from t where a is not distinct from b limit 1", None, ["a", "b"]),
+        ("select * from t where id in (select o.user_id from orders o where o.x = 1) and b = 2 limit 1", None, ["id", "user_id", "x", "b"]),
+        ("select * from t where extract(year from ts) = 1 and year = 2 limit 1", None, ["ts", "year"]),
+        ("select * from t where d > date '2024-01-01' and date = 1 limit 1", None, ["d", "date"]),
+        ("delete from t where id = 1 returning id, x", None, ["id"]),
+        ("select a from t where cast(a as double precision) > 1 and b::timestamp with time zone < c at time zone 'utc' limit 1", None, ["a", "b", "c"]),
+        ("select a from t where a = 1 window w as (partition by b) limit 1", None, ["a"]),
+        ("select a from t where timestamp with time zone '2024' < a and substring(n from 2 for 3) = 'x' and trim(both ' ' from q) = '' limit 1", None, ["a", "n", "q"]),
+        ("select a from t where exists (select 1 from b bb join c on c.id = bb.cid left join d using (k) where bb.w = 1) or \"Ship\" ilike 'x' escape '\\' limit 1", None, ["id", "cid", "w", "Ship"]),
+        ("select a from t where x = (select max(y) filter (where z > 1) over (order by r rows between 1 preceding and current row) as m from u uu) for update", "SQL_UNBOUNDED_SELECT", ["x", "y", "z", "r"]),
+    ],
+)
+def test_scopes(sql, rule, columns):
+    assert sqltext.unbounded(sql) == rule and sqltext.conditions(sql) == columns
+
+
+def test_skeletons_keep_shapes_and_conditions(spark):
+    """What Spark makes of a text before it is tokenised changes nothing that is read from the tokens."""
+    rng = random.Random(5)
+    pieces = [
+        "select", "FROM", "where", "t1", "1abc", "x.y", "\"a 1\"", "\"q\"\"uote's\"", "'it''s'", "'--x'", "'/*'", "E'it\\'s'", "$$ a 'b' $$", "$t$ x $t$", "$1", "?", "5", "-7",
+        "1e5", "0x1F", ".5", "2.", "in (1, 2)", "(", ")", ",", "=", "- 1", "a-1", "-- end 1\n", "/* c 2 */", "/* a /* b */ c */", "\n", "values (1, 'a'), (2, 'b')", "array[1,2]", "::int",
+        "é", "'open", "\"open", "true", "and", "date '2024'", ";",
+    ]
+    texts = ["".join(rng.choice([" ", "", " "]) + rng.choice(pieces) for _ in range(rng.randint(1, 14))) for _ in range(4000)]
+    rows = spark.createDataFrame([(t,) for t in texts], "sql string")
+    for r in rows.select("sql", exprs.query_shape("sql").alias("shape"), exprs.filter_columns("sql").alias("columns")).collect():
+        assert r["shape"] == sqltext.shape(r["sql"]), r["sql"]
+        assert r["columns"] == sqltext.conditions(r["sql"]), r["sql"]
