@@ -4,8 +4,8 @@ A finding can answer an entry of its problem type by code (same file, overlappin
 (same table and column) or by endpoint. Pairs are one-to-one and as many as possible.
 
 Findings that can answer exactly the same entries are interchangeable, so they are counted as one class
-with a capacity. The matching then works on classes: its size is the number of distinct places in the
-ground truth, not the number of findings, and no pair list of a busy place is ever made.
+with a capacity. The matching then works on classes and places, in counts and ranges: a place that one class alone
+answers takes the smaller number, and only places linked by shared classes are searched, a connected component at a time.
 """
 
 from __future__ import annotations
@@ -18,6 +18,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.exprs import f1, normal_identifier, normal_path, ratio, route_pattern
+from ..functions.graphs import components
+from ..functions.intervals import overlaps
+from ..functions.ranking import positions
 from ..session import cut
 
 #: Problem type -> category, in report order.
@@ -66,8 +69,6 @@ CONFIGURATIONS = {
     "A-log": ("sql",),
 }
 
-#: Lines per block when findings and entries of a file are brought together.
-BLOCK = 64
 #: Parts a class of findings is split into before its first few are chosen.
 SALTS = 64
 
@@ -89,41 +90,52 @@ def validate_manifest(entries: DataFrame) -> DataFrame:
     c = F.col
     performance = c("category") == "performance"
     rules = {
-        "category does not fit the problem type": ~c("category").eqNullSafe(category_of("problem_type")),
+        "wrong category for this problem": ~c("category").eqNullSafe(category_of("problem_type")),
         "unknown rule": problem_type_of("expected_rule_id").isNull(),
-        "rule detects another problem type": problem_type_of("expected_rule_id") != c("problem_type"),
-        "performance entries require file": performance & c("file").isNull(),
-        "performance entries require line": performance & c("line").isNull(),
-        "performance entries require endpoint": performance & c("endpoint").isNull(),
-        "entry requires table": ~performance & c("table").isNull(),
-        "file and line go together": c("file").isNull() != c("line").isNull(),
-        "line must be at least 1": c("line") < 1,
-        "end_line must be at least line": c("end_line").isNotNull() & (c("line").isNull() | (c("end_line") < c("line"))),
-        "anchor requires file and line": c("anchor").isNotNull() & c("line").isNull(),
-        "column requires table": c("column").isNotNull() & c("table").isNull(),
-        "id and description must not be empty": (F.length("id") == 0) | (F.length("description") == 0) | c("description").isNull(),
+        "rule of another problem": problem_type_of("expected_rule_id") != c("problem_type"),
+        "slow code without file": performance & c("file").isNull(),
+        "slow code without line": performance & c("line").isNull(),
+        "slow code without endpoint": performance & c("endpoint").isNull(),
+        "data problem without table": ~performance & c("table").isNull(),
+        "file or line alone": c("file").isNull() != c("line").isNull(),
+        "line below 1": c("line") < 1,
+        "ends before it begins": c("end_line").isNotNull() & (c("line").isNull() | (c("end_line") < c("line"))),
+        "anchor without place": c("anchor").isNotNull() & c("line").isNull(),
+        "column without table": c("column").isNotNull() & c("table").isNull(),
+        "empty id or description": (F.length("id") == 0) | (F.length("description") == 0) | c("description").isNull(),
     }
     broken = F.array_compact(F.array(*[F.when(F.coalesce(r, F.lit(False)), F.lit(name)) for name, r in rules.items()]))
     repeated = entries.groupBy("app", "id").agg(F.count(F.lit(1)).alias("n")).where(c("n") > 1)
     return entries.select("app", "id", F.explode(broken).alias("problem")).unionByName(
-        repeated.select("app", "id", F.lit("id is not unique").alias("problem"))
+        repeated.select("app", "id", F.lit("id given twice").alias("problem"))
     )
 
 
 # ---- who can answer whom ---------------------------------------------------------------------------
 
 
-def _places(entries: DataFrame) -> DataFrame:
-    """Distinct places of the ground truth, each with the ids of its entries in order."""
-    place = ["app", "problem_type", "_file", "_line", "_end", "_table", "_column", "_route"]
+_PLACE = ("app", "problem_type", "_file", "_line", "_end", "_table", "_column", "_route")
+
+
+def _marked(*columns: str) -> Column:
+    """A digest of some columns in which a NULL differs from every value."""
+    return F.substring(F.sha2(F.to_json(F.struct(*columns), {"ignoreNullFields": "false"}), 256), 1, 32)
+
+
+def _located(entries: DataFrame) -> DataFrame:
+    """Each entry with its place and what makes it up."""
     located = entries.select(
         "app", "problem_type", "id",
         F.when(F.col("line").isNotNull(), normal_path("file")).alias("_file"), F.col("line").alias("_line"),
         F.coalesce("end_line", "line").alias("_end"), normal_identifier("table").alias("_table"),
         normal_identifier("column").alias("_column"), route_pattern("endpoint").alias("_route"),
     )
-    grouped = located.groupBy(*place).agg(F.array_sort(F.collect_list("id")).alias("ids"))
-    return grouped.withColumn("place", F.xxhash64(*place))
+    return located.withColumn("place", _marked(*_PLACE))
+
+
+def _places(located: DataFrame) -> DataFrame:
+    """Distinct places of the ground truth, each with its number of entries."""
+    return located.groupBy(*_PLACE, "place").agg(F.count(F.lit(1)).alias("entries"))
 
 
 def _contents(findings: DataFrame) -> DataFrame:
@@ -136,52 +148,62 @@ def _contents(findings: DataFrame) -> DataFrame:
     return grouped.withColumns(
         {
             "problem_type": problem_type_of("rule_id"), "_path": normal_path("file"),
-            "finding": F.sha2(F.concat_ws("\0", "app", "rule_id", "confidence", "file", "line", F.coalesce("end_line", F.lit(-1)), "fingerprint", "_e"), 256),
+            "finding": _marked("app", "rule_id", "confidence", "file", "line", "end_line", "fingerprint", "_e"),
         }
     ).drop("_e")
 
 
 def candidate_edges(entries: DataFrame, findings: DataFrame) -> DataFrame:
     """(app, problem_type, finding, place): every distinct finding with the places it can answer."""
-    return _edges(_places(entries), _contents(findings))
+    targets = _targets(_places(_located(entries)))
+    aims = _aims(targets, _contents(findings))
+    return aims.join(targets.select("target", "place"), "target").select("app", "problem_type", "finding", "place").distinct()
 
 
-def _edges(places: DataFrame, contents: DataFrame) -> DataFrame:
-    mapped = contents.where(F.col("problem_type").isNotNull())
-    key = ["app", "problem_type"]
-    out = [*key, "finding", "place"]
-    block = lambda a, b: F.explode(F.sequence(F.floor(a / BLOCK), F.floor(b / BLOCK)))
+_KEY = ("app", "problem_type")
 
-    code_place = places.where(F.col("_line").isNotNull()).select(
-        *key, "place", "_file", "_line", "_end", block(F.col("_line"), F.col("_end")).alias("_block")
-    )
+
+def _targets(places: DataFrame) -> DataFrame:
+    """A row per place and way to answer it: by code, by data or by endpoint.
+
+    Places of one table and column, or of one route, share that target, so a finding that names it is one row however
+    many places there are. Lines are a place's own target.
+    """
+    code = places.where(F.col("_line").isNotNull()).select(*_KEY, "place", F.col("place").alias("target"), "_file", "_line", "_end")
+    data = places.where(F.col("_table").isNotNull()).select(*_KEY, "place", "_table", F.coalesce("_column", F.lit("*any*")).alias("_column"))
+    data = data.withColumn("target", _marked(*_KEY, "_table", "_column"))
+    endpoint = places.where(F.col("_route").isNotNull()).select(*_KEY, "place", "_route")
+    endpoint = endpoint.withColumn("target", _marked(*_KEY, "_route"))
+    return code.unionByName(data, allowMissingColumns=True).unionByName(endpoint, allowMissingColumns=True)
+
+
+def _aims(targets: DataFrame, contents: DataFrame) -> DataFrame:
+    """(app, problem_type, finding, target): the targets each distinct finding names."""
+    mapped = contents.where(F.col("problem_type").isNotNull())
+    out = [*_KEY, "finding", "target"]
     last = F.coalesce("end_line", "line")
-    code_finding = mapped.where(last >= F.col("line")).select(
-        *key, "finding", F.col("_path").alias("_file"), "line", last.alias("last"), block(F.col("line"), last).alias("_block")
-    )
-    code = code_finding.join(code_place, [*key, "_file", "_block"]).where(
-        (F.col("line") <= F.col("_end")) & (F.col("_line") <= F.col("last"))
+    code = overlaps(
+        mapped.select(*_KEY, "finding", F.col("_path").alias("_file"), "line", last.alias("last")),
+        targets.where(F.col("_line").isNotNull()).select(*_KEY, "target", "_file", "_line", "_end"),
+        [*_KEY, "_file"], ("line", "last"), ("_line", "_end"),
     ).select(*out)
 
-    items = mapped.select(*key, "finding", F.explode("evidence").alias("e")).select(*key, "finding", F.col("e.data").alias("d"))
+    items = mapped.select(*_KEY, "finding", F.explode("evidence").alias("e")).select(*_KEY, "finding", F.col("e.data").alias("d"))
     table = normal_identifier(F.get_json_object("d", "$.table"))
     listed = F.from_json(F.get_json_object("d", "$.columns"), "array<string>")
     columns = F.concat(
         F.array(F.get_json_object("d", "$.column")), F.coalesce(listed, F.array().cast("array<string>")), F.array(F.lit("*any*"))
     )
-    located = items.select(*key, "finding", table.alias("_table"), F.explode(F.array_compact(columns)).alias("c"))
+    located = items.select(*_KEY, "finding", table.alias("_table"), F.explode(F.array_compact(columns)).alias("c"))
     located = located.where(F.col("_table").isNotNull()).select(
-        *key, "finding", "_table", F.when(F.col("c") == "*any*", F.col("c")).otherwise(normal_identifier("c")).alias("_column")
-    ).distinct()
-    data_place = places.where(F.col("_table").isNotNull()).select(
-        *key, "place", "_table", F.coalesce("_column", F.lit("*any*")).alias("_column")
+        *_KEY, "finding", "_table", F.when(F.col("c") == "*any*", F.col("c")).otherwise(normal_identifier("c")).alias("_column")
     )
-    data = located.join(data_place, [*key, "_table", "_column"]).select(*out)
+    named = targets.where(F.col("_table").isNotNull()).select(*_KEY, "_table", "_column", "target").distinct()
+    data = located.join(named, [*_KEY, "_table", "_column"]).select(*out)
 
-    routes = items.select(*key, "finding", route_pattern(F.get_json_object("d", "$.route")).alias("_route")).where(
-        F.col("_route").isNotNull()
-    ).distinct()
-    endpoint = routes.join(places.where(F.col("_route").isNotNull()).select(*key, "place", "_route"), [*key, "_route"]).select(*out)
+    routes = items.select(*_KEY, "finding", route_pattern(F.get_json_object("d", "$.route")).alias("_route"))
+    called = targets.where(F.col("_route").isNotNull()).select(*_KEY, "_route", "target").distinct()
+    endpoint = routes.where(F.col("_route").isNotNull()).join(called, [*_KEY, "_route"]).select(*out)
     return code.unionByName(data).unionByName(endpoint).distinct()
 
 
@@ -189,55 +211,96 @@ def _edges(places: DataFrame, contents: DataFrame) -> DataFrame:
 
 
 def _assign(group: pd.DataFrame) -> pd.DataFrame:
-    """A largest one-to-one assignment of entries to finding classes, entries in id order.
+    """A largest one-to-one assignment in one connected component, entries in id order.
 
-    The group is one problem type of one app: a row per (class, entry it can answer).
+    The group has a row per (class, place it can answer) and a row per entry (its place; class NULL). Entries of one
+    place are alike, so the search goes over places and classes: an entry that finds no way closes what it went through.
+    A result row says which entries of a place, by position, go to which copies of a class. ``place`` stands for all
+    places that the same classes answer.
     """
-    capacity = dict(zip(group["signature"], group["capacity"]))
-    first = dict(zip(group["signature"], group["first"]))
+    edges = group[group["signature"].notna()]
+    first = dict(zip(edges["signature"], edges["first"]))
+    spare = dict(zip(edges["signature"], edges["capacity"].astype(int)))
     options: dict[str, list[str]] = {}
-    for signature, entry in zip(group["signature"], group["entry_id"]):
-        options.setdefault(entry, []).append(signature)
+    for signature, place in zip(edges["signature"], edges["place"]):
+        options.setdefault(place, []).append(signature)
     for listed in options.values():
         listed.sort(key=lambda s: (first[s], s))
-    holders: dict[str, set[str]] = {s: set() for s in capacity}
-    held: dict[str, str] = {}
-    closed: set[str] = set()  # classes a failed search went through: no later entry can gain from them
-    for entry in sorted(options):
+    held: dict[str, dict[str, int]] = {s: {} for s in spare}
+    closed: set[str] = set()
+    full: set[str] = set()
+    entries = group[group["signature"].isna()].sort_values("entry_id")
+    for start in entries["place"]:
+        if start in full:
+            continue
         reached_by: dict[str, str] = {}
-        frontier, free = deque([entry]), None
+        came: dict[str, str | None] = {start: None}
+        frontier, free = deque([start]), None
         while frontier and free is None:
             current = frontier.popleft()
             for signature in options[current]:
                 if signature in reached_by or signature in closed:
                     continue
                 reached_by[signature] = current
-                if len(holders[signature]) < capacity[signature]:
+                if spare[signature] > 0:
                     free = signature
                     break
-                frontier.extend(sorted(holders[signature]))
+                for place in sorted(held[signature]):
+                    if place not in came:
+                        came[place] = signature
+                        frontier.append(place)
         if free is None:
             closed.update(reached_by)
+            full.add(start)
+            continue
+        spare[free] -= 1
         while free is not None:
             mover = reached_by[free]
-            left = held.get(mover)
+            held[free][mover] = held[free].get(mover, 0) + 1
+            left = came[mover]
             if left is not None:
-                holders[left].remove(mover)
-            holders[free].add(mover)
-            held[mover] = free
+                held[left][mover] -= 1
+                if not held[left][mover]:
+                    del held[left][mover]
             free = left
-    rows = [(s, e) for s, entries in holders.items() for e in entries]
-    result = pd.DataFrame(rows, columns=["signature", "entry_id"])
-    result.insert(0, "problem_type", group["problem_type"].iloc[0])
-    result.insert(0, "app", group["app"].iloc[0])
-    return result
+    rows, used, begun = [], dict.fromkeys(spare, 0), dict.fromkeys(options, 0)
+    for place in sorted(options):
+        for signature in options[place]:
+            count = held[signature].get(place, 0)
+            if count:
+                rows.append((signature, place, begun[place], begun[place] + count, used[signature]))
+                begun[place] += count
+                used[signature] += count
+    return pd.DataFrame(rows, columns=["signature", "place", "low", "high", "skip"])
+
 
+_HOLDING = "signature string, place string, low long, high long, skip long"
 
-def maximum_matching(classes: DataFrame) -> DataFrame:
-    """(app, problem_type, signature, entry_id) from rows (…, signature, capacity, first, entry_id)."""
-    return classes.groupBy("app", "problem_type").applyInPandas(
-        _assign, "app string, problem_type string, signature string, entry_id string"
+
+def maximum_matching(classes: DataFrame, places: DataFrame, located: DataFrame) -> DataFrame:
+    """(signature, place, low, high, skip): a place's entries low + 1 to high, by id, go to the class's copies from skip on.
+
+    ``classes``: signature, capacity, first, places. A place that only its own class answers needs no search. The others
+    form components over the classes that answer several places; each component is searched on its own, with a row per
+    entry and per (class, place), however many findings there are.
+    """
+    own = classes.where(F.size("places") == 1).select("signature", "capacity", "first", F.get("places", F.lit(0)).alias("place"))
+    several = classes.where(F.size("places") > 1)
+    whole = lambda rows: rows.select(
+        "signature", "place", F.lit(0).cast("long").alias("low"), F.least("capacity", "entries").cast("long").alias("high"),
+        F.lit(0).cast("long").alias("skip"),
     )
+    if several.isEmpty():
+        return whole(own.join(places.select("place", "entries"), "place"))
+    roots = components(
+        several.select(F.get("places", F.lit(0)).alias("a"), F.explode(F.slice("places", 2, F.size("places"))).alias("b"))
+    ).select(F.col("node").alias("place"), "root")
+    alone = own.join(roots, "place", "left_anti").join(places.select("place", "entries"), "place")
+    settled = whole(alone)
+    edges = several.select("signature", "capacity", "first", F.explode("places").alias("place")).unionByName(own).join(roots, "place")
+    members = located.select("place", F.col("id").alias("entry_id")).join(roots, "place")
+    group = edges.withColumn("entry_id", F.lit(None).cast("string")).unionByName(members, allowMissingColumns=True)
+    return settled.unionByName(group.groupBy("root").applyInPandas(_assign, _HOLDING))
 
 
 def _first_of_class(found: DataFrame, taken: DataFrame) -> DataFrame:
@@ -257,22 +320,28 @@ def _first_of_class(found: DataFrame, taken: DataFrame) -> DataFrame:
 def score(findings: DataFrame, entries: DataFrame) -> dict[str, DataFrame]:
     """``entries`` (id, outcome), ``findings`` (distinct findings with tp, fp, duplicate copies) and
     ``matches`` (entry_id with its finding). Both inputs carry ``app``."""
-    key = ["app", "problem_type"]
-    places, contents = _places(entries), _contents(findings)
-    neighbours = _edges(places, contents).groupBy(*key, "finding").agg(F.array_sort(F.collect_set("place")).alias("places"))
-    signed = neighbours.withColumn("signature", F.sha2(F.concat_ws(",", "app", "problem_type", F.col("places").cast("array<string>")), 256))
-    # Written once: read for the classes, for the choice within each class and for the outcome.
-    found = cut(contents.drop("evidence").join(signed.select("finding", "signature", "places"), "finding", "left"))
+    located = _located(entries)
+    places, contents = _places(located), cut(_contents(findings))  # contents feed the aims and the results
+    targets = cut(_targets(places))
+    named = _aims(targets, contents).groupBy("finding").agg(F.array_sort(F.collect_set("target")).alias("targets"))
+    signed = named.withColumn("signature", F.sha2(F.concat_ws(",", "targets"), 256))
+    # Read for the classes, for the choice within each class and for the outcome.
+    found = cut(contents.drop("evidence").join(signed, "finding", "left"))
     first = F.min(F.concat_ws("\0", "_path", F.lpad(F.col("line").cast("string"), 12, "0"), "rule_id", "fingerprint"))
-    classes = found.where(F.col("signature").isNotNull()).groupBy(*key, "signature").agg(
-        F.sum("n").alias("capacity"), first.alias("first"), F.first("places").alias("places")
-    )
-    expanded = classes.select(*key, "signature", "capacity", "first", F.explode("places").alias("place"))
-    expanded = expanded.join(places.select("place", F.explode("ids").alias("entry_id")), "place").drop("place")
-    matching = cut(maximum_matching(expanded))
-    taken = matching.groupBy("signature").agg(
-        F.count(F.lit(1)).alias("wanted"), F.array_sort(F.collect_list("entry_id")).alias("entry_ids")
+    classes = found.where(F.col("signature").isNotNull()).groupBy("signature").agg(
+        F.sum("n").alias("capacity"), first.alias("first"), F.first("targets").alias("targets")
     )
+    # Places that the same classes answer are one place to the matching.
+    answered = classes.select("signature", F.explode("targets").alias("target")).join(targets.select("target", "place"), "target")
+    alike = answered.groupBy("place").agg(F.array_sort(F.collect_set("signature")).alias("classes"))
+    alike = cut(alike.select("place", F.sha2(F.concat_ws(",", "classes"), 256).alias("group"), "classes"))
+    located = located.select(*_KEY, "id", "place").join(alike.select("place", "group"), "place", "left")
+    located = located.select(*_KEY, "id", F.col("group").alias("place"))
+    groups = located.where(F.col("place").isNotNull()).groupBy("place").agg(F.count(F.lit(1)).alias("entries"))
+    reach = alike.select("group", F.explode("classes").alias("signature")).distinct().groupBy("signature").agg(F.array_sort(F.collect_list("group")).alias("places"))
+    classes = classes.drop("targets").join(reach, "signature")
+    holdings = cut(maximum_matching(classes, groups, located))
+    taken = holdings.groupBy("signature").agg(F.sum(F.col("high") - F.col("low")).alias("wanted"))
     chosen = _first_of_class(
         found.where(F.col("signature").isNotNull()).select("finding", "signature", "n", "_path", "line", "rule_id", "fingerprint"), taken
     )
@@ -283,12 +352,16 @@ def score(findings: DataFrame, entries: DataFrame) -> dict[str, DataFrame]:
         "app", "problem_type", "rule_id", "file", "line", "fingerprint", "confidence", "finding", "tp",
         F.when(claimable, 0).otherwise(rest).alias("fp"), F.when(claimable, rest).otherwise(0).alias("duplicates"),
     )
-    pairs = chosen.withColumn("i", F.explode(F.sequence(F.lit(0), F.col("matched") - 1)))
-    matches = pairs.join(taken.select("signature", "entry_ids"), "signature").select(
-        "finding", F.get("entry_ids", (F.col("position") + F.col("i")).cast("int")).alias("entry_id")
-    ).join(found.select("finding", "app", "problem_type", "rule_id", "file", "line", "fingerprint", "confidence"), "finding")
-    hit = matching.select("app", F.col("entry_id").alias("id")).withColumn("_hit", F.lit(True))
-    judged = entries.select("app", "problem_type", "id").join(hit, ["app", "id"], "left")
+    # The k-th matched copy of a class belongs to the place whose range of copies holds k, and there to one position.
+    numbered = positions(located, ["place"], [F.col("id").asc()])
+    copies = chosen.withColumn("_copy", F.explode(F.sequence(F.col("position"), F.col("position") + F.col("matched") - 1)))
+    held = copies.join(holdings, "signature").where(
+        (F.col("_copy") >= F.col("skip")) & (F.col("_copy") < F.col("skip") + F.col("high") - F.col("low"))
+    ).select("finding", "place", (F.col("low") + F.col("_copy") - F.col("skip") + 1).alias("position"))
+    matches = held.join(numbered.select("place", "position", F.col("id").alias("entry_id")), ["place", "position"]).select("finding", "entry_id")
+    matches = matches.join(found.select("finding", "app", "problem_type", "rule_id", "file", "line", "fingerprint", "confidence"), "finding")
+    reached = holdings.groupBy("place").agg(F.max("high").alias("_hits"))
+    judged = numbered.join(reached, "place", "left").withColumn("_hit", F.coalesce(F.col("position") <= F.col("_hits"), F.lit(False)))
     return {
         "entries": judged.select("app", "problem_type", "id", F.when(F.col("_hit"), "tp").otherwise("fn").alias("outcome")),
         "findings": scored,

@@ -287,10 +287,10 @@ def _flawed_truth(t: Tables) -> DataFrame:
     "validate_manifest",
     f"""WITH e AS (SELECT 'app' || (c_custkey % 2) AS app, 'e' || c_custkey AS id, c_mktsegment IN ('BUILDING', 'AUTOMOBILE') AS perf, {sql_pick("('e' || c_custkey)", ':cat')} < 8 AS cat,
           {sql_pick("('e' || c_custkey)", ':end')} < 8 AS en, {sql_pick("('e' || c_custkey)", ':line')} < 8 AS ln FROM customer)
-        SELECT app, id, 'category does not fit the problem type' AS problem FROM e WHERE cat AND NOT perf
-        UNION ALL SELECT app, id, 'performance entries require file' FROM e WHERE cat AND NOT perf UNION ALL SELECT app, id, 'performance entries require line' FROM e WHERE cat AND NOT perf
-        UNION ALL SELECT app, id, 'performance entries require endpoint' FROM e WHERE (cat AND NOT perf) OR (perf AND en)
-        UNION ALL SELECT app, id, 'end_line must be at least line' FROM e WHERE ln""",
+        SELECT app, id, 'wrong category for this problem' AS problem FROM e WHERE cat AND NOT perf
+        UNION ALL SELECT app, id, 'slow code without file' FROM e WHERE cat AND NOT perf UNION ALL SELECT app, id, 'slow code without line' FROM e WHERE cat AND NOT perf
+        UNION ALL SELECT app, id, 'slow code without endpoint' FROM e WHERE (cat AND NOT perf) OR (perf AND en)
+        UNION ALL SELECT app, id, 'ends before it begins' FROM e WHERE ln""",
 )
 def validate_manifest(t: Tables) -> DataFrame:
     return scoring.validate_manifest(_flawed_truth(t))

@@ -1,9 +1,11 @@
 from __future__ import annotations
 
+import collections
 import json
 import random
 
 import pytest
+from pyspark.sql import functions as F
 
 from plumbline.operators import scoring
 from plumbline.schemas import ENTRY, EVIDENCE
@@ -116,4 +118,43 @@ def test_manifest_rules(spark):
     rows = [good[:10] + ("NULL_SPIKE",) + good[11:], entry("2", "null_spike")]
     bad = spark.createDataFrame(rows, ENTRY + ", app string")
     got = {(r["id"], r["problem"]) for r in scoring.validate_manifest(bad).collect()}
-    assert got == {("2", "unknown rule"), ("2", "entry requires table")}
+    assert got == {("2", "unknown rule"), ("2", "data problem without table")}
+
+
+def test_one_type_with_most_entries(spark):
+    """A busy problem type is searched by component: groups stay as small as the places that share findings."""
+    rng = random.Random(3)
+    entries = [entry(f"e{i:04d}", "null_spike", table=f"t{i % 90}", column=f"c{i % 3}") for i in range(900)]
+    entries += [entry(f"x{i:03d}", "missing_index", file=f"f{i % 9}", line=10 * i, end=10 * i + 14, endpoint="/") for i in range(100)]
+    findings = [finding(f"a{i:04d}", "NULL_SPIKE", table=f"t{rng.randrange(100)}", column=f"c{rng.randrange(4)}") for i in range(700)]
+    findings += [finding(f"b{i:04d}", "MISSING_INDEX_ON_FILTERED_FIELD", f"f{i % 9}", line, line + rng.choice([0, 40, 2_000_000])) for i, line in ((i, rng.randrange(1000)) for i in range(60))]
+    scored = run(spark, findings, entries)
+    count = lambda rows, key: collections.Counter(key(r) for r in rows)
+    e = count([x for x in entries if x[1] == "null_spike"], lambda x: (x[8], x[9]))
+    f = count([x for x in findings if x[1] == "NULL_SPIKE"], lambda x: (json.loads(x[7][0][4])["table"], json.loads(x[7][0][4])["column"]))
+    spikes = sum(min(n, f[k]) for k, n in e.items())
+    code = [(x[0], x[1], x[2], x[3], x[4], x[5]) for x in entries if x[1] == "missing_index"]
+    found = [x for x in findings if x[1] != "NULL_SPIKE"]
+    matched = set()
+    for file in {x[3] for x in code}:
+        mine = [x for x in code if x[3] == file]
+        near = [(None, None, None, None, x[4], x[5]) for x in found if x[3] == file]
+        matched |= largest(near, mine)[0]
+    hits = [r["id"] for r in scored["entries"].where("outcome = 'tp'").collect()]
+    assert sum(h.startswith("e") for h in hits) == spikes and {h for h in hits if h.startswith("x")} == matched
+    pairs = scored["matches"].collect()
+    assert len({r["entry_id"] for r in pairs}) == len({r["fingerprint"] for r in pairs}) == len(pairs) == len(hits)
+
+
+def test_interval_blocks(spark):
+    from plumbline.functions import intervals
+
+    rng = random.Random(1)
+    rows = [(i, a, a + rng.choice([0, 1, 7, 300, -1])) for i, a in ((i, rng.randrange(0, 500)) for i in range(200))]
+    left = spark.createDataFrame(rows, "i int, a int, b int")
+    right = left.selectExpr("i as j", "a + 3 as c", "b as d")
+    got = {(r["i"], r["j"]) for r in intervals.overlaps(left, right, [], ("a", "b"), ("c", "d")).collect()}
+    want = [(r["i"], r["j"]) for r in left.crossJoin(right).where("a <= b and c <= d and a <= d and c <= b").collect()]
+    assert got == set(want) and len(want) == len(got)
+    long = spark.range(1).select(intervals.cover(F.lit(1), F.lit(1_000_000), 20).alias("x")).first()["x"]
+    assert len(long) <= 40 and sum(1 << x["level"] for x in long) == 1_000_000
