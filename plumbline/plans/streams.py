@@ -26,21 +26,72 @@ def _files(df: DataFrame, name: str, order: str | None = None) -> str:
     return path
 
 
+#: Rows of the stream's first part that are sent with its last part.
+_LATE = f"{sql_pick('event_id', ':late')} < 26 AND epoch(ts) < epoch(lo) + 0.3 * (epoch(hi) - epoch(lo))"
+_SQL_LATE = f"(SELECT *, {_LATE} AS late FROM events, (SELECT min(ts) AS lo, max(ts) AS hi FROM events))"
+
+
+def _in_order(parts: list[DataFrame], name: str) -> str:
+    """A folder of one file per part, written one after the other, so that a stream reads them in this order."""
+    path = fresh_path(parts[0].sparkSession, name)
+    for part in parts:
+        part.coalesce(1).write.mode("append").parquet(path)
+    return path
+
+
+def _arrivals(t: Tables) -> tuple[str, DataFrame]:
+    """Events in three files by time; some of the first tenths come with the last file, behind the watermark."""
+    first, last = t.events.agg(F.min("ts"), F.max("ts")).first()
+    at = lambda share: F.lit(first + (last - first) * share)
+    events = t.events.drop("props")
+    late = (pick("event_id", ":late") < 26) & (F.col("ts") < at(0.3))
+    parts = [
+        events.where(~late & (F.col("ts") < at(0.4))), events.where((F.col("ts") >= at(0.4)) & (F.col("ts") < at(0.7))),
+        events.where(late | (F.col("ts") >= at(0.7))),
+    ]
+    return _in_order(parts, "arrivals"), events
+
+
 def _statement_stream(t: Tables) -> DataFrame:
     return jobs.stream_statements(jobs.stream_table(t.spark, _files(runtime.nested_events(t), "operations")))
 
 
 @query("stream_dedupe", "SELECT route, count(*) AS operations FROM (SELECT '/r/' || (user_id % 10) AS route FROM events) GROUP BY route")
 def stream_dedupe(t: Tables) -> DataFrame:
-    """Retried sends, in several files, counted once. The files are one micro-batch: their order is not
-    fixed, and rows older than the watermark of an earlier batch would rightly be dropped as late."""
+    """Retried sends counted once, over several micro-batches: a retry may come with the next file."""
     sent = t.events.select(F.concat(F.lit("op"), "event_id").alias("operation_id"), F.concat(F.lit("/r/"), F.col("user_id") % 10).alias("route"), F.col("ts").alias("started_at"))
-    resent = sent.unionByName(sent.where(pick("operation_id", ":retry") < 50))
-    stream = jobs.stream_table(t.spark, _files(resent, "sent", "started_at"))
-    kept = jobs.run_available(jobs.stream_dedupe(stream, "10 days"), "deduped")
+    first, last = t.events.agg(F.min("ts"), F.max("ts")).first()
+    arrives = F.floor((F.unix_micros(F.col("started_at").cast("timestamp")) - F.unix_micros(F.lit(first).cast("timestamp"))) / ((last - first).total_seconds() * 1e6 + 1) * 4)
+    again = sent.where(pick("operation_id", ":retry") < 50).withColumn("_part", F.least(arrives + 1, F.lit(3)))
+    every = sent.withColumn("_part", arrives).unionByName(again)
+    path = _in_order([every.where(F.col("_part") == i).drop("_part") for i in range(4)], "sent")
+    stream = jobs.stream_table(t.spark, path, files_per_trigger=1)
+    kept = jobs.run_available(jobs.stream_dedupe(stream, "20 days"), "deduped")
     return kept.groupBy("route").agg(F.count(F.lit(1)).alias("operations"))
 
 
+@query(
+    "stream_late",
+    f"""WITH e AS (SELECT *, date_trunc('day', ts)::TIMESTAMP AS window_start FROM {_SQL_LATE} WHERE date_trunc('day', ts) + INTERVAL 1 DAY <= {_CLOSED}),
+        d AS (SELECT window_start, count(*) FILTER (WHERE late) AS late FROM e GROUP BY ALL) SELECT p.*, d.late FROM (
+    """ + " UNION ALL ".join(
+        _sql_profile("events", c, "e GROUP BY window_start", "window_start,") for c in ("event_id", "user_id", "event_type", "value")
+    ) + ") p JOIN d USING (window_start)",
+)
+def stream_late(t: Tables) -> DataFrame:
+    """Daily profiles of a stream with late rows: the windows they belong to are computed again from the stored rows."""
+    path, events = _arrivals(t)
+    columns, kept = ["event_id", "user_id", "event_type", "value"], fresh_path(t.spark, "stored")
+    stream = lambda: jobs.stream_table(t.spark, path, files_per_trigger=1)
+    jobs.run_batches(stream(), jobs.store_batch(kept), "stored")
+    histogram, reports = jobs.run_reported(jobs.stream_histogram(stream(), "events", columns, "ts", "1 day", "1 hour"), "late")
+    stored = t.spark.read.parquet(kept).drop("batch")
+    whole, dirty = jobs.with_late_rows(stored, histogram, "events", columns, "ts", "1 day", jobs.watermark_reached(reports))
+    late = dirty.select("window_start", (F.col("stored") - F.col("counted")).alias("late"))
+    rows = jobs.stream_profile(whole).drop("data_type").join(late, "window_start", "left")
+    return rows.withColumn("late", F.coalesce("late", F.lit(0)))
+
+
 @query(
     "stream_fingerprints",
     f"""WITH {runtime._SQL_STATEMENTS} SELECT date_trunc('day', started_at)::TIMESTAMP AS window_start, fp AS fingerprint, count(*) AS executions FROM st
@@ -77,10 +128,10 @@ def stream_repetition(t: Tables) -> DataFrame:
 @query(
     "stream_rates",
     f"""WITH {runtime._SQL_STATEMENTS}, w AS (SELECT date_trunc('day', started_at)::TIMESTAMP - to_days(CAST(k AS INTEGER)) AS window_start, route, value FROM st, range(2) r(k))
-        SELECT window_start, route, count(*) AS statements, max(value) AS max_ms FROM w WHERE window_start + INTERVAL 2 DAY <= {_CLOSED} GROUP BY ALL""",
+        SELECT window_start, route, count(*) AS statements, max(value) AS max_ms, quantile_disc(value, 0.95) AS p95_ms FROM w WHERE window_start + INTERVAL 2 DAY <= {_CLOSED} GROUP BY ALL""",
 )
 def stream_rates(t: Tables) -> DataFrame:
-    return jobs.run_available(jobs.stream_rates(_statement_stream(t), "2 days", "1 day", "1 hour"), "rates").drop("p95_ms")
+    return jobs.run_available(jobs.stream_rates(_statement_stream(t), "2 days", "1 day", "1 hour"), "rates")
 
 
 @query("stream_upsert", "SELECT user_id, event_type, arg_max(value, (ts, event_id)) AS value FROM events GROUP BY ALL")
@@ -93,13 +144,13 @@ def stream_upsert(t: Tables) -> DataFrame:
     return jobs.latest(t.spark, path, keys, order).select(*keys, "value")
 
 
-@query("stream_accounting", "SELECT count(*) AS captured, 0 AS dropped FROM events")
+@query("stream_accounting", f"SELECT count(*) AS captured, count(*) FILTER (WHERE late) AS dropped FROM {_SQL_LATE}")
 def stream_accounting(t: Tables) -> DataFrame:
-    """Rows seen by the micro-batches, and what the watermark dropped."""
-    stream = jobs.stream_table(t.spark, _files(t.events, "events", "ts"), files_per_trigger=1)
-    path = fresh_path(t.spark, "sizes")
-    dropped = jobs.accounting(jobs.run_batches(stream, jobs.counted_batches(path), "accounting"))["dropped"]
-    return t.spark.read.parquet(path).agg(F.sum("rows").alias("captured")).withColumn("dropped", F.lit(dropped))
+    """Rows seen by the micro-batches, and the late ones that the deduplicating operator dropped."""
+    path, _ = _arrivals(t)
+    stream = jobs.stream_dedupe(jobs.stream_table(t.spark, path, files_per_trigger=1), "1 hour", "event_id", "ts")
+    counts = jobs.accounting(jobs.run_reported(stream, "accounting")[1])
+    return t.spark.createDataFrame([(counts["captured"], counts["dropped"])], "captured long, dropped long")
 
 
 #: Events that lost user ids on one day in the middle of the stream.

@@ -7,14 +7,15 @@ so nothing passes through the driver, and each sink can be replayed after a fail
 from __future__ import annotations
 
 from collections.abc import Callable, Sequence
+from datetime import datetime
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from ..functions.exprs import clock, utc_session
+from ..functions.exprs import clock, time_literal, utc_session
 from ..operators import anomaly, behaviour, profile
-from ..session import fresh_path
+from ..session import cut, fresh_path
 from ..sources import events as ev
 
 
@@ -96,12 +97,17 @@ def stream_rates(statements: DataFrame, window: str, slide: str, watermark: str,
     )
 
 
-def run_available(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
-    """Runs a stream over everything available now and returns what it wrote."""
+def run_reported(df: DataFrame, name: str, path: str | None = None) -> tuple[DataFrame, list[dict]]:
+    """Runs a stream over everything available now; what it wrote, and the reports of its batches."""
     spark = df.sparkSession
     path = path or fresh_path(spark, name)
-    _finish(df.writeStream.format("parquet").option("path", path).option("checkpointLocation", f"{path}-state").outputMode("append"))
-    return spark.read.schema(df.schema).parquet(path)
+    reports = _finish(df.writeStream.format("parquet").option("path", path).option("checkpointLocation", f"{path}-state").outputMode("append"))
+    return spark.read.schema(df.schema).parquet(path), reports
+
+
+def run_available(df: DataFrame, name: str, path: str | None = None) -> DataFrame:
+    """Runs a stream over everything available now and returns what it wrote."""
+    return run_reported(df, name, path)[0]
 
 
 def run_batches(df: DataFrame, batch: Callable[[DataFrame, int], None], name: str) -> list[dict]:
@@ -111,17 +117,98 @@ def run_batches(df: DataFrame, batch: Callable[[DataFrame, int], None], name: st
 
 
 def _finish(writer) -> list[dict]:
+    """Runs to the end and returns the report of every batch, gathered while they appear."""
     query = writer.trigger(availableNow=True).start()
-    query.awaitTermination()
-    return [dict(p) if isinstance(p, dict) else p.jsonValue for p in query.recentProgress]
+    reports: dict[int, dict] = {}
+    running = True
+    while running:
+        running = not query.awaitTermination(timeout=2)
+        for p in query.recentProgress:
+            report = dict(p) if isinstance(p, dict) else p.jsonValue
+            reports[report["batchId"]] = report
+    return [reports[i] for i in sorted(reports)]
 
 
 def accounting(progress: Sequence[dict]) -> dict[str, int]:
-    """Rows captured, and rows dropped for arriving after their window closed."""
+    """Rows captured, and rows the stateful operators dropped for arriving behind their watermark."""
     dropped = sum(int(s.get("numRowsDroppedByWatermark", 0)) for p in progress for s in p.get("stateOperators", []))
     return {"batches": len(progress), "captured": sum(int(p.get("numInputRows", 0)) for p in progress), "dropped": dropped}
 
 
+def watermark_reached(progress: Sequence[dict]) -> datetime | None:
+    """The last watermark of a run, as UTC wall-clock time: windows that end by then are closed."""
+    reached = [p["eventTime"]["watermark"] for p in progress if "watermark" in (p.get("eventTime") or {})]
+    return max(datetime.fromisoformat(w.replace("Z", "+00:00")) for w in reached).replace(tzinfo=None) if reached else None
+
+
+# ---- late rows -----------------------------------------------------------------------------------
+#
+# The stream drops what arrives behind its watermark; the stored rows have it. Windows whose stored rows are more than
+# the stream counted are found by their counts and computed again from the store, the others stay as they are.
+
+
+def store_batch(path: str) -> Callable[[DataFrame, int], None]:
+    """A batch function that keeps every row; a replayed batch overwrites its own folder."""
+
+    def write(batch: DataFrame, epoch: int) -> None:
+        batch.write.mode("overwrite").parquet(f"{path}/batch={epoch}")
+
+    return write
+
+
+def _window_starts(df: DataFrame, ts: str, window: str) -> DataFrame:
+    start = F.window(F.col(ts), window)["start"]
+    plain = start if isinstance(df.schema[ts].dataType, T.TimestampNTZType) else _naive(start)
+    return df.withColumn("window_start", plain.cast("timestamp_ntz"))
+
+
+def _naive(instant: Column) -> Column:
+    return F.to_utc_timestamp(instant, F.current_timezone())
+
+
+def dirty_windows(stored: DataFrame, histogram: DataFrame, ts: str, window: str, closed: datetime) -> DataFrame:
+    """(window_start, stored, counted): closed windows of which the stream counted fewer rows than are stored.
+
+    ``histogram`` is what the stream wrote (one of its columns tells the rows of a window); a closed window that it
+    never wrote, because all its rows came late, counts 0.
+    """
+    one = histogram.agg(F.min("column")).scalar()
+    counted = histogram.where(F.col("column") == one).groupBy("window_start").agg(F.sum("n").alias("counted"))
+    rows = _window_starts(stored, ts, window).groupBy("window_start").agg(F.count(F.lit(1)).alias("stored"))
+    ended = rows.where(F.col("window_start") + F.expr(f"INTERVAL {window}") <= clock(closed))
+    unequal = ended.join(counted, "window_start", "left").withColumn("counted", F.coalesce("counted", F.lit(0)))
+    return unequal.where("stored <> counted").select("window_start", "stored", "counted")
+
+
+def recomputed(
+    stored: DataFrame, dirty: DataFrame, table: str, columns: Sequence[str], ts: str, window: str
+) -> DataFrame:
+    """The histogram of the dirty windows only, from the stored rows.
+
+    ``dirty`` should be a written table: its first and last window bound the scan, and its few windows choose the rows.
+    """
+    first, last = dirty.agg(F.min("window_start"), F.max(F.col("window_start") + F.expr(f"INTERVAL {window}"))).first()
+    kind = stored.schema[ts].dataType
+    types = dict(stored.dtypes)
+    out = "table string, column string, data_type string, window_start timestamp_ntz, value string, n long"
+    if first is None:
+        return stored.sparkSession.createDataFrame([], out)
+    near = stored.where((F.col(ts) >= time_literal(first, kind)) & (F.col(ts) < time_literal(last, kind)))
+    again = _window_starts(near, ts, window).join(dirty.select("window_start"), "window_start", "left_semi")
+    values = F.array(*[F.struct(F.lit(c).alias("column"), F.lit(types[c]).alias("data_type"), F.col(c).cast("string").alias("value")) for c in columns])
+    counted = again.select("window_start", F.explode(values).alias("v")).groupBy("window_start", "v").agg(F.count(F.lit(1)).alias("n"))
+    return counted.select(F.lit(table).alias("table"), "v.column", "v.data_type", "window_start", "v.value", "n")
+
+
+def with_late_rows(
+    stored: DataFrame, histogram: DataFrame, table: str, columns: Sequence[str], ts: str, window: str, closed: datetime
+) -> tuple[DataFrame, DataFrame]:
+    """(histogram, dirty): the stream's histogram with its dirty windows computed again, and those windows."""
+    dirty = cut(dirty_windows(stored, histogram, ts, window, closed))
+    kept = histogram.join(dirty.select("window_start"), "window_start", "left_anti").select(*histogram.columns)
+    return kept.unionByName(recomputed(stored, dirty, table, columns, ts, window)), dirty
+
+
 def counted_batches(path: str) -> Callable[[DataFrame, int], None]:
     """A batch function that records how many rows each micro-batch held."""
 

@@ -38,3 +38,30 @@ def test_every_window_of_a_batch_is_judged(spark, tmp_path):
     before = alarms(spark, path)
     write(histogram(spark, [10, 11, 12], {10: 60}), 2)  # a replayed batch changes nothing
     assert alarms(spark, path) == before
+
+
+def test_windows_with_late_rows(spark, tmp_path):
+    """Only closed windows whose stored rows outnumber the counted ones are computed again; all-late windows appear."""
+    rows = [(FIRST + timedelta(days=d, hours=h), d * 10 + h % 3) for d in range(6) for h in range(0, 24, 6)]
+    late = [(FIRST + timedelta(days=1, hours=1), 99), (FIRST + timedelta(days=3), None)]
+    lost = [(FIRST + timedelta(days=-2), 7)]
+    schema = "ts timestamp_ntz, v long"
+    stored = spark.createDataFrame(rows + late + lost, schema)
+    columns = ["v"]
+    write = jobs.store_batch(str(tmp_path / "s"))
+    write(spark.createDataFrame(rows, schema), 0)
+    write(spark.createDataFrame(late + lost, schema), 1)
+    write(spark.createDataFrame(late + lost, schema), 1)  # a replayed batch
+    kept = spark.read.parquet(str(tmp_path / "s")).drop("batch")
+    assert kept.count() == stored.count()
+    days = spark.createDataFrame([(FIRST + timedelta(days=d),) for d in range(5)], "window_start timestamp_ntz")
+    counted = jobs.recomputed(spark.createDataFrame(rows, schema), days, "t", columns, "ts", "1 day")
+    whole, dirty = jobs.with_late_rows(kept, counted, "t", columns, "ts", "1 day", FIRST + timedelta(days=5))
+    found = {((r["window_start"] - FIRST).days, r["stored"], r["counted"]) for r in dirty.collect()}
+    assert found == {(1, 5, 4), (3, 5, 4), (-2, 1, 0)}
+    everything = spark.createDataFrame([(FIRST + timedelta(days=d),) for d in (-2, *range(5))], "window_start timestamp_ntz")
+    want = jobs.recomputed(stored, everything, "t", columns, "ts", "1 day")
+    plain = lambda df: sorted(map(str, df.collect()))
+    assert plain(whole) == plain(want)
+    again, none = jobs.with_late_rows(kept, want, "t", columns, "ts", "1 day", FIRST + timedelta(days=5))
+    assert none.count() == 0 and plain(again) == plain(want)
