@@ -5,7 +5,10 @@ A chunk is a run of whole rows; a row longer than the chunk size is a chunk of i
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+import ctypes
+import functools
+import gc
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -16,6 +19,23 @@ _P = np.uint64(0x9E3779B97F4A7C55)  # odd, so invertible modulo 2**64
 _P_INVERSE = np.uint64(pow(0x9E3779B97F4A7C55, -1, 1 << 64))
 
 
+def giving_back(work: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """A task's function that returns to the system, when it ends, the memory it took: worker processes are used again."""
+
+    @functools.wraps(work)
+    def run(batches):
+        try:
+            yield from work(batches)
+        finally:
+            gc.collect()
+            pa.default_memory_pool().release_unused()
+            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of the GNU library only
+            if trim is not None:
+                trim(0)
+
+    return run
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijective scramble of 64-bit numbers."""
     x = x ^ (x >> np.uint64(30))

@@ -25,13 +25,13 @@ import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
 
-from .arrays import strings, text_chunks
+from .arrays import giving_back, strings, text_chunks
 from .frames import id_and_text, packed, unpacked
 
 #: Fixed value: how byte-level BPE cuts texts into pre-tokens.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: Pre-tokens whose ids a task remembers at most; beyond it starts anew, which changes no result.
-REMEMBERED = 400_000
+#: Bytes of pre-tokens and their ids that a task remembers about; beyond it starts anew, which changes no result.
+REMEMBERED, ENTRY = 48 << 20, 120
 _NONE = np.int64(1 << 40)
 
 
@@ -141,7 +141,8 @@ class Encoder:
 
     def _forget(self) -> None:
         self.known: dict[str, int] = {}
-        self.sizes, self.starts, self.ids, self.used = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int64), 0
+        self.held = 0
+        self.sizes, self.starts, self.ids = np.empty(0, np.int64), np.empty(0, np.int64), np.empty(0, np.int64)
 
     def _learn(self, words: list[str]) -> None:
         ids, sizes = merge_words([w.encode("utf-8", "surrogatepass") for w in words], self.v)
@@ -166,9 +167,10 @@ class Encoder:
             counts.append(len(words) - before)
         distinct = set(words)
         fresh = distinct.difference(self.known)
-        if fresh and len(self.known) + len(fresh) > REMEMBERED:
+        if fresh and self.held + sum(map(len, fresh)) + ENTRY * len(fresh) > REMEMBERED:
             self._forget()
             fresh = distinct
+        self.held += sum(map(len, fresh)) + ENTRY * len(fresh)
         if fresh:
             self._learn(list(fresh))
         index = np.fromiter(map(self.known.__getitem__, words), np.int64, len(words))
@@ -196,6 +198,7 @@ def encode_documents(docs: DataFrame, path: str) -> DataFrame:
     """(doc_id, ids, n_tokens, ids_sha256, decoded_sha256) of every whole text."""
     shared = packed(docs.sparkSession, read_vocabulary(path))
 
+    @giving_back
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = unpacked(shared)
         encoder, decimal = Encoder(v), [str(i) for i in range(v.size)]
@@ -225,6 +228,7 @@ def decode_documents(encoded: DataFrame, path: str) -> DataFrame:
     """(doc_id, text) from (doc_id, ids)."""
     shared = packed(encoded.sparkSession, read_vocabulary(path))
 
+    @giving_back
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v = unpacked(shared)
         for batch in batches:

@@ -29,7 +29,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import cut
-from .arrays import Codes, Spans, fold, strings, text_chunks, word_spans
+from .arrays import Codes, Spans, fold, giving_back, strings, text_chunks, word_spans
 from .frames import id_and_text, packed, unpacked
 
 THRESHOLD = 0.6
@@ -188,6 +188,7 @@ def _share(part: np.ndarray, whole: np.ndarray) -> float:
 def _parts(items: DataFrame) -> tuple[DataFrame, DataFrame, int, float, int]:
     """Distinct items with their part, document frequencies of terms, number and mean length of items, parts."""
 
+    @giving_back
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = Words()
         for batch in batches:
@@ -238,6 +239,7 @@ def matches(docs: DataFrame, items: DataFrame, threshold: float = THRESHOLD, que
         frequencies = dict(zip(counts["term"].to_numpy().view(np.uint64).tolist(), counts["df"].to_pylist()))
         index = packed(docs.sparkSession, build(own, n, mean, frequencies, threshold))
 
+        @giving_back
         def search(batches: Iterator[pa.RecordBatch], index=index) -> Iterator[pa.RecordBatch]:
             words, classes = Words(), unpacked(index)
             for batch in batches:

@@ -4,8 +4,8 @@ A text is the TF-IDF vector of its hashed letter n-grams (1 to 3 letters, anythi
 language's vectors are clustered into a few centroids; a text gets the language of the centroid with the highest
 cosine. A text without letters, or farther from every centroid than texts of that language and length are, is rejected.
 
-The model is fitted on a bounded sample: at most ``max_sample`` labelled texts, shared evenly among the languages and
-taken in hash order of the id. A quarter as many texts again are left out of the fit; the cosines of these texts and of
+The model is fitted on a bounded sample: about ``max_sample`` labelled texts, shared evenly among the languages and
+chosen by a hash of the id below a threshold that follows from the language's count; of repeated ids one row counts. A quarter as many texts again are left out of the fit; the cosines of these texts and of
 their beginnings to their own language's solid centroids give the least cosine (a low quantile) of each language and length. Length is
 counted in distinct n-grams, so that a text of one repeated word is short. The prediction reads whole texts of all rows.
 
@@ -20,11 +20,11 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import cut
-from .arrays import Codes, strings, text_chunks
+from .arrays import Codes, giving_back, strings, text_chunks
 from .frames import fold_of, id_and_text
 
 BINS = 4096
@@ -153,6 +153,7 @@ def _solid(x: np.ndarray, centres: np.ndarray) -> np.ndarray:
 def fit(labelled: DataFrame, max_sample: int = MAX_SAMPLE) -> Model | None:
     """Learns from (doc_id, text, lang); NULL languages are left out. None if nothing can be learned."""
 
+    @giving_back
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codes = Codes()
         for batch in batches:
@@ -168,18 +169,19 @@ def fit(labelled: DataFrame, max_sample: int = MAX_SAMPLE) -> Model | None:
                 )
 
     rows = labelled.where("lang is not null and text is not null")
-    languages = sorted(r[0] for r in rows.select("lang").distinct().collect())  # one row for each language
-    if not languages:
+    sizes = {r["lang"]: r["c"] for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("c")).collect()}  # a row a language
+    if not sizes:
         return None
-    each = max(1, max_sample // len(languages))
+    each = max(1, max_sample // len(sizes))
     also = max(1, each // 4)  # texts left out of the fit
-    order = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
-    # The sample is chosen on the ids; only its rows bring their texts.
-    chosen = rows.select("doc_id", "lang").withColumn("_r", F.row_number().over(order)).where(F.col("_r") <= each + also)
-    chosen = chosen.groupBy("doc_id").agg(F.max(F.col("_r") % 5 == 2).alias("left_out"))
-    picked = cut(rows.join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "lang", "left_out"))
+    # The sample is chosen on the ids by a hash below each language's threshold; only its rows bring their texts.
+    below = F.create_map(*[F.lit(x) for lang, c in sorted(sizes.items()) for x in (lang, min(1.0, (each + also) / c))])
+    uniform = F.pmod(F.xxhash64(F.lit(1), "doc_id"), F.lit(1 << 40)) / float(1 << 40)
+    left_out = F.pmod(F.xxhash64(F.lit(2), "doc_id"), F.lit(5)) == 2
+    picked = rows.where(uniform < below[F.col("lang")]).select("doc_id", "text", "lang").dropDuplicates(["doc_id"])
+    picked = cut(picked.withColumn("left_out", left_out))
     table = picked.where("not left_out").select("doc_id", "text", "lang").mapInArrow(count, "doc_id long, lang string, counts binary")
-    sample = table.orderBy("lang", F.xxhash64("doc_id")).limit(2 * max_sample).toArrow()
+    sample = table.orderBy("lang", F.xxhash64("doc_id")).toArrow()
     x = np.stack([np.frombuffer(v.as_buffer(), np.uint16) for v in sample["counts"]]).astype(np.float32) if len(sample) else np.empty((0, BINS))
     names = sample["lang"].to_pylist()
     full = x.any(1)
@@ -194,13 +196,14 @@ def fit(labelled: DataFrame, max_sample: int = MAX_SAMPLE) -> Model | None:
     model.owners = np.repeat(np.arange(len(groups)), [len(g) for g in groups])
     model.centroids = np.concatenate(groups).astype(np.float32)
     model.solid = np.concatenate([_solid(vectors[names == name], g) for name, g in zip(model.languages, groups)])
-    model.floors = _floors(picked.where("left_out"), model, 50 * max_sample)
+    model.floors = _floors(picked.where("left_out"), model)
     return model
 
 
-def _floors(left_out: DataFrame, model: Model, limit: int) -> list[tuple[np.ndarray, np.ndarray]]:
+def _floors(left_out: DataFrame, model: Model) -> list[tuple[np.ndarray, np.ndarray]]:
     """Of each language the least cosines by length; of all languages together for one without texts."""
 
+    @giving_back
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codes = Codes()
         for batch in batches:
@@ -222,7 +225,7 @@ def _floors(left_out: DataFrame, model: Model, limit: int) -> list[tuple[np.ndar
                     )
 
     measured = left_out.select("doc_id", "text", "lang").mapInArrow(measure, "doc_id long, lang string, length double, cosine double")
-    found = measured.orderBy(F.xxhash64("doc_id"), "lang", "length", "cosine").limit(limit).toArrow()
+    found = measured.orderBy(F.xxhash64("doc_id"), "lang", "length", "cosine").toArrow()
     names = np.array(found["lang"].to_pylist(), dtype=object)
     lengths, cosines = found["length"].to_numpy(), found["cosine"].to_numpy()
     if not len(names):
@@ -233,6 +236,7 @@ def _floors(left_out: DataFrame, model: Model, limit: int) -> list[tuple[np.ndar
 def predict(docs: DataFrame, model: Model | None, max_distance: float = MAX_DISTANCE) -> DataFrame:
     """(doc_id, lang_pred, score, rejected): score is the cosine to the nearest centroid."""
 
+    @giving_back
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         codes = Codes()
         for batch in batches:
@@ -282,6 +286,7 @@ def accept(model: Model | None, max_distance: float = MAX_DISTANCE):
     """A column function: whether a text is accepted."""
 
     @F.arrow_udf("boolean")
+    @giving_back
     def accepted(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         codes = Codes()
         for column in batches:

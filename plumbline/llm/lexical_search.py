@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..session import cut
-from .arrays import Spans, byte_rows, row_chunks, word_spans
+from .arrays import Spans, byte_rows, giving_back, row_chunks, word_spans
 from .frames import id_and_text, packed, unpacked
 
 #: (item, term) rows of a block; items and documents of a tile; cells of a document tile.
@@ -54,6 +54,7 @@ def _terms(data: np.ndarray, bounds: np.ndarray, spans: Spans) -> tuple[np.ndarr
 def item_terms(items: DataFrame) -> DataFrame:
     """(item_id, term, times): the terms of each item with their occurrences."""
 
+    @giving_back
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         spans = Spans()
         for batch in batches:
@@ -106,6 +107,7 @@ class Vocabulary:
 def term_counts(docs: DataFrame, vocabulary) -> DataFrame:
     """(doc_id, n, terms, times): terms of each whole text in all, and the vocabulary's ones with their occurrences."""
 
+    @giving_back
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         spans, known = Spans(), unpacked(vocabulary)
         width = max(1, len(known.sizes))
@@ -185,6 +187,7 @@ class Best:
 def _scored(counts: DataFrame, tiles, ids: np.ndarray, total: int, length: int, k: int) -> DataFrame:
     """(item_id, doc_id, score): the k best documents of every item in each task."""
 
+    @giving_back
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         blocks, item_ids = unpacked(tiles)
         best = Best(len(item_ids), k)

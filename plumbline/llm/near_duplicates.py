@@ -10,7 +10,8 @@ are confirmed on their full shingle sets. Crowded buckets that hubs do not finis
 bounded size, which report only the links that join components.
 
 Defined results: NULL or empty text has no shingles and links with nothing. A row without an id takes no part
-(component_id NULL, kept true). Repeated rows are members of one class. Ties go to the smaller id. An empty table gives
+(component_id NULL, kept true). Repeated rows are members of one class; an id repeated with other texts is in a class
+with each of them. Ties go to the smaller id. An empty table gives
 an empty result. Columns other than doc_id and text are not read.
 """
 
@@ -26,7 +27,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import cut
-from .arrays import CHUNK, Spans, byte_rows, fold, row_chunks, word_spans
+from .arrays import CHUNK, Spans, byte_rows, fold, giving_back, row_chunks, word_spans
 from .frames import components, id_and_text, only
 
 #: Bands times rows hashes make a signature. A pair at similarity 0.8 shares no band with probability 5e-5.
@@ -86,8 +87,12 @@ def minhashes(sets: list[np.ndarray], count: int) -> np.ndarray:
 
 
 def signatures(docs: DataFrame, words: int, count: int = BANDS * ROWS) -> DataFrame:
-    """(doc_id, n_shingles, k1, k2, sig): set size, 128-bit digest of the set and signature; NULL for empty sets."""
+    """(doc_id, text_key, n_shingles, k1, k2, sig): a hash of the text, set size, 128-bit digest of the set and signature.
 
+    Digest and signature are NULL for empty sets.
+    """
+
+    @giving_back
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         spans = Spans()
         for batch in batches:
@@ -106,15 +111,17 @@ def signatures(docs: DataFrame, words: int, count: int = BANDS * ROWS) -> DataFr
                 yield pa.RecordBatch.from_arrays(
                     [
                         batch.column(0).slice(first, last - first),
+                        batch.column(2).slice(first, last - first),
                         pa.array([len(s) for s in sets], pa.int64()),
                         pa.array(digests[:, 0], mask=empty),
                         pa.array(digests[:, 1], mask=empty),
                         pa.array(sigs, pa.binary()),
                     ],
-                    names=["doc_id", "n_shingles", "k1", "k2", "sig"],
+                    names=["doc_id", "text_key", "n_shingles", "k1", "k2", "sig"],
                 )
 
-    return id_and_text(docs).mapInArrow(work, "doc_id long, n_shingles long, k1 long, k2 long, sig binary")
+    keyed = id_and_text(docs).withColumn("text_key", F.xxhash64("text"))
+    return keyed.mapInArrow(work, "doc_id long, text_key long, n_shingles long, k1 long, k2 long, sig binary")
 
 
 def least_matches(threshold: float, miss: float, count: int) -> np.ndarray:
@@ -150,6 +157,7 @@ def _likely(pairs: DataFrame, sigs: DataFrame, threshold: float, miss: float) ->
     """The pairs (a, b) that survive sequential Bayesian verification on their signatures."""
     least = least_matches(threshold, miss, BANDS * ROWS)
 
+    @giving_back
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             matrix = [np.frombuffer(b"".join(batch.column(i).to_pylist()), np.uint16).reshape(-1, BANDS * ROWS) for i in (2, 3)]
@@ -167,6 +175,7 @@ def _likely(pairs: DataFrame, sigs: DataFrame, threshold: float, miss: float) ->
 def _full_sets(needed: DataFrame, docs: DataFrame, reps: DataFrame, words: int) -> DataFrame:
     """(rep, shingles): the sorted shingle hashes of the classes ``needed`` (rep), computed from their texts again."""
 
+    @giving_back
     def sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         spans = Spans()
         for batch in batches:
@@ -178,21 +187,24 @@ def _full_sets(needed: DataFrame, docs: DataFrame, reps: DataFrame, words: int)
                     [
                         batch.column(0).slice(first, last - first),
                         pa.array([int(d[0]) for d in digests], pa.int64()),
+                        pa.array([int(d[1]) for d in digests], pa.int64()),
                         pa.array([s.tobytes() for s in found], pa.binary()),
                     ],
-                    names=["rep", "k1", "shingles"],
+                    names=["first", "k1", "k2", "shingles"],
                 )
 
-    rows = only(id_and_text(docs), needed.select(F.col("rep").alias("doc_id")).distinct(), "doc_id")
-    found = rows.mapInArrow(sets, "rep long, k1 long, shingles binary")
+    wanted = cut(needed.join(reps.select("rep", "first", "k1", "k2"), "rep"))
+    rows = only(id_and_text(docs), wanted.select(F.col("first").alias("doc_id")).distinct(), "doc_id")
+    found = rows.mapInArrow(sets, "first long, k1 long, k2 long, shingles binary")
     # An id that is repeated with other texts gives several sets; the class digest tells which one is meant.
-    return cut(found.join(reps.select("rep", "k1"), ["rep", "k1"], "left_semi").dropDuplicates(["rep"]).select("rep", "shingles"))
+    return cut(wanted.join(found, ["first", "k1", "k2"]).dropDuplicates(["rep"]).select("rep", "shingles"))
 
 
 def _confirmed(pairs: DataFrame, docs: DataFrame, reps: DataFrame, words: int, threshold: float) -> DataFrame:
     """The pairs whose full shingle sets are at least ``threshold`` similar."""
     share = round(threshold * 100)
 
+    @giving_back
     def confirm(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keep = []
@@ -286,7 +298,7 @@ def _crowded_links(members: DataFrame, sets: DataFrame, threshold: float) -> Dat
 
 
 def near_duplicates(docs: DataFrame, words: int = 5, threshold: float = 0.8, miss: float = MISS) -> DataFrame:
-    """(doc_id, n_shingles, component_id, kept, n_links): one row per document.
+    """(doc_id, n_shingles, component_id, kept, n_links, text_key, k1, k2): one row per document.
 
     component_id is the smallest doc_id reachable over links of at least ``threshold`` Jaccard similarity; n_links
     counts the verified links of the document's class that built the components.
@@ -294,11 +306,16 @@ def near_duplicates(docs: DataFrame, words: int = 5, threshold: float = 0.8, mis
     spark = docs.sparkSession
     rows = cut(signatures(docs, words))
     known = rows.where("doc_id is not null and k1 is not null")
-    classes = cut(known.groupBy("k1", "k2").agg(F.min("doc_id").alias("rep")))
-    # One id may be the first of several classes when it is repeated with other texts; one of them is compared.
-    first = classes.groupBy(F.col("rep").alias("doc_id")).agg(F.min(F.struct("k1", "k2")).alias("k")).select("doc_id", "k.k1", "k.k2")
-    reps = known.join(first, ["k1", "k2", "doc_id"], "left_semi").dropDuplicates(["k1", "k2", "doc_id"])
-    reps = cut(reps.select(F.col("doc_id").alias("rep"), "k1", F.col("n_shingles").alias("n"), "sig"))
+    classes = known.groupBy("k1", "k2").agg(F.min("doc_id").alias("first"))
+    # A class is a node of the search. Its smallest id names it, or, where an id repeated with other texts is the
+    # smallest of several classes, its digest for all but one of them.
+    least = classes.groupBy("first").agg(F.min(F.struct("k1", "k2")).alias("least"), F.count(F.lit(1)).alias("c"))
+    several = cut(least.where("c > 1").select("first", "least"))
+    named = classes.join(several, "first", "left")
+    own = F.col("least").isNull() | (F.struct("k1", "k2") == F.col("least"))
+    classes = cut(named.select("k1", "k2", "first", F.when(own, F.col("first")).otherwise(F.col("k1")).alias("rep")))
+    reps = known.join(classes, ["k1", "k2"]).where("doc_id = first").dropDuplicates(["rep"])
+    reps = cut(reps.select("rep", "first", "k1", "k2", F.col("n_shingles").alias("n"), "sig"))
     bands = F.transform(
         F.sequence(F.lit(0), F.lit(BANDS - 1)), lambda i: F.xxhash64(i, F.substring("sig", i * (2 * ROWS) + 1, F.lit(2 * ROWS)))
     )
@@ -364,22 +381,33 @@ def near_duplicates(docs: DataFrame, words: int = 5, threshold: float = 0.8, mis
         tested = tested.unionByName(pairs)
 
     degree = links.select(F.col("a").alias("rep")).union(links.select("b")).groupBy("rep").agg(F.count(F.lit(1)).alias("n_links"))
-    named = classes.join(labels.select(F.col("node").alias("rep"), "root"), "rep", "left").join(degree, "rep", "left")
-    named = named.select("k1", "k2", F.coalesce("root", "rep").alias("root"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
+    # A component has the smallest id of all its classes.
+    joined = classes.join(labels.select(F.col("node").alias("rep"), "root"), "rep")
+    ids = joined.groupBy("root").agg(F.min("first").alias("component"))
+    linked = joined.select("rep", "root").join(ids, "root").select("rep", "component")
+    named = classes.join(linked, "rep", "left").join(degree, "rep", "left")
+    named = named.select("k1", "k2", F.coalesce("component", "first").alias("component"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
     out = rows.drop("sig").join(named, ["k1", "k2"], "left")
-    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("root", "doc_id"))
+    component = F.when(F.col("doc_id").isNotNull(), F.coalesce("component", "doc_id"))
     return out.select(
         "doc_id", "n_shingles", component.alias("component_id"),
         F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"), F.coalesce("n_links", F.lit(0)).alias("n_links"),
+        "text_key", "k1", "k2",
     )
 
 
 def keep_one(docs: DataFrame, words: int = 5, threshold: float = 0.8) -> DataFrame:
-    """The documents with one of each group left: the one with the smallest id."""
-    marked = cut(near_duplicates(docs, words, threshold).select("doc_id", "kept"))
-    kept = marked.where("kept and doc_id is not null").select("doc_id").distinct()
-    # Only rows whose id is repeated have to be gathered to leave one of them.
-    repeated = cut(marked.where("doc_id is not null").groupBy("doc_id").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("doc_id"))
-    chosen = docs.join(kept, "doc_id", "left_semi")
-    single = chosen.join(repeated, "doc_id", "left_anti").unionByName(docs.where("doc_id is null"))
-    return single.unionByName(chosen.join(repeated, "doc_id", "left_semi").dropDuplicates(["doc_id"])).select(*docs.columns)
+    """The documents with one of each group left: the one with the smallest id.
+
+    Of rows with one id those of different groups stay, and one of those with the same shingles.
+    """
+    marked = cut(near_duplicates(docs, words, threshold).select("doc_id", "text_key", "k1", "k2", "kept").where("doc_id is not null"))
+    repeated = cut(marked.groupBy("doc_id").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("doc_id"))
+    kept = marked.where("kept").select("doc_id").distinct()
+    single = docs.join(kept, "doc_id", "left_semi").join(repeated, "doc_id", "left_anti").unionByName(docs.where("doc_id is null"))
+    # Only rows whose id is repeated have to be gathered: one text for each class that stays.
+    several = marked.where("kept").join(repeated, "doc_id", "left_semi")
+    chosen = several.groupBy("doc_id", "k1", "k2").agg(F.min("text_key").alias("_text_key")).select("doc_id", "_text_key").distinct()
+    again = docs.join(repeated, "doc_id", "left_semi").withColumn("_text_key", F.xxhash64(docs["text"].cast("string")))
+    again = again.join(chosen, ["doc_id", "_text_key"], "left_semi").dropDuplicates(["doc_id", "_text_key"])
+    return single.unionByName(again.drop("_text_key")).select(*docs.columns)

@@ -5,13 +5,14 @@ classes, marks, word lengths, repetition inside the passage and against the earl
 attention network gives each passage a weight; the weighted mean of the passages' hidden vectors is scored by a
 logistic layer. Labels exist per document only; the weights are learned with them, by Adam on the cross-entropy.
 
-The model is fitted on a bounded sample: at most ``max_sample`` labelled documents, half per class where there are
-enough, in hash order of the id, and at most ``max_passages`` evenly spaced passages of each for fitting. Scoring reads
-every passage of every whole text.
+The model is fitted on a bounded sample: about ``max_sample`` labelled documents, half per class where there are enough,
+fewer where they hold more than ``MAX_PASSAGES`` passages in all; they are chosen by a hash of the id below a threshold
+that follows from the counts, and read whole. Scoring reads every passage of every whole text.
 
 Defined results: NULL or empty text is one empty passage (all statistics 0) and gets the score that the model gives it;
 with nothing to learn from, every score is the share of the labels seen (0.5 without any). Repeated label rows of one
-document count once, the larger label wins. Rows are scored one by one, so repeated rows agree.
+document count once, the larger label wins; of repeated ids one row is learned from. Rows are scored one by one, so
+repeated rows agree.
 """
 
 from __future__ import annotations
@@ -21,15 +22,16 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .arrays import Spans, Codes, fold, strings, text_chunks, word_spans
-from .frames import fold_of, id_and_text
+from ..session import cut
+from .arrays import Codes, Spans, fold, giving_back, strings, text_chunks, word_spans
+from .frames import fold_of, hash_sample, id_and_text
 
 PASSAGE_WORDS = 64
 MAX_SAMPLE = 4000
-MAX_PASSAGES = 24
+MAX_PASSAGES = 100_000
 THRESHOLD = 0.7
 _MARKS = 16
 HIDDEN, ATTENTION = 24, 12
@@ -188,16 +190,14 @@ def train(x: np.ndarray, bags: np.ndarray, y: np.ndarray, importance: np.ndarray
 def fit(docs: DataFrame, labels: DataFrame, folds: int = 4, held_out: int = 2, max_sample: int = MAX_SAMPLE) -> Model:
     """Learns from the labelled documents outside the held-out fold."""
 
+    @giving_back
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         encoder = Encoder()
         for batch in batches:
             texts = strings(batch.column(1))
             for first, last in text_chunks(texts):
                 x, bags = encoder.encode(texts[first:last])
-                kept = []
-                for a, b in zip(bags[:-1], bags[1:]):
-                    spread = np.unique(np.linspace(a, b - 1, min(b - a, MAX_PASSAGES)).round().astype(int))
-                    kept.append(x[spread].tobytes())
+                kept = [x[a:b].tobytes() for a, b in zip(bags[:-1], bags[1:])]
                 yield pa.RecordBatch.from_arrays(
                     [batch.column(0).slice(first, last - first), batch.column(2).slice(first, last - first), pa.array(kept, pa.binary())],
                     names=["doc_id", "quality", "passages"],
@@ -205,13 +205,13 @@ def fit(docs: DataFrame, labels: DataFrame, folds: int = 4, held_out: int = 2, m
 
     seen = labels.where("doc_id is not null and quality in (0, 1)").groupBy(F.col("doc_id").cast("long").alias("doc_id"))
     seen = seen.agg(F.max("quality").cast("int").alias("quality")).where(fold_of(F.col("doc_id"), folds) != held_out)
-    order = Window.partitionBy("quality").orderBy(F.xxhash64("doc_id"), "doc_id")
-    ranked = seen.withColumn("_r", F.row_number().over(order))
-    chosen = ranked.orderBy("_r", "quality").limit(max_sample).select("doc_id", "quality")
-    # The sample is bounded, so it may be broadcast.
-    bags = id_and_text(docs).join(F.broadcast(chosen), "doc_id").select("doc_id", "text", "quality")
-    coded = bags.mapInArrow(encode, "doc_id long, quality int, passages binary")
-    table = coded.orderBy(F.xxhash64("doc_id"), "doc_id").limit(max_sample).toArrow()
+    half = lambda q: hash_sample(seen.where(F.col("quality") == q), max_sample // 2)
+    # The thresholds bound the ids, so they may be broadcast.
+    bags = id_and_text(docs).join(F.broadcast(half(0).unionByName(half(1))), "doc_id").dropDuplicates(["doc_id"])
+    coded = cut(bags.select("doc_id", "text", "quality").mapInArrow(encode, "doc_id long, quality int, passages binary"))
+    rows, passages = coded.agg(F.count(F.lit(1)), F.sum(F.length("passages") / (4 * Encoder.WIDTH))).first()
+    chosen = hash_sample(coded, int(rows * min(1, MAX_PASSAGES / max(1, passages or 0))))
+    table = chosen.orderBy(F.xxhash64("doc_id"), "doc_id").toArrow()
     if not len(table):
         return Model(0.5)
     parts = [np.frombuffer(p.as_buffer(), np.float32).reshape(-1, Encoder.WIDTH) for p in table["passages"].combine_chunks()]
@@ -226,6 +226,7 @@ def scorer(model: Model):
     """A column function: the score of a text."""
 
     @F.arrow_udf("double")
+    @giving_back
     def score(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         encoder = Encoder()
         for column in batches:

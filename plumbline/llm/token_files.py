@@ -28,7 +28,7 @@ import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .arrays import byte_rows, row_chunks
+from .arrays import byte_rows, giving_back, row_chunks
 from .frames import packed
 
 END = 1
@@ -171,6 +171,7 @@ def write_tokens(docs: DataFrame, tokenizer: str, path: str, end: int = END, fil
     with open(tokenizer, encoding="utf-8") as file:
         shared = packed(docs.sparkSession, file.read())
 
+    @giving_back
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
         import pickle

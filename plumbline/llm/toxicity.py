@@ -31,7 +31,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import cut
-from .arrays import Codes, Spans, mix, strings, text_chunks, word_spans
+from .arrays import Codes, Spans, giving_back, mix, strings, text_chunks, word_spans
 from .frames import fold_of, hash_sample, id_and_text, packed, unpacked
 
 MAX_POSITIVE, MAX_UNLABELLED = 2000, 6000
@@ -177,6 +177,7 @@ class Model:
 def _presence(sample: DataFrame) -> DataFrame:
     """(feature, positive, documents): sampled documents with each feature, of those the positives."""
 
+    @giving_back
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         reader = Reader()
         for batch in batches:
@@ -240,6 +241,7 @@ def fit(
         return Model(float(prior))
     known = packed(docs.sparkSession, features)
 
+    @giving_back
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         vectors = Vectors(unpacked(known))
         for batch in batches:
@@ -269,6 +271,7 @@ def scorer(model: Model):
     """A column function: the score of a text, near 1 for toxic text."""
 
     @F.arrow_udf("double")
+    @giving_back
     def score(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         vectors = Vectors(model.features) if model.networks else None
         for column in batches:

@@ -11,7 +11,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from plumbline.llm import lexical_search, spelling, toxicity
+from plumbline.llm import lexical_search, near_duplicates, spelling, toxicity
 from plumbline.llm.frames import hash_sample
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long, word string, n string, score string, rank string"
@@ -193,3 +193,17 @@ def test_hash_sample(spark):
     assert hash_sample(rows, 20_000).count() == 10_000
     some = {r[0] for r in hash_sample(rows, 1000).collect()}
     assert 850 < len(some) < 1150 and some == {r[0] for r in hash_sample(rows.repartition(5), 1000).collect()}
+
+
+def test_near_duplicates_of_repeated_ids(spark):
+    """An id repeated with different texts links through each of them."""
+    base = [" ".join(f"{c}{i}" for i in range(60)) for c in "abc"]
+    edited = [t.replace("30 ", "x ", 1) for t in base]
+    rows = [(1, base[0]), (1, base[1]), (2, edited[0]), (3, edited[1]), (4, base[2]), (4, base[2]), (5, edited[2]), (4, base[2].upper()), (6, None), (6, "")]
+    df = spark.createDataFrame([(*r, "x") for r in rows], "doc_id long, text string, k1 string")
+    got = {(r["doc_id"], r["component_id"]) for r in near_duplicates.near_duplicates(df, words=2).collect()}
+    assert got == {(1, 1), (2, 1), (3, 1), (4, 4), (5, 4), (6, 6)}
+    kept = near_duplicates.keep_one(df, words=2)
+    assert kept.columns == df.columns
+    found = sorted((r["doc_id"], (r["text"] or "").lower()) for r in kept.collect())
+    assert [f for f in found if f[0] != 6] == [(1, base[0]), (1, base[1]), (4, base[2])] and {f[0] for f in found} == {1, 4, 6}
