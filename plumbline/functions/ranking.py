@@ -2,7 +2,7 @@
 
 A window over ``PARTITION BY key`` hands one task every row of the key, and the exact
 ``percentile`` aggregate keeps every distinct value of it in memory. Both fail when one key holds
-a third of the table, so the helpers here split a group by value first.
+a third of the table, so the helpers here split a group by value, by range or by hash first.
 """
 
 from __future__ import annotations
@@ -14,10 +14,10 @@ from pyspark.sql import functions as F
 
 from ..session import cut
 
-#: Relative rank error of the sketch is 1 / ACCURACY.
+#: Relative rank error of the sketch that splits running totals is 1 / ACCURACY.
 ACCURACY = 10_000
-#: Groups up to this size are ranked whole; larger ones only around the wanted rank.
-WHOLE_GROUP = 100_000
+#: Rows among which a wanted rank is looked up; more are first narrowed by counts of PARTS value ranges.
+BRACKET, PARTS = 100_000, 4096
 #: Value ranges a group is split into for running totals: STEP blocks of STEP ranges.
 STEP = 16
 RANGES = STEP * STEP
@@ -30,14 +30,39 @@ def _same(keys: Sequence[str], left: str, right: str) -> Column:
     return condition
 
 
+def _narrowed(base: DataFrame, wide: DataFrame, keys: Sequence[str]) -> DataFrame:
+    """Each of the brackets ``wide`` cut down to the value range that holds its rank.
+
+    Ranges follow the logarithm where all values have one sign and differ much. What counts is that equal values fall
+    into one range and larger ones into no lower range; the new ends are values that occur, and the counts are exact.
+    """
+    v, low, high = F.col("_v"), F.col("_low"), F.col("_high")
+    joined = base.alias("b").join(wide.alias("s"), _same(keys, "b", "s")).select("s.*", "b._v").where((v >= low) & (v <= high))
+    near, far = F.least(F.abs(low), F.abs(high)), F.greatest(F.abs(low), F.abs(high))
+    steep = (F.signum(low) == F.signum(high)) & (near * 1000 < far)
+    grown = F.log(F.abs(v) / near) / F.log(far / near)
+    share = F.when(steep, F.when(low > 0, grown).otherwise(1 - grown)).otherwise((v / 2 - low / 2) / (high / 2 - low / 2))
+    inner = F.floor(share * (PARTS - 2)) + 1
+    # The ends have ranges of their own, so every step leaves values out.
+    part = F.when(v == low, 0).when(v == high, PARTS - 1).otherwise(F.least(F.greatest(inner, F.lit(1)), F.lit(PARTS - 2)))
+    names = [*keys, "_name", "_rank"]
+    counted = joined.groupBy(*names, "_below", part.alias("_part")).agg(
+        F.count(F.lit(1)).alias("_inside"), F.min("_v").alias("_low"), F.max("_v").alias("_high")
+    )
+    ahead = Window.partitionBy(*names).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    placed = counted.withColumn("_below", F.col("_below") + F.coalesce(F.sum("_inside").over(ahead), F.lit(0)))
+    rank = F.col("_rank")
+    return placed.where((rank >= F.col("_below")) & (rank < F.col("_below") + F.col("_inside"))).drop("_part")
+
+
 def exact_percentiles(
     df: DataFrame, keys: Sequence[str], value: str, probabilities: dict[str, float]
 ) -> DataFrame:
     """Linearly interpolated percentiles (rank ``(n-1)*p``) per key, one column per name.
 
-    A bounded sketch brackets each wanted rank; one more pass counts the rows below the bracket
-    and ranks only the values inside it, about 6/ACCURACY of the group. The result is exact
-    whatever the sketch returned, because the counts and the values come from the same pass.
+    The value at a rank lies in a bracket that starts as the whole group. As long as a bracket holds more than BRACKET
+    rows of different values, they are counted by value range and the bracket shrinks to the range of the rank; then
+    its rows are ranked. Every step counts rows, so the result is exact for any size and any distribution.
     """
     keys = list(keys) or ["_all"]
     base = df.where(F.col(value).isNotNull())
@@ -45,61 +70,37 @@ def exact_percentiles(
         base = base.withColumn("_all", F.lit(0))
     base = base.select(*keys, F.col(value).cast("double").alias("_v"))
 
-    names = list(probabilities)
-    margin = 3.0 / ACCURACY
-    asked = [
-        p for name in names for p in (
-            max(probabilities[name] - margin, 0.0), min(probabilities[name] + margin, 1.0)
-        )
-    ]
-    sketch = base.groupBy(*keys).agg(
-        F.count(F.lit(1)).alias("_n"),
-        F.min("_v").alias("_min"),
-        F.max("_v").alias("_max"),
-        F.percentile_approx("_v", [float(p) for p in asked], ACCURACY).alias("_a"),
-    )
-    small = F.col("_n") <= WHOLE_GROUP
-    brackets = sketch.select(
-        *keys,
-        F.array(
-            *[
-                F.struct(
-                    F.lit(name).alias("name"),
-                    ((F.col("_n") - 1) * F.lit(float(probabilities[name]))).alias("position"),
-                    F.when(small, F.col("_min")).otherwise(F.col("_a")[2 * i]).alias("low"),
-                    F.when(small, F.col("_max")).otherwise(F.col("_a")[2 * i + 1]).alias("high"),
-                )
-                for i, name in enumerate(names)
-            ]
-        ).alias("_brackets"),
-    )
-    joined = base.alias("b").join(brackets.alias("s"), _same(keys, "b", "s")).select(
-        *[F.col(f"b.{k}") for k in keys], "_v", F.explode("_brackets").alias("_q")
-    )
-    side = F.when(F.col("_v") < F.col("_q.low"), -1).when(F.col("_v") > F.col("_q.high"), 1)
-    counted = (
-        joined.withColumn("_side", F.coalesce(side, F.lit(0)))
-        .groupBy(
-            *keys,
-            F.col("_q.name").alias("_name"),
-            F.col("_q.position").alias("_position"),
-            "_side",
-            F.when(F.col("_side") == 0, F.col("_v")).alias("_v"),
-        )
-        .agg(F.count(F.lit(1)).alias("_c"))
-    )
-    running = Window.partitionBy(*keys, "_name").orderBy("_side", "_v")
-    ranked = counted.withColumn("_seen", F.sum("_c").over(running))
-    inside = F.col("_side") == 0
-    below, above = F.floor("_position"), F.ceil("_position")
-    picked = ranked.groupBy(*keys, "_name", "_position").agg(
-        F.min(F.when(inside & (F.col("_seen") > below), F.col("_v"))).alias("_lo"),
-        F.min(F.when(inside & (F.col("_seen") > above), F.col("_v"))).alias("_hi"),
+    position = lambda p: (F.col("_n") - 1) * F.lit(float(p))
+    asked = F.array(*[
+        F.struct(F.lit(name).alias("name"), end(position(p)).alias("rank"))
+        for name, p in probabilities.items() for end in (F.floor, F.ceil)
+    ])
+    sizes = base.groupBy(*keys).agg(F.count(F.lit(1)).alias("_n"), F.min("_v").alias("_low"), F.max("_v").alias("_high"))
+    sizes = cut(sizes)
+    columns = [*keys, "_name", "_rank", "_below", "_inside", "_low", "_high"]
+    state = sizes.withColumn("_x", F.explode(F.array_distinct(asked))).select(
+        *keys, F.col("_x.name").alias("_name"), F.col("_x.rank").alias("_rank"), F.lit(0).cast("long").alias("_below"),
+        F.col("_n").alias("_inside"), "_low", "_high",
     )
-    interpolated = F.col("_lo") + (F.col("_hi") - F.col("_lo")) * (F.col("_position") - below)
-    result = picked.groupBy(*keys).agg(
-        *[F.max(F.when(F.col("_name") == name, interpolated)).alias(name) for name in names]
+    wide = (F.col("_inside") > BRACKET) & (F.col("_low") < F.col("_high"))
+    while not state.where(wide).isEmpty():
+        state = cut(state.where(~wide).select(*columns).unionByName(_narrowed(base, state.where(wide), keys).select(*columns)))
+
+    inside = base.alias("b").join(state.where("_low < _high").alias("s"), _same(keys, "b", "s")).select("s.*", "b._v")
+    counted = inside.where((F.col("_v") >= F.col("_low")) & (F.col("_v") <= F.col("_high")))
+    counted = counted.groupBy(*keys, "_name", "_rank", "_below", "_v").agg(F.count(F.lit(1)).alias("_c"))
+    running = Window.partitionBy(*keys, "_name", "_rank").orderBy("_v")
+    ranked = counted.withColumn("_seen", F.col("_below") + F.sum("_c").over(running)).where(F.col("_seen") > F.col("_rank"))
+    found = ranked.groupBy(*keys, "_name", "_rank").agg(F.min("_v").alias("_v"))
+    found = found.unionByName(state.where("_low = _high").select(*keys, "_name", "_rank", F.col("_low").alias("_v")))
+    ends = found.groupBy(*keys, "_name").agg(
+        F.min(F.struct("_rank", "_v"))["_v"].alias("_lo"), F.max(F.struct("_rank", "_v"))["_v"].alias("_hi"), F.min("_rank").alias("_first")
     )
+    joined = ends.alias("e").join(sizes.alias("n"), _same(keys, "e", "n")).select("e.*", "n._n")
+    between = lambda p: F.col("_lo") + (F.col("_hi") - F.col("_lo")) * (position(p) - F.col("_first"))
+    result = joined.groupBy(*keys).agg(*[
+        F.max(F.when(F.col("_name") == name, between(p))).alias(name) for name, p in probabilities.items()
+    ])
     return result.drop("_all") if keys == ["_all"] else result
 
 
@@ -147,10 +148,12 @@ def running_totals(
 
 
 def positions(
-    df: DataFrame, keys: Sequence[str], order: Sequence[Column], name: str = "position"
+    df: DataFrame, keys: Sequence[str], order: Sequence[Column], name: str = "position", part: bool = False
 ) -> DataFrame:
     """1-based position of each row within its key, by ``order`` (which must break all ties).
 
+    With ``part`` the column ``_part`` tells the range a row lies in; ranges follow the order within a key.
+
     The rows are range-partitioned by key and order, so a large key spans many partitions, and
     written once; a row's position is its rank in its partition plus the sizes of the ranges before.
     """
@@ -166,10 +169,26 @@ def positions(
     ranked = ranged.withColumn("_rank", F.row_number().over(within))
     joined = ranked.alias("d").join(sizes.alias("s"), _same([*keys, "_part"], "d", "s"))
     return joined.select(
-        *[F.col(f"d.{c}") for c in df.columns], (F.col("_rank") + F.col("_ahead")).alias(name)
+        *[F.col(f"d.{c}") for c in df.columns], (F.col("_rank") + F.col("_ahead")).alias(name), *([F.col("d._part")] if part else [])
     )
 
 
+def running_max(placed: DataFrame, keys: Sequence[str], value: str, order: str = "position") -> DataFrame:
+    """Adds ``<value>_max``: the largest ``value`` of the key's rows up to this one.
+
+    ``placed`` comes from ``positions`` with its ranges: each range is gone through on its own, and the largest values
+    of the ranges before, one row each, are carried over.
+    """
+    keys = list(keys)
+    largest = placed.groupBy(*keys, "_part").agg(F.max(value).alias("_largest"))
+    ahead = Window.partitionBy(*keys).orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
+    carried = largest.withColumn("_carried", F.max("_largest").over(ahead)).drop("_largest")
+    within = Window.partitionBy(*keys, "_part").orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    own = placed.withColumn("_own", F.max(value).over(within))
+    joined = own.alias("d").join(carried.alias("s"), _same([*keys, "_part"], "d", "s")).select("d.*", "_carried")
+    return joined.withColumn(f"{value}_max", F.greatest("_own", "_carried")).drop("_own", "_carried")
+
+
 #: Hash buckets a group is split into when it is ranked in hash order.
 HASH_BUCKETS = 4096
 

@@ -472,14 +472,52 @@ def compare_configurations(t: Tables) -> DataFrame:
     return table.select("comparison", "both", "only_first", "only_second", F.round("p_value", 9).alias("p_value"), F.round("p_holm", 9).alias("p_holm"), "verdict")
 
 
-@query("delta_bootstrap")
+def _sql_draws(name: str, cells: str, identity: list[str]) -> str:
+    """The common tables that end in ``name``: the cells once per draw, with how often their rows are drawn (w)."""
+    key = " || ':' || ".join(["'0'", "d", *[f"coalesce(CAST({c} AS VARCHAR), '')" for c in identity]])
+    return f"""{name}_e AS (SELECT DISTINCT n::BIGINT AS n, greatest(0, floor(n - (12 * sqrt(n) + 30)))::BIGINT AS lo, ceil(n + (12 * sqrt(n) + 30))::BIGINT AS hi FROM {cells} WHERE n > 0),
+      {name}_l AS (SELECT n, k, sum(CASE WHEN k = lo THEN 0::DOUBLE ELSE ln(n) - ln(k) END) OVER (PARTITION BY n ORDER BY k) AS l FROM (SELECT n, lo, unnest(range(lo, hi + 1)) AS k FROM {name}_e)),
+      {name}_p AS (SELECT n, k, exp(l - max(l) OVER (PARTITION BY n)) AS p FROM {name}_l),
+      {name}_t AS (SELECT n, min(k) AS lo, list(c ORDER BY k) AS cdf FROM (SELECT n, k, sum(p) OVER (PARTITION BY n ORDER BY k) / sum(p) OVER (PARTITION BY n) AS c FROM {name}_p) GROUP BY n),
+      {name}_u AS (SELECT x.*, d AS draw, CAST('0x' || substr(md5({key}), 1, 12) AS BIGINT) / 281474976710656 AS u FROM {cells} x, range(1, {stats.RESAMPLES + 1}) r(d)),
+      {name} AS (SELECT x.*, CASE WHEN t.n IS NULL THEN 0 ELSE t.lo + len(list_filter(cdf, lambda c: c <= u)) END AS w FROM {name}_u x LEFT JOIN {name}_t t ON t.n = x.n)"""
+
+
+def _sql_interval(draws: str, keys: str, value: str) -> str:
+    at = lambda p: f"CASE WHEN 2 * count({value}) >= {stats.RESAMPLES} THEN round(quantile_disc({value}, {p}), 9) END"
+    return f"SELECT {keys}, {at(0.025)} AS low, {at(0.975)} AS high FROM {draws} GROUP BY {keys}"
+
+
+def _rounded(intervals: DataFrame) -> DataFrame:
+    return intervals.withColumns({c: F.round(c, 9) for c in ("low", "high")})
+
+
+_SQL_SHARE = "sum(w * tp) / nullif(sum(w * tp) + sum(w * fp), 0) AS v"
+
+
+@query(
+    "delta_bootstrap",
+    f"""WITH {_SQL_OUTCOMES}, pc AS (SELECT f, s, count(*) AS n FROM (SELECT max(detected::INT) FILTER (WHERE config = 'B1') AS f, max(detected::INT) FILTER (WHERE config = 'C3') AS s FROM cd GROUP BY app, entry_id)
+          WHERE f IS NOT NULL AND s IS NOT NULL GROUP BY ALL), {_sql_draws('dp', 'pc', ['f', 's'])},
+        r AS (SELECT draw, sum(w * f) / nullif(sum(w), 0) AS r1, sum(w * s) / nullif(sum(w), 0) AS r2 FROM dp GROUP BY draw),
+        ap AS (SELECT CASE config WHEN 'B1' THEN 1 ELSE 2 END AS side, app, round_even(avg(tp), 0) AS tp, round_even(avg(fp), 0) AS fp FROM rn WHERE config IN ('B1', 'C3') GROUP BY config, app),
+        fc AS (SELECT side, 'tp' AS kind, sum(tp)::BIGINT AS n FROM ap GROUP BY side UNION ALL SELECT side, 'fp', sum(fp)::BIGINT FROM ap GROUP BY side), {_sql_draws('df', 'fc', ['side', 'kind'])},
+        pr AS (SELECT draw, sum(w) FILTER (WHERE side = 1 AND kind = 'tp') / nullif(sum(w) FILTER (WHERE side = 1), 0) AS p1, sum(w) FILTER (WHERE side = 2 AND kind = 'tp') / nullif(sum(w) FILTER (WHERE side = 2), 0) AS p2 FROM df GROUP BY draw),
+        b AS (SELECT *, CASE WHEN p1 + r1 = 0 THEN 0 ELSE 2 * p1 * r1 / (p1 + r1) END AS f1, CASE WHEN p2 + r2 = 0 THEN 0 ELSE 2 * p2 * r2 / (p2 + r2) END AS f2 FROM r LEFT JOIN pr USING (draw)),
+        m AS (SELECT 'precision' AS metric, p2 - p1 AS v FROM b UNION ALL SELECT 'recall', r2 - r1 FROM b UNION ALL SELECT 'f1', f2 - f1 FROM b),
+        i AS ({_sql_interval('m', 'metric', 'v')}) SELECT *, low IS NOT NULL AND (low > 0 OR high < 0) AS excludes_zero FROM i""",
+)
 def delta_bootstrap(t: Tables) -> DataFrame:
-    return stats.delta_bootstrap(scoring.canonical_detection(_outcomes(t)), _runs(t), "B1", "C3")
+    return _rounded(stats.delta_bootstrap(scoring.canonical_detection(_outcomes(t)), _runs(t), "B1", "C3"))
 
 
-@query("problem_bootstrap")
+@query(
+    "problem_bootstrap",
+    f"""WITH {_SQL_OUTCOMES}, pc AS (SELECT config, detected::INT AS tp, 1 - detected::INT AS fp, count(*) AS n FROM cd GROUP BY ALL), {_sql_draws('dp', 'pc', ['config', 'tp', 'fp'])},
+        v AS (SELECT config, draw, {_SQL_SHARE} FROM dp GROUP BY ALL) {_sql_interval('v', 'config', 'v')}""",
+)
 def problem_bootstrap(t: Tables) -> DataFrame:
-    return stats.problem_bootstrap(scoring.canonical_detection(_outcomes(t)))
+    return _rounded(stats.problem_bootstrap(scoring.canonical_detection(_outcomes(t))))
 
 
 @query(
@@ -616,10 +654,16 @@ def kappa(t: Tables) -> DataFrame:
     return stats.kappa(rows, "quality", "toxic", ["lang"]).withColumns({c: F.round(c, 9) for c in ("percent_agreement", "kappa")})
 
 
-@query("kappa_ci")
+@query(
+    "kappa_ci",
+    f"""WITH c AS (SELECT lang, quality AS first, toxic AS second, count(*) AS n FROM labels JOIN documents USING (doc_id) GROUP BY ALL), {_sql_draws('d', 'c', ['lang', 'first', 'second'])},
+        o AS (SELECT lang, draw, sum(w) FILTER (WHERE first = second) / nullif(sum(w), 0) AS po, (sum(w) FILTER (WHERE first = 1) * coalesce(sum(w) FILTER (WHERE second = 1), 0)
+          + coalesce(sum(w) FILTER (WHERE first = 0), 0) * sum(w) FILTER (WHERE second = 0)) / nullif(sum(w) * sum(w), 0) AS pe FROM d GROUP BY ALL),
+        v AS (SELECT lang, draw, CASE WHEN pe <> 1 THEN (po - pe) / (1 - pe) END AS v FROM o) {_sql_interval('v', 'lang', 'v')}""",
+)
 def kappa_ci(t: Tables) -> DataFrame:
     rows = t.labels.join(t.documents.select("doc_id", "lang"), "doc_id")
-    return stats.kappa_ci(rows, "quality", "toxic", ["lang"])
+    return _rounded(stats.kappa_ci(rows, "quality", "toxic", ["lang"]))
 
 
 # ---- labelled findings ---------------------------------------------------------------------------------------
@@ -678,9 +722,14 @@ def precision_by_confidence(t: Tables) -> DataFrame:
     return rows.withColumn("precision", F.round("precision", 9))
 
 
-@query("cluster_bootstrap")
+@query(
+    "cluster_bootstrap",
+    f"""WITH {_SQL_SHEET}, pr AS (SELECT rule_id, repo, count(*) FILTER (WHERE label = 'TP') AS tp, count(*) FILTER (WHERE label = 'FP') AS fp FROM ws GROUP BY ALL),
+        c AS (SELECT rule_id, tp, fp, count(*) AS n FROM pr GROUP BY ALL QUALIFY sum(count(*)) OVER (PARTITION BY rule_id) >= 2), {_sql_draws('d', 'c', ['rule_id', 'tp', 'fp'])},
+        v AS (SELECT rule_id, draw, {_SQL_SHARE} FROM d GROUP BY ALL) {_sql_interval('v', 'rule_id', 'v')}""",
+)
 def cluster_bootstrap(t: Tables) -> DataFrame:
-    return stats.cluster_bootstrap(_worksheet(t), ["rule_id"])
+    return _rounded(stats.cluster_bootstrap(_worksheet(t), ["rule_id"]))
 
 
 @query("cause_breakdown", f"WITH {_SQL_SHEET} SELECT rule_id, {', '.join(f'''count(*) FILTER (WHERE fp_cause = '{c}') AS {c}''' for c in _CAUSES)} FROM ws WHERE label = 'FP' GROUP BY rule_id")

@@ -14,10 +14,8 @@ from oracle import check, connect
 from plumbline.plans.catalogue import ORACLES, QUERIES
 
 DIRECTORY = os.environ.get("ORACLE_SF_DIR", "/root/testdata/sf0.001")
-#: Queries whose rows come from sketches or seeded resampling.
-WITHOUT_SQL = {
-    "approx_profile", "delta_bootstrap", "problem_bootstrap", "kappa_ci", "cluster_bootstrap",
-}
+#: Queries whose rows come from sketches.
+WITHOUT_SQL = {"approx_profile"}
 
 
 #: What runs by default.

@@ -4,6 +4,7 @@ import itertools
 import math
 import random
 
+import numpy as np
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -108,14 +109,62 @@ def test_kappa_is_undefined_when_chance_is_total(spark):
     assert got["x"]["kappa"] is None and got["y"]["kappa"] == pytest.approx(0.5)
 
 
+def test_poisson_tables(spark):
+    """The tabled distribution and the place of a uniform number in it."""
+    rows = {r["n"]: r for r in stats.poisson_tables(spark.createDataFrame([(1,), (40,), (100_000,), (0,)], "n long")).collect()}
+    assert set(rows) == {1, 40, 100_000}
+    for n, r in rows.items():
+        want = 0.0
+        for k, c in enumerate(r["cumulative"], r["low"]):
+            want += math.exp(k * math.log(n) - n - math.lgamma(k + 1))
+            assert c == pytest.approx(want, abs=1e-9)
+
+
 def test_bootstrap_is_seeded_and_close_to_the_normal_limit(spark):
     cells = spark.createDataFrame([(1, 0, 600), (0, 1, 400)], "tp int, fp int, n bigint")
-    first, again = (stats.bootstrap_ci(cells, [], stats.precision_of, seed=5).collect()[0] for _ in range(2))
-    assert first == again
+    first, again = (stats.precision_interval(cells, [], seed=5).collect()[0] for _ in range(2))
+    assert first == again and first != stats.precision_interval(cells, [], seed=6).collect()[0]
     half = 1.96 * math.sqrt(0.24 / 1000)
     assert first["low"] == pytest.approx(0.6 - half, abs=0.004) and first["high"] == pytest.approx(0.6 + half, abs=0.004)
     nothing = spark.createDataFrame([(0, 0, 5)], "tp int, fp int, n bigint")
-    assert stats.bootstrap_ci(nothing, [], stats.precision_of).collect()[0]["low"] is None
+    assert stats.precision_interval(nothing, []).collect()[0]["low"] is None
+    drawn = stats.resampled(cells, ["tp", "fp"], 4000).groupBy("tp").agg(F.avg("weight").alias("m"), F.var_samp("weight").alias("v")).collect()
+    for r in drawn:
+        n = 600 if r["tp"] else 400
+        assert r["m"] == pytest.approx(n, rel=0.01) and r["v"] == pytest.approx(n, rel=0.1)
+
+
+def test_holm_of_many_ranges_and_families(spark):
+    rng = random.Random(2)
+    rows = [(f, i, None if i % 17 == 0 else rng.choice([rng.random() ** 6, 0.001])) for f in "ab" for i in range(500)]
+    df = spark.createDataFrame(rows, "f string, i int, p double").repartition(6)
+    got = {(r["f"], r["i"]): r["p_holm"] for r in stats.holm(df, "p", ["f"]).collect()}
+    for f in "ab":
+        mine = sorted((p, i) for g, i, p in rows if g == f and p is not None)
+        largest = 0.0
+        for k, (p, i) in enumerate(mine):
+            largest = max(largest, min(1.0, (len(mine) - k) * p))
+            assert got[f, i] == pytest.approx(largest)
+    assert all(got[f, i] is None for f, i, p in rows if p is None) and len(got) == len(rows)
+
+
+def test_percentiles_are_narrowed_by_counts(spark, monkeypatch):
+    """Skewed, repeated, negative and huge values: whatever the distribution, brackets shrink to the exact rank."""
+    monkeypatch.setattr("plumbline.functions.ranking.BRACKET", 50)
+    monkeypatch.setattr("plumbline.functions.ranking.PARTS", 8)
+    rng = random.Random(8)
+    groups = {
+        "spread": [rng.choice([-1, 1]) * 10 ** rng.uniform(-250, 250) for _ in range(900)], "same": [3.0] * 400,
+        "two": [1.0] * 300 + [2.0] * 301, "plain": [rng.uniform(-5, 5) for _ in range(777)], "few": [4.0, 9.0], "none": [None],
+        "up": [10 ** rng.uniform(0, 200) for _ in range(300)], "down": [-(10 ** rng.uniform(0, 200)) for _ in range(300)],
+    }
+    df = spark.createDataFrame([(k, v) for k, vs in groups.items() for v in vs], "k string, v double").repartition(5)
+    asked = {"a": 0.0, "m": 0.5, "p": 0.95, "z": 1.0}
+    got = {r["k"]: r for r in exact_percentiles(df, ["k"], "v", asked).collect()}
+    assert set(got) == set(groups) - {"none"}
+    for k, r in got.items():
+        for name, p in asked.items():
+            assert r[name] == pytest.approx(float(np.percentile(groups[k], 100 * p)), rel=1e-9)
 
 
 def test_percentiles_of_a_hot_key_are_exact(spark):
