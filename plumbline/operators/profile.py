@@ -21,6 +21,8 @@ from ..sources.tables import BOOKKEEPING_TABLES
 
 #: Columns with more distinct values than this store no categories (a storage limit).
 DEFAULT_MAX_CATEGORIES = 50
+#: Bytes up to which a text is its own key; a longer one is grouped by its digest and shown by its first characters.
+KEY_BYTES, SHOWN = 256, 64
 
 Window = tuple[datetime, datetime]
 
@@ -92,6 +94,15 @@ def _in_windows(df: DataFrame, ts: str, windows: Sequence[Window]) -> DataFrame:
     return bounded.withColumn("window_start", F.explode(window_start_of(moment, windows)))
 
 
+def value_key(df: DataFrame, name: str) -> Column:
+    """A column's value as text to count by: long texts, arrays and structs as their beginning and a 128-bit digest."""
+    text = F.col(name).cast("string")
+    if isinstance(df.schema[name].dataType, (T.NumericType, T.BooleanType, T.DateType, T.TimestampType, T.TimestampNTZType)):
+        return text
+    short = F.concat(F.substring(text, 1, SHOWN), F.lit(" … "), F.md5(text.cast("binary")))
+    return F.when(F.octet_length(text) <= KEY_BYTES, text).otherwise(short)
+
+
 def value_histogram(
     df: DataFrame,
     table: str,
@@ -101,8 +112,8 @@ def value_histogram(
 ) -> DataFrame:
     """(table, column, data_type, window_start, value, n): one scan, one shuffle.
 
-    Values are compared as text, so every type is handled alike. A row with n = 0 stands for each
-    (column, window), so that windows without rows are still reported.
+    Values are compared as text, so every type is handled alike; whole documents are not shuffled, but their digests. A
+    row with n = 0 stands for each (column, window), so that windows without rows are still reported.
     """
     spark = df.sparkSession
     names = list(columns) if columns is not None else df.columns
@@ -113,7 +124,7 @@ def value_histogram(
     else:
         tagged = _in_windows(df, ts, windows)
         starts = [w[0] for w in windows]
-    text = [F.col(c).cast("string").alias(f"v_{i}") for i, c in enumerate(names)]
+    text = [value_key(df, c).alias(f"v_{i}") for i, c in enumerate(names)]
     long = tagged.select("window_start", *text).unpivot(
         ["window_start"], [f"v_{i}" for i in range(len(names))], "_c", "value"
     )

@@ -15,7 +15,7 @@ from ..functions.exprs import clock, pick
 from ..operators import anomaly, contract, integrity, profile, sampling
 from ..session import fresh_path
 from ..sources import profile_store
-from ..sources.tables import Tables, expected_type, narrowed, spark_type
+from ..sources.tables import Tables, expected_type, narrowed, read_contract, spark_type
 from .registry import query
 
 #: The driver's tables and their columns.
@@ -110,6 +110,21 @@ def profile_windowed(t: Tables) -> DataFrame:
     return profile.column_profile(histogram).drop("data_type")
 
 
+@query(
+    "profile_skips",
+    f"""SELECT 'orders' AS "table", ws AS window_start, count(o_orderkey) AS row_count, 'o_orderdate' AS time_column, CAST(NULL AS VARCHAR) AS reason FROM {_SQL_MONTHS} w
+        LEFT JOIN orders ON o_orderdate >= ws AND o_orderdate < we GROUP BY ws
+        UNION ALL SELECT 'lineitem', ws, count(l_orderkey), 'l_shipdate', NULL FROM {_SQL_MONTHS} w LEFT JOIN lineitem ON l_shipdate >= ws AND l_shipdate < we GROUP BY ws
+        UNION ALL SELECT 'customer', NULL, NULL, NULL, 'no creation-time column to window on'""",
+)
+def profile_skips(t: Tables) -> DataFrame:
+    """Windows on the column found, on the one named, and a table skipped for having none."""
+    tables = {"orders": t.orders, "lineitem": t.lineitem, "customer": t.customer}
+    found = profile.profile(tables, _periods(t), time_columns={"lineitem": "l_shipdate"})
+    counts = found["tables"].select("table", "window_start", "row_count", "time_column")
+    return counts.unionByName(found["skipped"], allowMissingColumns=True)
+
+
 @query(
     "make_windows",
     f"""SELECT ws AS window_start, we AS window_end, count(o_orderkey) AS orders FROM {_SQL_MONTHS} w
@@ -323,6 +338,19 @@ def integrity_sweep(t: Tables) -> DataFrame:
     return _checks(t)[0].select("model", "relation", "table", "checked_rows", "orphan_rows", "orphan_rate", "line")
 
 
+@query(
+    "integrity_report",
+    _sql_sweep("SELECT model || '.' || relation AS relation, checked_rows, orphan_rows, CAST(NULL AS VARCHAR) AS reason")
+    + """ UNION ALL SELECT 'Order.coupon', NULL, NULL, 'table or columns missing from the database'
+          UNION ALL SELECT 'Ghost.team', NULL, NULL, 'referenced model Team is not declared'""",
+)
+def integrity_report(t: Tables) -> DataFrame:
+    """Every relation of the sweep: what was counted, or why it could not be."""
+    checks, skipped = _checks(t)
+    counted = checks.select(F.concat_ws(".", "model", "relation").alias("relation"), "checked_rows", "orphan_rows")
+    return counted.unionByName(skipped, allowMissingColumns=True)
+
+
 @query(
     "integrity_findings",
     _sql_sweep(
@@ -342,6 +370,66 @@ def integrity_findings(t: Tables) -> DataFrame:
 # same rows with some removed or changed by hash.
 
 
+def _written_contract(t: Tables) -> dict[str, DataFrame]:
+    """A model per customer, written as JSON lines and read back; every seventh is a view, every third is renamed."""
+    key = F.col("c_custkey")
+    none = lambda kind: F.lit(None).cast(kind)
+    field = lambda name, db, kind, type, optional, native, args, line: F.struct(
+        F.lit(name).alias("name"), db.cast("string").alias("dbName"), F.lit(kind).alias("kind"), F.lit(type).alias("type"),
+        F.lit(optional).cast("boolean").alias("optional"), F.lit(False).alias("list"), F.lit(native).cast("string").alias("nativeType"),
+        args.cast("array<int>").alias("nativeArgs"), line.cast("int").alias("line"),
+    )
+    models = t.customer.select(
+        F.concat(F.lit("M"), key).alias("name"), F.when(key % 3 == 0, F.concat(F.lit("t_"), key)).alias("dbName"),
+        F.when(key % 7 == 0, "view").otherwise("model").alias("blockType"), (key * 10).cast("int").alias("line"),
+        F.array(
+            field("id", none("string"), "scalar", "Int", None, None, none("array<int>"), key * 10 + 1),
+            field("fullName", F.lit("full_name"), "scalar", "String", True, "VarChar", F.array(F.col("c_nationkey") + 1), key * 10 + 2),
+            field("parent", none("string"), "object", "Parent", None, None, none("array<int>"), key * 10 + 3),
+        ).alias("fields"),
+        F.array(F.struct(
+            F.lit("parent").alias("field"), none("string").alias("name"), F.lit("self").alias("foreignKeyOn"), F.concat(F.lit("M"), key - 1).alias("referencedModel"),
+            F.array(F.lit("id")).alias("fields"), F.array(F.lit("fullName")).alias("references"), (key * 10 + 3).cast("int").alias("line"),
+        )).alias("relations"),
+        F.array(F.struct(
+            F.lit("unique").alias("kind"), F.array(F.lit("fullName"), F.lit("id")).alias("columns"), none("string").alias("name"), (key * 10 + 4).cast("int").alias("line"),
+        )).alias("keys"),
+    )
+    path = fresh_path(t.spark, "contract")
+    models.write.json(path)
+    return read_contract(t.spark, path)
+
+
+_SQL_MODELS = "(SELECT c_custkey AS k, c_nationkey AS n, CASE WHEN c_custkey % 3 = 0 THEN 't_' ELSE 'M' END || c_custkey AS tab FROM customer WHERE c_custkey % 7 <> 0)"
+
+
+@query(
+    "contract_columns",
+    f"""SELECT tab AS "table", 'id' AS "column", 'integer' AS expected_type, false AS expected_nullable, k * 10 + 1 AS line FROM {_SQL_MODELS}
+        UNION ALL SELECT tab, 'full_name', 'character varying(' || (n + 1) || ')', true, k * 10 + 2 FROM {_SQL_MODELS}
+        UNION ALL SELECT tab, 'parent', NULL, false, k * 10 + 3 FROM {_SQL_MODELS}""",
+)
+def contract_columns(t: Tables) -> DataFrame:
+    """Columns of a contract read from files, under their database names, with the types they should have."""
+    columns = expected_type(_written_contract(t)["columns"])
+    return columns.select("table", "column", "expected_type", "expected_nullable", "line")
+
+
+@query(
+    "contract_relations",
+    f"""SELECT tab AS "table", 'id' AS columns, CASE WHEN c_custkey IS NOT NULL THEN CASE WHEN (k - 1) % 3 = 0 THEN 't_' ELSE 'M' END || (k - 1) END AS referenced_table,
+          CASE WHEN c_custkey IS NOT NULL THEN 'full_name' ELSE 'fullName' END AS referenced_columns, 'full_name,id' AS unique_key FROM {_SQL_MODELS} LEFT JOIN customer ON c_custkey = k - 1""",
+)
+def contract_relations(t: Tables) -> DataFrame:
+    """Relations and keys of that contract; a parent that is not declared has no table and keeps its field names."""
+    contract_ = _written_contract(t)
+    keys = contract_["keys"].select("table", F.array_join("columns", ",").alias("unique_key"))
+    named = contract_["relations"].select(
+        "table", F.array_join("columns", ",").alias("columns"), "referenced_table", F.array_join("referenced_columns", ",").alias("referenced_columns")
+    )
+    return named.join(keys, "table")
+
+
 def _catalog(t: Tables) -> DataFrame:
     base = t.part.select(
         F.col("p_brand").alias("table"), F.concat(F.lit("c"), "p_partkey").alias("column"),

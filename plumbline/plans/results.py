@@ -725,7 +725,7 @@ def precision_by_confidence(t: Tables) -> DataFrame:
 @query(
     "cluster_bootstrap",
     f"""WITH {_SQL_SHEET}, pr AS (SELECT rule_id, repo, count(*) FILTER (WHERE label = 'TP') AS tp, count(*) FILTER (WHERE label = 'FP') AS fp FROM ws GROUP BY ALL),
-        c AS (SELECT rule_id, tp, fp, count(*) AS n FROM pr GROUP BY ALL QUALIFY sum(count(*)) OVER (PARTITION BY rule_id) >= 2), {_sql_draws('d', 'c', ['rule_id', 'tp', 'fp'])},
+        c AS (SELECT rule_id, tp, fp, count(*) AS n FROM pr WHERE rule_id IN (SELECT rule_id FROM pr GROUP BY rule_id HAVING count(*) >= 2) GROUP BY rule_id, tp, fp), {_sql_draws('d', 'c', ['rule_id', 'tp', 'fp'])},
         v AS (SELECT rule_id, draw, {_SQL_SHARE} FROM d GROUP BY ALL) {_sql_interval('v', 'rule_id', 'v')}""",
 )
 def cluster_bootstrap(t: Tables) -> DataFrame:

@@ -136,6 +136,19 @@ def latest_by_key(t: Tables) -> DataFrame:
     return latest.select("user_id", "event_type", "ts", "value")
 
 
+@query(
+    "versioned_hits",
+    """WITH l AS (SELECT user_id, event_type, arg_max(event_id % 3, (ts, event_id)) AS version, arg_max(value, (ts, event_id)) AS value FROM events GROUP BY ALL),
+         w AS (SELECT DISTINCT user_id, event_type, (user_id + 1) % 3 AS version FROM events)
+       SELECT l.* FROM l JOIN w USING (user_id, event_type, version)""",
+)
+def versioned_hits(t: Tables) -> DataFrame:
+    """Stored rows asked for in one version each: a row written by another version is no hit."""
+    stored = ev.latest_by_key(t.events.withColumn("version", F.col("event_id") % 3), ["user_id", "event_type"], ["ts", "event_id"])
+    wanted = t.events.select("user_id", "event_type", ((F.col("user_id") + 1) % 3).alias("version"))
+    return ev.versioned_hits(stored, wanted, ["user_id", "event_type"]).select("user_id", "event_type", "version", "value")
+
+
 @query(
     "operations_nested",
     f"""WITH {_SQL_STATEMENTS}, page AS (SELECT * FROM ops WHERE route = '/r/3' ORDER BY started_at DESC, operation_id LIMIT 100)
@@ -502,6 +515,37 @@ def csv_lines(t: Tables) -> DataFrame:
     return files.csv_lines(t.events, ["event_id", "props", "event_type"])
 
 
+@query(
+    "csv_file",
+    """SELECT 'event_id,props,event_type' AS value, 1 AS lines UNION ALL SELECT event_id || ',"' || replace(props, '"', '""') || '",' || event_type, 1 FROM events""",
+)
+def csv_file(t: Tables) -> DataFrame:
+    """A CSV export: each file begins with the column names, and only fields that need quotes have them."""
+    path = fresh_path(t.spark, "export")
+    files.write_csv(t.events.select("event_id", "props", "event_type").coalesce(1), path, quote_all=False)
+    return t.spark.read.text(path).groupBy("value").agg(F.count(F.lit(1)).cast("int").alias("lines"))
+
+
+@query(
+    "sql_files",
+    """SELECT CAST(o_orderkey % 20 AS INTEGER) AS part, count(*) AS statements, count(*) FILTER (WHERE o_orderkey % 3 = 0) AS changes FROM orders GROUP BY 1""",
+)
+def sql_files(t: Tables) -> DataFrame:
+    """Statements of the SQL files below a folder, without those of skipped folders."""
+    path = fresh_path(t.spark, "corpus")
+    key = F.col("o_orderkey")
+    text = F.when(key % 3 == 0, F.format_string("UPDATE orders SET o_clerk = 'a;b' WHERE o_orderkey = %d;", key)).otherwise(
+        F.format_string("SELECT * FROM orders -- all;\nWHERE o_orderkey = %d;", key)
+    )
+    lines = t.orders.select((key % 20).cast("int").alias("part"), text.alias("value"))
+    for folder in ("app", "node_modules"):
+        lines.write.partitionBy("part").text(f"{path}/{folder}")
+    found = files.split_statements(files.sql_files(t.spark, path, "*.txt"))
+    return found.groupBy(F.regexp_extract("path", "part=([0-9]+)", 1).cast("int").alias("part")).agg(
+        F.count(F.lit(1)).alias("statements"), F.count_if(F.col("sql").startswith("UPDATE")).alias("changes")
+    )
+
+
 @query(
     "findings_json",
     _SQL_N1 + " SELECT count(*) AS findings, count(DISTINCT route || fp) AS fingerprints, 0 AS rejected, 0 AS changed FROM n1",
@@ -546,6 +590,23 @@ def latency_stats(t: Tables) -> DataFrame:
     return stats.withColumns({c: F.round(c, 6) for c in ("mean_ms", "median_ms", "p95_ms")})
 
 
+@query(
+    "latency_of_runs",
+    """WITH r AS (SELECT CASE WHEN epoch(date_trunc('day', ts)) // 86400 % 2 = 0 THEN 'on' ELSE 'off' END AS state, value AS ms FROM events
+         WHERE event_type <> 'error' AND date_trunc('day', ts) > (SELECT date_trunc('day', min(ts)) FROM events))
+       SELECT state, count(*) AS n, round(avg(ms), 6) AS mean_ms, round(quantile_cont(ms, 0.5), 6) AS median_ms, round(quantile_cont(ms, 0.95), 6) AS p95_ms FROM r GROUP BY state""",
+)
+def latency_of_runs(t: Tables) -> DataFrame:
+    """Requests joined with their runs, one a day: warm-up and condition are the run's."""
+    day = F.unix_date(F.to_date("ts"))
+    requests = t.events.select(day.alias("run_id"), F.when(F.col("event_type") == "error", 500).otherwise(200).alias("status"), F.col("value").alias("latency_ms"))
+    days = requests.select("run_id").distinct()
+    runs = days.select("run_id", (F.col("run_id") == days.agg(F.min("run_id")).scalar()).alias("warmup"), (F.col("run_id") % 2 == 0).alias("collector_enabled"))
+    rows = loadruns.measured(requests, runs).withColumn("state", F.when(F.col("collector_enabled"), "on").otherwise("off"))
+    stats = loadruns.latency_stats(rows, ["state"])
+    return stats.withColumns({c: F.round(c, 6) for c in ("mean_ms", "median_ms", "p95_ms")})
+
+
 @query(
     "load_overhead",
     f"""WITH {_SQL_REQUESTS}, s AS (SELECT quantile_cont(ms, 0.5) FILTER (WHERE state = 'on') AS a, quantile_cont(ms, 0.5) FILTER (WHERE state = 'off') AS b,

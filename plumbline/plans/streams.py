@@ -136,11 +136,11 @@ def stream_rates(t: Tables) -> DataFrame:
 
 @query("stream_upsert", "SELECT user_id, event_type, arg_max(value, (ts, event_id)) AS value FROM events GROUP BY ALL")
 def stream_upsert(t: Tables) -> DataFrame:
-    """The last value per key over several micro-batches."""
+    """The last value per key over several micro-batches, compacted after every second."""
     stream = jobs.stream_table(t.spark, _files(t.events.drop("props"), "events", "ts"), files_per_trigger=1)
     path = fresh_path(t.spark, "latest")
     keys, order = ["user_id", "event_type"], ["ts", "event_id"]
-    jobs.run_batches(stream, jobs.upsert_batch(path, keys, order), "upsert")
+    jobs.run_batches(stream, jobs.upsert_batch(path, keys, order, compact_every=2), "upsert")
     return jobs.latest(t.spark, path, keys, order).select(*keys, "value")
 
 

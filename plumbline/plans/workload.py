@@ -292,6 +292,37 @@ def q16(t: Tables) -> DataFrame:
     )
 
 
+@query(
+    "q16_segments_of_nations",
+    """SELECT n_name AS name, count(*) AS customers, round(avg(c_acctbal), 4) AS avg_balance, count(DISTINCT c_mktsegment) AS segments
+       FROM customer JOIN nation ON n_nationkey = c_nationkey GROUP BY n_name""",
+)
+def q16_named(t: Tables) -> DataFrame:
+    """Statistics per key, joined to the names after grouping."""
+    grouped = t.customer.groupBy("c_nationkey").agg(
+        F.count(F.lit(1)).alias("customers"), F.round(F.avg("c_acctbal"), 4).alias("avg_balance"), F.countDistinct("c_mktsegment").alias("segments")
+    )
+    names = t.nation.select(F.col("n_nationkey").alias("c_nationkey"), F.col("n_name").alias("name"))
+    return grouped.join(names, "c_nationkey").drop("c_nationkey")
+
+
+@query(
+    "q03_clamped_pages",
+    """SELECT 'large' AS asked, o_orderkey FROM (SELECT o_orderkey FROM orders ORDER BY o_orderkey LIMIT 100)
+       UNION ALL SELECT 'none', o_orderkey FROM (SELECT o_orderkey FROM orders ORDER BY o_orderkey LIMIT 1)
+       UNION ALL SELECT 'default', o_orderkey FROM (SELECT o_orderkey FROM orders ORDER BY o_orderkey LIMIT 20 OFFSET 20)""",
+)
+def q03_clamped(t: Tables) -> DataFrame:
+    """Pages of a size asked for: too large, below one, and not given."""
+    ordered = t.orders.select("o_orderkey").orderBy("o_orderkey")
+    page = lambda asked, size, offset: ordered.offset(offset).limit(size).select(F.lit(asked).alias("asked"), "o_orderkey")
+    return (
+        page("large", page_size(1000), page_offset(0, page_size(1000)))
+        .unionByName(page("none", page_size(-3), page_offset(-1, page_size(-3))))
+        .unionByName(page("default", page_size(), page_offset(2)))
+    )
+
+
 @query(
     "q17_sales_by_status",
     """SELECT o_orderstatus, count(*) AS orders, round(sum(o_totalprice), 2) AS revenue FROM orders

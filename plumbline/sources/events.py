@@ -105,6 +105,11 @@ def latest_by_key(df: DataFrame, keys: Sequence[str], order: Sequence[str]) -> D
     return _pick(df, keys, F.max_by, order)
 
 
+def versioned_hits(stored: DataFrame, wanted: DataFrame, keys: Sequence[str], version: str = "version") -> DataFrame:
+    """The stored rows that answer a request: the same key in the same version; an older version is no hit."""
+    return stored.join(wanted.select(*keys, version).distinct(), [*keys, version], "left_semi")
+
+
 def _pick(df: DataFrame, keys: Sequence[str], choose, order: Sequence[str]) -> DataFrame:
     rest = [c for c in df.columns if c not in keys]
     chosen = df.groupBy(*keys).agg(choose(F.struct(*rest), F.struct(*order)).alias("_row"))

@@ -104,9 +104,9 @@ def csv_lines(df: DataFrame, columns: Sequence[str]) -> DataFrame:
     return df.select(F.concat_ws(",", *[csv_field(c) for c in columns]).alias("value"))
 
 
-def write_csv(df: DataFrame, path: str, null: str = "") -> None:
-    """CSV files with a header; quotes are doubled and NULL is written as ``null``."""
-    df.write.csv(path, header=True, quote='"', escape='"', emptyValue="", nullValue=null, quoteAll=True)
+def write_csv(df: DataFrame, path: str, null: str = "", quote_all: bool = True) -> None:
+    """CSV files with a header; quotes are doubled and NULL is written as ``null``. Without ``quote_all`` only fields that need it are quoted."""
+    df.write.csv(path, header=True, quote='"', escape='"', emptyValue="", nullValue=null, quoteAll=quote_all)
 
 
 def read_worksheet(spark: SparkSession, path: str, null: str | None = None) -> DataFrame:

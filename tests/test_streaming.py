@@ -65,3 +65,19 @@ def test_windows_with_late_rows(spark, tmp_path):
     assert plain(whole) == plain(want)
     again, none = jobs.with_late_rows(kept, want, "t", columns, "ts", "1 day", FIRST + timedelta(days=5))
     assert none.count() == 0 and plain(again) == plain(want)
+
+
+def test_compacted_log(spark, tmp_path):
+    """Generations change nothing that is read, also when batches and generations are written again."""
+    path, plain = str(tmp_path / "log"), str(tmp_path / "plain")
+    batches = [[(k, t, t * 10 + k) for k in range(3 + t)] for t in range(5)]
+    schema = "k int, t int, v int"
+    write, simple = jobs.upsert_batch(path, ["k"], ["t"], compact_every=2), jobs.upsert_batch(plain, ["k"], ["t"])
+    for epoch, rows in enumerate(batches):
+        write(spark.createDataFrame(rows, schema), epoch)
+        simple(spark.createDataFrame(rows, schema), epoch)
+    for epoch in (3, 4):
+        write(spark.createDataFrame(batches[epoch], schema), epoch)
+    got, want = ({tuple(r) for r in jobs.latest(spark, p, ["k"], ["t"]).collect()} for p in (path, plain))
+    assert got == want == {(k, 4, 40 + k) for k in range(7)}
+    assert {r[0] for r in spark.read.parquet(f"{path}-generations").select("generation").distinct().collect()} == {1, 3}
