@@ -27,15 +27,20 @@ def giving_back(work: Callable[[Iterator], Iterator]) -> Callable[[Iterator], It
         try:
             yield from work(batches)
         finally:
-            gc.collect()
-            pa.default_memory_pool().release_unused()
-            trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of the GNU library only
-            if trim is not None:
-                trim(0)
+            give_back()
 
     return run
 
 
+def give_back() -> None:
+    """Returns free memory of this process to the system."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # of the GNU library only
+    if trim is not None:
+        trim(0)
+
+
 def mix(x: np.ndarray) -> np.ndarray:
     """A bijective scramble of 64-bit numbers."""
     x = x ^ (x >> np.uint64(30))

@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from ..session import cut
 from .arrays import Codes, giving_back, strings, text_chunks
-from .frames import fold_of, id_and_text
+from .frames import fold_of, id_and_text, release
 
 BINS = 4096
 CENTROIDS = 4
@@ -197,6 +197,8 @@ def fit(labelled: DataFrame, max_sample: int = MAX_SAMPLE) -> Model | None:
     model.centroids = np.concatenate(groups).astype(np.float32)
     model.solid = np.concatenate([_solid(vectors[names == name], g) for name, g in zip(model.languages, groups)])
     model.floors = _floors(picked.where("left_out"), model)
+    del x, vectors, groups
+    release(labelled.sparkSession)
     return model
 
 

@@ -28,7 +28,7 @@ from pyspark.sql import functions as F
 
 from ..session import cut
 from .arrays import CHUNK, Spans, byte_rows, fold, giving_back, row_chunks, word_spans
-from .frames import components, id_and_text, only
+from .frames import components, id_and_text, only, release
 
 #: Bands times rows hashes make a signature. A pair at similarity 0.8 shares no band with probability 5e-5.
 BANDS, ROWS = 25, 5
@@ -376,6 +376,7 @@ def near_duplicates(docs: DataFrame, words: int = 5, threshold: float = 0.8, mis
         links = links.unionByName(found)
         if not found.isEmpty():
             labels = components(links)
+        release(spark)
         if exhaust:
             break
         tested = tested.unionByName(pairs)

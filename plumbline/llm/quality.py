@@ -27,7 +27,7 @@ from pyspark.sql import functions as F
 
 from ..session import cut
 from .arrays import Codes, Spans, fold, giving_back, strings, text_chunks, word_spans
-from .frames import fold_of, hash_sample, id_and_text
+from .frames import fold_of, hash_sample, id_and_text, release
 
 PASSAGE_WORDS = 64
 MAX_SAMPLE = 4000
@@ -219,7 +219,10 @@ def fit(docs: DataFrame, labels: DataFrame, folds: int = 4, held_out: int = 2, m
     # The sample holds the classes evenly as far as there are rows; weights bring back their shares among all labels.
     prior, share = float(seen.agg(F.avg("quality")).first()[0]), y.mean()
     importance = np.where(y == 1, prior / max(share, 1e-9), (1 - prior) / max(1 - share, 1e-9))
-    return train(np.concatenate(parts).astype(np.float64), np.concatenate([[0], np.cumsum([len(p) for p in parts])]), y, importance)
+    model = train(np.concatenate(parts).astype(np.float64), np.concatenate([[0], np.cumsum([len(p) for p in parts])]), y, importance)
+    del table, parts
+    release(docs.sparkSession)
+    return model
 
 
 def scorer(model: Model):
