@@ -37,8 +37,6 @@ SCHEMA = {
         "conversations": "conv_id turn role text",
     }.items()
 }
-LAST_DAY = datetime(2024, 1, 30)
-DAYS = profile.consecutive_windows(datetime(2024, 1, 31), 30, 1)
 PERIOD = 90
 
 
@@ -603,19 +601,28 @@ def expected_types(t: Tables) -> DataFrame:
 
 # ---- corruption ------------------------------------------------------------------------------------
 
-_RECENT = "ts >= TIMESTAMP '2024-01-30'"
+_RECENT = "ts >= (SELECT date_trunc('day', max(ts)) FROM events)"
 _SQL_CORRUPT = f"""(WITH r AS (SELECT event_id, (row_number() OVER (ORDER BY ts, event_id) - 1) // 3 AS g FROM events WHERE {_RECENT}),
     h AS (SELECT g, min(event_id) AS head FROM r GROUP BY g), m AS (SELECT event_id, head FROM r JOIN h USING (g) WHERE {sql_pick('head', ':retry')} < 230)
     SELECT e.event_id, ts, CASE WHEN {_RECENT} AND {sql_pick('e.event_id', ':user')} < 166 THEN NULL ELSE user_id END AS user_id,
       CASE WHEN {_RECENT} AND {sql_pick('e.event_id', ':type')} < 180 THEN 'error' ELSE event_type END AS event_type,
-      CASE WHEN head IS NULL THEN value ELSE CAST(head AS DOUBLE) END AS value FROM events e LEFT JOIN m ON m.event_id = e.event_id)"""
+      CASE WHEN head IS NULL THEN value ELSE CAST(head AS DOUBLE) END AS value, props FROM events e LEFT JOIN m ON m.event_id = e.event_id)"""
 
 
-def corrupted_events(t: Tables) -> DataFrame:
+def event_days(t: Tables) -> list[profile.Window]:
+    """One window for each day from the first event's to the last one's."""
+    day = lambda c: F.date_trunc("day", c).cast("timestamp_ntz")
+    oldest, newest = t.events.agg(day(F.min("ts")), day(F.max("ts"))).first()
+    if oldest is None:
+        return profile.consecutive_windows(datetime(2000, 1, 1), 1, 1)
+    end = newest + timedelta(days=1)
+    return profile.consecutive_windows(end, (end - oldest).days, 1)
+
+
+def corrupted_events(t: Tables, days: list[profile.Window] | None = None) -> DataFrame:
     """Events whose last day lost user ids, repeats values and drifted towards one type."""
-    recent = F.col("ts") >= clock(LAST_DAY)
-    df = t.events.select("event_id", "ts", "user_id", "event_type", "value")
-    df = sampling.corrupt(df, "user_id", "event_id", ":user", 166, F.lit(None), recent)
+    recent = F.col("ts") >= clock((days or event_days(t))[-1][0])
+    df = sampling.corrupt(t.events, "user_id", "event_id", ":user", 166, F.lit(None), recent)
     df = sampling.corrupt(df, "event_type", "event_id", ":type", 180, F.lit("error"), recent)
     return sampling.corrupt_groups(df, "value", "event_id", ["ts", "event_id"], ":retry", 230, recent)
 
@@ -627,7 +634,7 @@ def corrupt_events(t: Tables) -> DataFrame:
 
 # ---- anomalies -------------------------------------------------------------------------------------
 
-_WATCHED = ["user_id", "event_type", "value"]
+_WATCHED = SCHEMA["events"]
 
 
 def _days(df: DataFrame, windows) -> tuple[DataFrame, DataFrame]:
@@ -636,7 +643,8 @@ def _days(df: DataFrame, windows) -> tuple[DataFrame, DataFrame]:
 
 def _pair(t: Tables) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
     """Columns and categories of the clean history and of the corrupted last day."""
-    return (*_days(t.events, DAYS), *_days(corrupted_events(t), DAYS[-1:]))
+    days = event_days(t)
+    return (*_days(t.events, days), *_days(corrupted_events(t, days), days[-1:]))
 
 
 def _sql_profiles(source: str, name: str) -> str:
@@ -644,10 +652,12 @@ def _sql_profiles(source: str, name: str) -> str:
         f"SELECT date_trunc('day', ts)::TIMESTAMP AS ws, '{c}' AS col, CAST({c} AS VARCHAR) AS v FROM {source}" for c in _WATCHED
     )
     return f"""{name}_h AS (SELECT ws, col, v, count(*) AS n FROM ({long}) GROUP BY ALL),
-      {name}_p AS (SELECT ws, col, sum(n) AS r, coalesce(sum(n) FILTER (WHERE v IS NOT NULL), 0) AS nn, count(v) AS d FROM {name}_h GROUP BY ALL),
+      {name}_w AS (SELECT unnest(generate_series(min(ws), max(ws), INTERVAL 1 DAY)) AS ws FROM {name}_h),
+      {name}_p AS (SELECT w.ws, k.col, coalesce(sum(n), 0) AS r, coalesce(sum(n) FILTER (WHERE v IS NOT NULL), 0) AS nn, count(v) AS d
+                   FROM {name}_w w CROSS JOIN (SELECT DISTINCT col FROM {name}_h) k LEFT JOIN {name}_h h ON h.ws = w.ws AND h.col = k.col GROUP BY ALL),
       {name}_c AS (SELECT h.ws, h.col, h.v, h.n / p.nn AS s FROM {name}_h h JOIN {name}_p p USING (ws, col)
                    WHERE h.v IS NOT NULL AND p.d <= 50 AND p.d < p.nn),
-      {name}_r AS (SELECT ws, col, (r - nn) / r AS null_rate, (nn - d) / nullif(nn, 0) AS duplicate_rate FROM {name}_p)"""
+      {name}_r AS (SELECT ws, col, (r - nn) / nullif(r, 0) AS null_rate, (nn - d) / nullif(nn, 0) AS duplicate_rate FROM {name}_p)"""
 
 
 #: Detector verdicts in SQL over obs(key columns, o) and hist(key columns, ws, x).
@@ -790,7 +800,7 @@ def flagged_columns(t: Tables) -> DataFrame:
     f"""WITH {_sql_profiles('events', 'b')}, {_SQL_LOO} SELECT col AS "column", ws AS window_start, round(x, 9) AS distance FROM loo""",
 )
 def leave_one_out(t: Tables) -> DataFrame:
-    distances = anomaly.leave_one_out(_days(t.events, DAYS)[1])
+    distances = anomaly.leave_one_out(_days(t.events, event_days(t))[1])
     return distances.select("column", "window_start", F.round("distance", 9).alias("distance"))
 
 
@@ -821,10 +831,10 @@ def sql_backtest(source: str) -> str:
       hs AS (SELECT col, i, ws, round(sum(abs(s - (t - s) / (m - 1))) / 2, 12) AS x FROM pre GROUP BY ALL),
       os AS (SELECT q.col, q.i, round(sum(abs(d.s - q.q)) / 2, 12) AS o FROM (SELECT col, i, v, any_value(t) / any_value(m) AS q FROM pre GROUP BY ALL) q
         JOIN dense d ON d.col = q.col AND d.i = q.i AND d.v = q.v GROUP BY ALL),
-      obs AS (SELECT col, i, 'null_rate' AS metric, null_rate AS o FROM ix WHERE i >= 5
+      obs AS (SELECT col, i, 'null_rate' AS metric, null_rate AS o FROM ix WHERE i >= 5 AND null_rate IS NOT NULL
         UNION ALL SELECT col, i, 'duplicate_rate', duplicate_rate FROM ix WHERE i >= 5 AND duplicate_rate IS NOT NULL AND NOT EXISTS (SELECT 1 FROM pm WHERE pm.col = ix.col AND pm.i = ix.i)
         UNION ALL SELECT col, i, 'distribution_shift', o FROM os),
-      hist AS (SELECT a.col, a.i, 'null_rate' AS metric, b.ws, b.null_rate AS x FROM ix a JOIN ix b ON a.col = b.col AND b.i < a.i WHERE a.i >= 5
+      hist AS (SELECT a.col, a.i, 'null_rate' AS metric, b.ws, b.null_rate AS x FROM ix a JOIN ix b ON a.col = b.col AND b.i < a.i WHERE a.i >= 5 AND b.null_rate IS NOT NULL
         UNION ALL SELECT a.col, a.i, 'duplicate_rate', b.ws, b.duplicate_rate FROM ix a JOIN ix b ON a.col = b.col AND b.i < a.i WHERE a.i >= 5 AND b.duplicate_rate IS NOT NULL
         UNION ALL SELECT col, i, 'distribution_shift', ws, x FROM hs), {_sql_judge('col, i, metric')}"""
 
@@ -837,7 +847,7 @@ def sql_backtest(source: str) -> str:
         UNION ALL SELECT 'vote', 'all', count(*), count(*) FILTER (WHERE anomalous), count(*) FILTER (WHERE anomalous AND direction = 'above') FROM votes WHERE evaluated > 0""",
 )
 def backtest_summary(t: Tables) -> DataFrame:
-    return anomaly.backtest_summary(anomaly.backtest(*_days(t.events, DAYS)))
+    return anomaly.backtest_summary(anomaly.backtest(*_days(t.events, event_days(t))))
 
 
 @query(
@@ -846,7 +856,7 @@ def backtest_summary(t: Tables) -> DataFrame:
         FROM votes JOIN (SELECT col, i, ws FROM ix) USING (col, i) WHERE anomalous""",
 )
 def backtest_false_alarms(t: Tables) -> DataFrame:
-    alarms = anomaly.false_alarms(anomaly.backtest(*_days(t.events, DAYS)))
+    alarms = anomaly.false_alarms(anomaly.backtest(*_days(t.events, event_days(t))))
     return alarms.select("column", "metric", "window_start", "direction", F.round("observation", 9).alias("observation"), "fired", "evaluated")
 
 
@@ -858,7 +868,7 @@ def backtest_false_alarms(t: Tables) -> DataFrame:
 )
 def universe_units(t: Tables) -> DataFrame:
     """How many (column, metric) series could carry each data-quality problem."""
-    columns, categories = _days(t.events, DAYS)
+    columns, categories = _days(t.events, event_days(t))
     carried = categories.select("table", "column").distinct().withColumn("c", F.lit(True))
     kinds = columns.select("table", "column").distinct().join(carried, ["table", "column"], "left")
     units = kinds.select(

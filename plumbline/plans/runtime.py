@@ -269,11 +269,18 @@ def repeated_identical(t: Tables) -> DataFrame:
     return behaviour.repeated_identical(_statements(t)).drop("app")
 
 
+def _numbered(t: Tables) -> DataFrame:
+    """Events with ``d``, the number of their day, counted from the first event's day as 1."""
+    first = t.events.agg(F.to_date(F.min("ts"))).scalar()
+    return t.events.withColumn("d", F.datediff(F.to_date("ts"), first) + 1)
+
+
+_SQL_NUMBERED = "(SELECT *, date_diff('day', (SELECT min(ts) FROM events), ts) + 1 AS d FROM events)"
+
+
 def _runs(t: Tables) -> DataFrame:
     """A run per day: the day's morning; every seventh day warms up; sessions alternate."""
-    day = F.dayofmonth("ts")
-    morning = F.hour("ts") < 12
-    return t.events.where(morning).groupBy(F.to_date("ts").alias("day"), day.alias("d")).agg(
+    return _numbered(t).where(F.hour("ts") < 12).groupBy("d").agg(
         F.min("ts").alias("window_start"), F.max("ts").alias("window_end")
     ).select(
         F.concat(F.lit("s"), F.col("d") % 2).alias("session_id"), F.concat(F.lit("run"), "d").alias("run_id"),
@@ -283,7 +290,7 @@ def _runs(t: Tables) -> DataFrame:
 
 @query(
     "in_session",
-    """WITH runs AS (SELECT 's' || (day(ts) % 2) AS s, day(ts) % 7 = 0 AS warmup, min(ts) AS a, max(ts) AS b FROM events WHERE hour(ts) < 12 GROUP BY day(ts))
+    f"""WITH runs AS (SELECT 's' || (d % 2) AS s, d % 7 = 0 AS warmup, min(ts) AS a, max(ts) AS b FROM {_SQL_NUMBERED} WHERE hour(ts) < 12 GROUP BY d)
        SELECT 'op' || event_id AS operation_id FROM events WHERE EXISTS (SELECT 1 FROM runs WHERE s = 's1' AND NOT warmup AND ts BETWEEN a AND b)""",
 )
 def in_session(t: Tables) -> DataFrame:
@@ -568,15 +575,15 @@ def findings_json(t: Tables) -> DataFrame:
 
 
 def _requests(t: Tables) -> DataFrame:
-    return t.events.select(
-        F.dayofmonth("ts").alias("run_id"), F.col("event_type").alias("entry_id"), (F.dayofmonth("ts") <= 2).alias("warmup"),
+    return _numbered(t).select(
+        F.col("d").alias("run_id"), F.col("event_type").alias("entry_id"), (F.col("d") <= 2).alias("warmup"),
         (F.col("user_id") % 2 == 0).alias("collector_enabled"), F.when(F.col("event_type") == "error", 500).otherwise(200).alias("status"),
         F.col("value").alias("latency_ms"),
     )
 
 
-_SQL_REQUESTS = """r AS (SELECT day(ts) AS run_id, event_type AS entry_id, CASE WHEN user_id % 2 = 0 THEN 'on' ELSE 'off' END AS state, value AS ms
-    FROM events WHERE day(ts) > 2 AND event_type <> 'error')"""
+_SQL_REQUESTS = f"""r AS (SELECT d AS run_id, event_type AS entry_id, CASE WHEN user_id % 2 = 0 THEN 'on' ELSE 'off' END AS state, value AS ms
+    FROM {_SQL_NUMBERED} WHERE d > 2 AND event_type <> 'error')"""
 
 
 @query(
@@ -630,12 +637,12 @@ def per_entry_delta(t: Tables) -> DataFrame:
 
 
 def _run_counts(t: Tables) -> DataFrame:
-    return t.events.groupBy(F.dayofmonth("ts").alias("run_id"), F.concat(F.lit("/r/"), F.col("user_id") % 10).alias("route")).agg(
+    return _numbered(t).groupBy(F.col("d").alias("run_id"), F.concat(F.lit("/r/"), F.col("user_id") % 10).alias("route")).agg(
         F.count(F.lit(1)).alias("operations"), F.count_if(F.col("event_type") != "error").alias("statements")
     )
 
 
-_SQL_REPEAT = """c AS (SELECT day(ts) AS run, user_id % 10 AS k, count(*) AS o, count(*) FILTER (WHERE event_type <> 'error') AS s FROM events GROUP BY ALL),
+_SQL_REPEAT = f"""c AS (SELECT d AS run, user_id % 10 AS k, count(*) AS o, count(*) FILTER (WHERE event_type <> 'error') AS s FROM {_SQL_NUMBERED} GROUP BY ALL),
     g AS (SELECT r.run, q.k, coalesce(s, 0) AS s FROM (SELECT DISTINCT run FROM c) r CROSS JOIN (SELECT DISTINCT k FROM c) q LEFT JOIN c ON c.run = r.run AND c.k = q.k),
     w AS (SELECT k, max(abs(s - m)) / any_value(m) AS d FROM (SELECT *, avg(s) OVER (PARTITION BY k) AS m FROM g) GROUP BY k),
     tot AS (SELECT run, sum(o) AS o, sum(s) AS s FROM c GROUP BY run), dv AS (SELECT count(*) AS runs, max(abs(o - mo)) / any_value(mo) AS od, max(abs(s - ms)) / any_value(ms) AS sd
@@ -658,20 +665,20 @@ def route_repeatability(t: Tables) -> DataFrame:
 
 
 def _load_runs(t: Tables) -> DataFrame:
-    day = F.dayofmonth("ts").alias("run_id")
-    return t.events.select(day).distinct().select("run_id", (F.col("run_id") <= 2).alias("warmup"), (F.col("run_id") % 2 == 0).alias("collector_enabled"))
+    days = _numbered(t).select(F.col("d").alias("run_id")).distinct()
+    return days.select("run_id", (F.col("run_id") <= 2).alias("warmup"), (F.col("run_id") % 2 == 0).alias("collector_enabled"))
 
 
 @query(
     "cpu_cost",
-    """WITH c AS (SELECT day(ts) AS run, event_type AS service, (max(event_id) - min(event_id)) * 1000 AS cpu, max(user_id) * 1048576 AS mem, max(event_id) * 1048576 AS peak FROM events GROUP BY ALL),
-       q AS (SELECT day(ts) AS run, count(*) AS n FROM events WHERE event_type <> 'error' GROUP BY ALL)
+    f"""WITH c AS (SELECT d AS run, event_type AS service, (max(event_id) - min(event_id)) * 1000 AS cpu, max(user_id) * 1048576 AS mem, max(event_id) * 1048576 AS peak FROM {_SQL_NUMBERED} GROUP BY ALL),
+       q AS (SELECT d AS run, count(*) AS n FROM {_SQL_NUMBERED} WHERE event_type <> 'error' GROUP BY ALL)
        SELECT service, CASE WHEN run % 2 = 0 THEN 'on' ELSE 'off' END AS state, count(*) AS runs, round(avg(cpu / n / 1000), 6) AS cpu_ms_per_request,
          round(avg(mem) / 1048576, 6) AS memory_mib_end, round(max(peak) / 1048576, 6) AS memory_mib_peak FROM c JOIN q USING (run) WHERE run > 2 GROUP BY ALL""",
 )
 def cpu_cost(t: Tables) -> DataFrame:
     mib = 1048576
-    base = t.events.groupBy(F.dayofmonth("ts").alias("run_id"), F.col("event_type").alias("service"))
+    base = _numbered(t).groupBy(F.col("d").alias("run_id"), F.col("event_type").alias("service"))
     ends = base.agg(F.min("event_id").alias("a"), F.max("event_id").alias("b"), F.max("user_id").alias("u"))
     phase = lambda name, c: F.struct(
         F.lit(name).alias("phase"), (F.col(c) * 1000).alias("cpu_usage_usec"), (F.col("u") * mib).alias("memory_current_bytes"),
@@ -684,13 +691,13 @@ def cpu_cost(t: Tables) -> DataFrame:
 
 @query(
     "resource_stats",
-    """SELECT event_type AS service, CASE WHEN user_id % 2 = 0 THEN 'on' ELSE 'off' END AS state, count(*) AS samples, round(avg(value), 6) AS cpu_percent_mean,
-         round(avg(event_id) / 1048576, 6) AS memory_mib_mean, round(max(event_id) / 1048576, 6) AS memory_mib_max FROM events WHERE day(ts) > 2 GROUP BY ALL""",
+    f"""SELECT event_type AS service, CASE WHEN user_id % 2 = 0 THEN 'on' ELSE 'off' END AS state, count(*) AS samples, round(avg(value), 6) AS cpu_percent_mean,
+         round(avg(event_id) / 1048576, 6) AS memory_mib_mean, round(max(event_id) / 1048576, 6) AS memory_mib_max FROM {_SQL_NUMBERED} WHERE d > 2 GROUP BY ALL""",
 )
 def resource_stats(t: Tables) -> DataFrame:
-    samples = t.events.select(
+    samples = _numbered(t).select(
         F.col("event_type").alias("service"), F.col("value").alias("cpu_percent"), F.col("event_id").alias("memory_bytes"),
-        (F.dayofmonth("ts") <= 2).alias("warmup"), (F.col("user_id") % 2 == 0).alias("collector_enabled"),
+        (F.col("d") <= 2).alias("warmup"), (F.col("user_id") % 2 == 0).alias("collector_enabled"),
     )
     stats = loadruns.resource_stats(samples)
     return stats.withColumns({c: F.round(c, 6) for c in ("cpu_percent_mean", "memory_mib_mean", "memory_mib_max")})
@@ -708,8 +715,7 @@ def param_candidates(t: Tables) -> DataFrame:
 
 
 def _scans(t: Tables) -> DataFrame:
-    day = F.dayofmonth("ts")
-    days = t.events.groupBy(day.alias("d")).agg(F.min("ts").alias("started_at"))
+    days = _numbered(t).groupBy("d").agg(F.min("ts").alias("started_at"))
     return days.select(
         F.format_string("d%02d", "d").alias("scan_id"), F.concat(F.lit("app"), F.col("d") % 2).alias("app"), "started_at",
         F.when(F.col("d") % 10 == 0, "failed").otherwise("ok").alias("status"), F.lit("app").alias("kind"),
@@ -721,8 +727,8 @@ def _scans(t: Tables) -> DataFrame:
 def _scan_findings(t: Tables) -> DataFrame:
     kind = F.col("event_type")
     item = lambda source: F.struct(F.lit(source).alias("source"))
-    return t.events.select(
-        F.format_string("d%02d", F.dayofmonth("ts")).alias("scan_id"),
+    return _numbered(t).select(
+        F.format_string("d%02d", "d").alias("scan_id"),
         F.when(kind.isin("error", "purchase"), "HIGH").when(kind == "view", "MEDIUM").otherwise("LOW").alias("severity"),
         F.when(F.col("value") > 50, "HIGH").otherwise("LOW").alias("confidence"), F.upper(kind).alias("rule_id"),
         F.concat(F.lit("route:/r/"), F.col("user_id") % 10).alias("file"), F.col("user_id").cast("int").alias("line"),
@@ -731,11 +737,11 @@ def _scan_findings(t: Tables) -> DataFrame:
     )
 
 
-_SQL_SCANS = """sc AS (SELECT 'd' || lpad(CAST(day(ts) AS VARCHAR), 2, '0') AS scan_id, 'app' || (day(ts) % 2) AS app, min(ts) AS started_at,
-    CASE WHEN day(ts) % 10 = 0 THEN 'failed' ELSE 'ok' END AS status, CASE WHEN day(ts) % 3 = 0 THEN 'u' || (day(ts) % 2) END AS owner_id FROM events GROUP BY day(ts)),
-  f AS (SELECT 'd' || lpad(CAST(day(ts) AS VARCHAR), 2, '0') AS scan_id, CASE WHEN event_type IN ('error', 'purchase') THEN 'HIGH' WHEN event_type = 'view' THEN 'MEDIUM' ELSE 'LOW' END AS severity,
+_SQL_SCANS = f"""sc AS (SELECT printf('d%02d', d) AS scan_id, 'app' || (d % 2) AS app, min(ts) AS started_at,
+    CASE WHEN d % 10 = 0 THEN 'failed' ELSE 'ok' END AS status, CASE WHEN d % 3 = 0 THEN 'u' || (d % 2) END AS owner_id FROM {_SQL_NUMBERED} GROUP BY d),
+  f AS (SELECT printf('d%02d', d) AS scan_id, CASE WHEN event_type IN ('error', 'purchase') THEN 'HIGH' WHEN event_type = 'view' THEN 'MEDIUM' ELSE 'LOW' END AS severity,
     CASE WHEN value > 50 THEN 'HIGH' ELSE 'LOW' END AS confidence, upper(event_type) AS rule_id, 'route:/r/' || (user_id % 10) AS file, user_id AS line,
-    'Problem in ' || event_type AS title, md5(user_id || ':' || event_type) AS fingerprint, event_type FROM events)"""
+    'Problem in ' || event_type AS title, md5(user_id || ':' || event_type) AS fingerprint, event_type FROM {_SQL_NUMBERED})"""
 
 
 @query(
@@ -749,12 +755,20 @@ def finding_ids(t: Tables) -> DataFrame:
     return scans.assign_finding_ids(_scan_findings(t)).select("scan_id", "finding_id", "rule_id", "file", "line", "layers")
 
 
-_SQL_COUNTS = f"""WITH {_SQL_SCANS}, k AS (SELECT sc.scan_id, any_value(app) AS app, any_value(started_at) AS started_at, count(f.scan_id) FILTER (WHERE severity = 'HIGH') AS high, count(f.scan_id) FILTER (WHERE severity = 'MEDIUM') AS medium,
-    count(f.scan_id) FILTER (WHERE severity = 'LOW') AS low, count(f.scan_id) AS total FROM sc LEFT JOIN f ON f.scan_id = sc.scan_id AND f.scan_id <> 'd07' GROUP BY sc.scan_id)"""
+#: After every seventh scan one more that found nothing.
+_SQL_COUNTS = f"""WITH {_SQL_SCANS}, every_sc AS (SELECT scan_id, app, started_at FROM sc
+      UNION ALL SELECT 'e' || substr(scan_id, 2), app, started_at + INTERVAL 1 HOUR FROM sc WHERE CAST(substr(scan_id, 2) AS INTEGER) % 7 = 0),
+    k AS (SELECT s.scan_id, any_value(app) AS app, any_value(started_at) AS started_at, count(f.scan_id) FILTER (WHERE severity = 'HIGH') AS high, count(f.scan_id) FILTER (WHERE severity = 'MEDIUM') AS medium,
+    count(f.scan_id) FILTER (WHERE severity = 'LOW') AS low, count(f.scan_id) AS total FROM every_sc s LEFT JOIN f USING (scan_id) GROUP BY s.scan_id)"""
 
 
 def _counts(t: Tables, limit: int | None = None) -> DataFrame:
-    return scans.scan_counts(_scans(t), _scan_findings(t).where(F.col("scan_id") != "d07"), limit)
+    found = _scans(t)
+    number = F.substring_index("scan_id", "d", -1)
+    empty = found.where(number.cast("int") % 7 == 0).withColumns(
+        {"scan_id": F.concat(F.lit("e"), number), "started_at": F.col("started_at") + F.expr("INTERVAL 1 HOUR")}
+    )
+    return scans.scan_counts(found.unionByName(empty), _scan_findings(t), limit)
 
 
 @query("scan_counts", _SQL_COUNTS + " SELECT scan_id, high, medium, low, total FROM k ORDER BY started_at DESC LIMIT 28")
@@ -934,14 +948,17 @@ def sql_functions(t: Tables) -> DataFrame:
     return t.customer.groupBy(F.expr("pick(CAST(c_custkey AS STRING), ':s')").alias("p")).agg(F.count(F.lit(1)).alias("n"))
 
 
-@query("latest_experiment", "SELECT user_id % 10 AS r, count(*) AS n FROM events WHERE event_type = 'view' GROUP BY 1")
+@query(
+    "latest_experiment",
+    "SELECT event_type AS experiment, user_id % 10 AS r, count(*) AS n FROM events WHERE event_type = (SELECT max(event_type) FROM events) GROUP BY ALL",
+)
 def latest_experiment(t: Tables) -> DataFrame:
-    """Raw rows of two experiments; the newest is read back and only then counted."""
+    """The raw rows of every event type, each an experiment; the newest is read back and only then counted."""
     path = fresh_path(t.spark, "results")
-    files.append_results(t.events.where("event_type = 'error'"), path, "2024-01")
-    files.append_results(t.events.where("event_type = 'view'"), path, "2024-02")
+    for kind in [r[0] for r in t.events.where("event_type IS NOT NULL").select("event_type").distinct().orderBy("event_type").collect()]:
+        files.append_results(t.events.where(F.col("event_type") == kind), path, kind)
     rows = files.latest_experiment(t.spark, path)
-    return rows.groupBy((F.col("user_id") % 10).alias("r")).agg(F.count(F.lit(1)).alias("n"))
+    return rows.groupBy("experiment", (F.col("user_id") % 10).alias("r")).agg(F.count(F.lit(1)).alias("n"))
 
 
 @query(

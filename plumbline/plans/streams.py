@@ -5,6 +5,8 @@ A window is reported once the watermark has passed its end, so the newest, still
 
 from __future__ import annotations
 
+from datetime import timedelta
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -13,7 +15,7 @@ from ..session import fresh_path
 from ..sources.tables import Tables
 from ..streaming import jobs
 from . import runtime
-from .quality import _sql_profile, sql_backtest, sql_pick
+from .quality import SCHEMA, _sql_profile, sql_backtest, sql_pick
 from .registry import query
 
 _CLOSED = "(SELECT max(ts) - INTERVAL 1 HOUR FROM events)"
@@ -106,12 +108,12 @@ def stream_fingerprints(t: Tables) -> DataFrame:
     " UNION ALL ".join(
         _sql_profile("events", c, f"events WHERE date_trunc('day', ts) + INTERVAL 1 DAY <= {_CLOSED} GROUP BY date_trunc('day', ts)",
                      "date_trunc('day', ts)::TIMESTAMP AS window_start,")
-        for c in ("user_id", "event_type", "value")
+        for c in SCHEMA["events"]
     ),
 )
 def stream_profile(t: Tables) -> DataFrame:
     stream = jobs.stream_table(t.spark, _files(t.events, "events"))
-    histogram = jobs.stream_histogram(stream, "events", ["user_id", "event_type", "value"], "ts", "1 day", "1 hour")
+    histogram = jobs.stream_histogram(stream, "events", SCHEMA["events"], "ts", "1 day", "1 hour")
     return jobs.stream_profile(jobs.run_available(histogram, "histogram")).drop("data_type")
 
 
@@ -153,10 +155,10 @@ def stream_accounting(t: Tables) -> DataFrame:
     return t.spark.createDataFrame([(counts["captured"], counts["dropped"])], "captured long, dropped long")
 
 
-#: Events that lost user ids on one day in the middle of the stream.
-_SPIKE_DAY = "2024-01-20"
-_SQL_SPIKED = f"""(SELECT event_id, ts, CASE WHEN date_trunc('day', ts) = TIMESTAMP '{_SPIKE_DAY}' AND {sql_pick('event_id', ':stream')} < 150
-    THEN NULL ELSE user_id END AS user_id, event_type, value FROM events WHERE date_trunc('day', ts) + INTERVAL 1 DAY <= {_CLOSED})"""
+#: Events that lost user ids on one day, two thirds of the way through the stream.
+_SQL_SPIKE_DAY = "(SELECT date_trunc('day', min(ts))::TIMESTAMP + to_days(CAST(date_diff('day', min(ts), max(ts)) * 2 // 3 AS INTEGER)) FROM events)"
+_SQL_SPIKED = f"""(SELECT event_id, ts, CASE WHEN date_trunc('day', ts) = {_SQL_SPIKE_DAY} AND {sql_pick('event_id', ':stream')} < 150
+    THEN NULL ELSE user_id END AS user_id, event_type, value, props FROM events WHERE date_trunc('day', ts) + INTERVAL 1 DAY <= {_CLOSED})"""
 
 
 @query(
@@ -166,10 +168,12 @@ _SQL_SPIKED = f"""(SELECT event_id, ts, CASE WHEN date_trunc('day', ts) = TIMEST
 )
 def stream_judgements(t: Tables) -> DataFrame:
     """Every closed window of the stream judged on the windows closed before it."""
-    lost = (F.date_trunc("day", F.col("ts")) == F.lit(_SPIKE_DAY).cast("timestamp_ntz")) & (pick("event_id", ":stream") < 150)
-    spiked = t.events.drop("props").withColumn("user_id", F.when(~lost, F.col("user_id")))
+    first, last = t.events.agg(F.min(F.to_date("ts")), F.max(F.to_date("ts"))).first()
+    spike = first + timedelta(days=(last - first).days * 2 // 3) if first else None
+    lost = (F.to_date("ts") == F.lit(spike)) & (pick("event_id", ":stream") < 150)
+    spiked = t.events.withColumn("user_id", F.when(~lost, F.col("user_id")))
     stream = jobs.stream_table(t.spark, _files(spiked, "spiked"))
-    histogram = jobs.stream_histogram(stream, "events", ["user_id", "event_type", "value"], "ts", "1 day", "1 hour")
+    histogram = jobs.stream_histogram(stream, "events", SCHEMA["events"], "ts", "1 day", "1 hour")
     path = fresh_path(t.spark, "judged")
     jobs.run_batches(histogram, jobs.judge_batch(path), "judged")
     judged = t.spark.read.parquet(path)
