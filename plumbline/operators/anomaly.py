@@ -4,10 +4,16 @@ A judgement is one row per (table, column, metric, window) carrying the observat
 as an ordered array with one entry per earlier window. Expected ranges are expressions over that
 array, so adding a detector adds no shuffle. No number here limits a metric itself: every bound is
 learned from the history.
+
+Walk-forward judgements carry a ``summary`` of the earlier windows in place of the array: size, moments, quartiles
+and the last points, brought forward from window to window.
 """
 
 from __future__ import annotations
 
+import math
+from bisect import insort
+from collections import deque
 from collections.abc import Callable, Sequence
 
 import numpy as np
@@ -60,6 +66,10 @@ def _deviation(values: Column, center: Column) -> Column:
     )
 
 
+def _size(df: DataFrame) -> Column:
+    return F.col("summary.size") if "summary" in df.columns else F.size("history")
+
+
 def _quantile(ordered: Column, p: float) -> Column:
     """Linear interpolation at (n-1)p."""
     position = (F.size(ordered) - 1) * F.lit(p)
@@ -98,7 +108,7 @@ def _with_verdict(
         able("_spread").alias("spread"),
         able(away).alias("deviation"),
         F.col("_side").alias("direction"),
-        F.size("history").alias("history_size"),
+        _size(df).alias("history_size"),
         F.create_map(*[F.lit(x) for kv in parameters.items() for x in kv]).alias("parameters"),
         F.coalesce(able(F.col("_spread") == 0), F.lit(False)).alias("degenerate"),
     ).cast(_DETECTION)
@@ -107,11 +117,11 @@ def _with_verdict(
     )
 
 
-def _enough(min_history: int) -> Column:
-    return F.size("history") >= max(min_history, 2)
+def _enough(df: DataFrame, min_history: int) -> Column:
+    return _size(df) >= max(min_history, 2)
 
 
-# A detector adds one detection column to judgements (``history``, ``observation``). It works in
+# A detector adds one detection column to judgements (``history`` or ``summary``, ``observation``). It works in
 # steps, because a value used twice inside one expression is computed twice.
 
 
@@ -119,10 +129,13 @@ def zscore(
     judgements: DataFrame, sigmas: float = DEFAULT_SIGMAS, min_history: int = MIN_HISTORY
 ) -> DataFrame:
     """Mean +/- ``sigmas`` sample standard deviations of the whole history, bounds included."""
-    df = judgements.withColumn("_center", _mean(F.col("history")))
-    df = df.withColumn("_spread", _deviation(F.col("history"), F.col("_center")))
+    if "summary" in judgements.columns:
+        df = judgements.withColumn("_center", F.col("summary.mean")).withColumn("_spread", F.col("summary.deviation"))
+    else:
+        df = judgements.withColumn("_center", _mean(F.col("history")))
+        df = df.withColumn("_spread", _deviation(F.col("history"), F.col("_center")))
     df = df.withColumn("_low", F.col("_center")).withColumn("_high", F.col("_center"))
-    return _with_verdict(df, "zscore", _enough(min_history), sigmas, {"sigmas": float(sigmas)})
+    return _with_verdict(df, "zscore", _enough(df, min_history), sigmas, {"sigmas": float(sigmas)})
 
 
 def iqr(
@@ -130,15 +143,15 @@ def iqr(
     min_history: int = MIN_HISTORY,
 ) -> DataFrame:
     """Tukey's fences around the inclusive quartiles."""
-    df = judgements.withColumn("_ordered", F.array_sort("history"))
-    df = (
-        df.withColumn("_low", _quantile(F.col("_ordered"), 0.25))
-        .withColumn("_center", _quantile(F.col("_ordered"), 0.5))
-        .withColumn("_high", _quantile(F.col("_ordered"), 0.75))
-        .withColumn("_spread", F.col("_high") - F.col("_low"))
-        .drop("_ordered")
-    )
-    return _with_verdict(df, "iqr", _enough(min_history), multiplier, {"multiplier": float(multiplier)})
+    if "summary" in judgements.columns:
+        quartiles = [F.col(f"summary.{q}") for q in ("q1", "median", "q3")]
+        df = judgements
+    else:
+        df = judgements.withColumn("_ordered", F.array_sort("history"))
+        quartiles = [_quantile(F.col("_ordered"), p) for p in (0.25, 0.5, 0.75)]
+    df = df.withColumns(dict(zip(("_low", "_center", "_high"), quartiles))).drop("_ordered")
+    df = df.withColumn("_spread", F.col("_high") - F.col("_low"))
+    return _with_verdict(df, "iqr", _enough(df, min_history), multiplier, {"multiplier": float(multiplier)})
 
 
 def moving_average(
@@ -146,13 +159,18 @@ def moving_average(
     min_history: int = MIN_HISTORY,
 ) -> DataFrame:
     """Mean +/- ``sigmas`` deviations of the last ``window`` points, so it follows a drift."""
-    size = F.size("history")
-    recent = F.slice("history", F.greatest(size - window + 1, F.lit(1)), window)
+    points = "history"
+    if "summary" in judgements.columns:
+        points = "summary.recent"
+        if window > DEFAULT_MOVING_WINDOW:
+            raise ValueError(f"a summary keeps the last {DEFAULT_MOVING_WINDOW} points")
+    size = F.size(points)
+    recent = F.slice(points, F.greatest(size - window + 1, F.lit(1)), window)
     df = judgements.withColumn("_recent", recent)
     df = df.withColumn("_center", _mean(F.col("_recent")))
     df = df.withColumn("_spread", _deviation(F.col("_recent"), F.col("_center"))).drop("_recent")
     df = df.withColumn("_low", F.col("_center")).withColumn("_high", F.col("_center"))
-    enough = _enough(min_history) & (F.least(size, F.lit(window)) >= 2)
+    enough = _enough(df, min_history) & (F.least(size, F.lit(window)) >= 2)
     return _with_verdict(
         df, "moving_average", enough, sigmas, {"window": float(window), "sigmas": float(sigmas)}
     )
@@ -196,7 +214,7 @@ def judge(
 ) -> DataFrame:
     """Adds ``detections``, ``fired``, ``evaluated``, ``anomalous`` and ``direction``.
 
-    Expects ``history`` (array of doubles, oldest first) and ``observation``. The result is written
+    Expects ``history`` (array of doubles, oldest first) or ``summary``, and ``observation``. The result is written
     once: it is small (a row per column, metric and window), several reports read it, and a filter
     on a verdict would otherwise be pushed down as a copy of every expression behind it.
     """
@@ -204,7 +222,8 @@ def judge(
     # Written first as well: the observations are a union, and each branch would otherwise get and
     # compile its own copy of the detectors.
     judged = cut(judgements)
-    judged = judged.withColumn("observation", finite(F.col("history"), F.col("observation")))
+    if "summary" not in judged.columns:
+        judged = judged.withColumn("observation", finite(F.col("history"), F.col("observation")))
     for detector in chosen.values():
         judged = detector(judged)
     judged = judged.withColumn("detections", F.array(*chosen)).drop(*chosen)
@@ -609,6 +628,123 @@ def walk_forward_observations(
     )
 
 
+_SUMMARY = {"size": "int", "mean": "double", "deviation": "double", "q1": "double", "median": "double", "q3": "double", "recent": "array<double>"}
+
+
+def _summary(ordered: Sequence[float], mean: float, deviation: float, recent: Sequence[float]) -> tuple:
+    """The fields of _SUMMARY; equal points have exactly their value as mean and no deviation."""
+    size = len(ordered)
+    if size == 0:
+        return (0, None, None, None, None, None, [])
+    if ordered[0] == ordered[-1]:
+        mean, deviation = ordered[0], 0.0
+
+    def at(p: float) -> float:
+        low = math.floor((size - 1) * p)
+        return float(ordered[low] + (ordered[min(low + 1, size - 1)] - ordered[low]) * ((size - 1) * p - low))
+
+    return (size, float(mean), float(deviation), at(0.25), at(0.5), at(0.75), [float(x) for x in recent])
+
+
+class _Running:
+    """The points of a series so far: a point is added in place, nothing is read again."""
+
+    def __init__(self) -> None:
+        self.ordered: list[float] = []
+        self.recent: deque[float] = deque(maxlen=DEFAULT_MOVING_WINDOW)
+        self.total = self.mean = self.squares = 0.0
+
+    def add(self, x: float) -> None:
+        insort(self.ordered, x)
+        self.recent.append(x)
+        self.total += x
+        before, self.mean = self.mean, self.mean + (x - self.mean) / len(self.ordered)
+        self.squares += (x - before) * (x - self.mean)
+
+    def summary(self) -> tuple:
+        size = len(self.ordered)
+        deviation = math.sqrt(self.squares / (size - 1)) if size > 1 else 0.0
+        return _summary(self.ordered, self.total / size if size else 0.0, deviation, self.recent)
+
+
+def _running_rates(points: pd.DataFrame, carried: set[int], min_history: int) -> list[tuple]:
+    """(window_start, metric, observation, summary fields) of the rates of one column's ordered windows."""
+    out = []
+    first = min(carried, default=len(points))
+    for metric in ("null_rate", "duplicate_rate"):
+        running = _Running()
+        known, wanted, starts = points[f"{metric}_known"], points["wanted"], points["window_start"]
+        for i, x in enumerate(points[metric].astype(float)):
+            if not known[i]:
+                continue
+            if not math.isfinite(x):
+                raise ValueError("history and observation must be finite numbers")
+            if i >= min_history and wanted[i] and (metric == "null_rate" or i <= first):
+                out.append((starts[i], metric, x, *running.summary()))
+            running.add(x)
+    return out
+
+
+def _running_shifts(points: pd.DataFrame, mixes: pd.DataFrame, min_history: int) -> list[tuple]:
+    """The same of the distances between distributions. The value shares of the windows so far are summed up as the
+    windows go by; each window's distance from the mean of the others depends on all of them and is taken again."""
+    index, count = mixes["window_index"].to_numpy(), mixes["count"].to_numpy(dtype=float)
+    code, _ = pd.factorize(mixes["value"])
+    windows, begin = np.unique(index, return_index=True)
+    ends = [*begin[1:], len(index)]
+    share = np.concatenate([count[a:b] / count[a:b].sum() for a, b in zip(begin, ends)])
+    total = np.zeros(int(code.max()) + 1)
+    out = []
+    for m, (i, a, b) in enumerate(zip(windows, begin, ends)):
+        if m >= 2 and i >= min_history and points["wanted"][i]:
+            others = (total[code[:a]] - share[:a]) / (m - 1)
+            away = np.abs(np.round(0.5 * (1 + np.add.reduceat(np.abs(share[:a] - others) - others, begin[:m])), DIGITS))
+            mean = total[code[a:b]] / m
+            own = abs(float(np.round(0.5 * (1 + np.sum(np.abs(share[a:b] - mean) - mean)), DIGITS)))
+            found = _summary(np.sort(away), away.mean(), away.std(ddof=1), away[-DEFAULT_MOVING_WINDOW:])
+            out.append((points["window_start"][i], "distribution_shift", own, *found))
+        np.add.at(total, code[a:b], share[a:b])
+    return out
+
+
+def running_observations(
+    columns: DataFrame, categories: DataFrame, min_history: int = MIN_HISTORY, since=None
+) -> DataFrame:
+    """``walk_forward_observations`` with a ``summary`` in place of each window's list of earlier points.
+
+    A group is one column: its windows and their listed categories, both bounded by the windows asked for.
+    """
+
+    def run(group: pd.DataFrame) -> pd.DataFrame:
+        rows: list[tuple] = []
+        points = group[group["count"].isna()].sort_values("window_start", ignore_index=True)
+        if len(points):
+            place = pd.Series(points.index, index=points["window_start"])
+            mixes = group[group["value"].notna()]
+            mixes = mixes.assign(window_index=mixes["window_start"].map(place)).dropna(subset=["window_index"])
+            mixes = mixes.astype({"window_index": int}).sort_values(["window_index", "value"])
+            rows = _running_rates(points, set(mixes["window_index"]), min_history)
+            if len(mixes):
+                rows += _running_shifts(points, mixes, min_history)
+        keys = points.iloc[0][list(COLUMN)].to_list() if rows else []
+        return pd.DataFrame([(*keys, *r) for r in rows], columns=names, dtype=object)
+
+    names = [*COLUMN, "window_start", "metric", "observation", *_SUMMARY]
+    kind = columns.schema["window_start"].dataType.simpleString()
+    fields = ", ".join(f"{k} {v}" for k, v in _SUMMARY.items())
+    rates = ("null_rate", "duplicate_rate")
+    points = columns.select(
+        *COLUMN, "window_start", *[F.col(c).cast("double").alias(c) for c in rates],
+        *[F.col(c).isNotNull().alias(f"{c}_known") for c in rates],
+        (F.lit(True) if since is None else F.col("window_start") >= clock(since)).alias("wanted"),
+    )
+    mixes = categories.select(*COLUMN, "window_start", F.col("value").cast("string").alias("value"), F.col("count").cast("double").alias("count"))
+    walked = points.unionByName(mixes, allowMissingColumns=True).groupBy(*COLUMN).applyInPandas(
+        run, f"table string, column string, window_start {kind}, metric string, observation double, {fields}"
+    )
+    return walked.select(*COLUMN, "metric", "window_start", "observation", F.struct(*_SUMMARY).alias("summary"))
+
+
 def backtest(
     columns: DataFrame,
     categories: DataFrame,
@@ -617,8 +753,12 @@ def backtest(
     min_history: int = MIN_HISTORY,
     since=None,
 ) -> DataFrame:
-    """Walk-forward judgements; over clean history every alarm is a false alarm."""
-    return judge(walk_forward_observations(columns, categories, min_history, since), detectors, vote)
+    """Walk-forward judgements; over clean history every alarm is a false alarm.
+
+    A registered detector that reads the points themselves is judged with
+    ``judge(walk_forward_observations(...))``.
+    """
+    return judge(running_observations(columns, categories, min_history, since), detectors, vote)
 
 
 def backtest_summary(judged: DataFrame) -> DataFrame:

@@ -291,6 +291,6 @@ def judge_batch(
                 stored = baseline[i].where(F.col("window_start") < clock(oldest)).select(*rows.columns).unionByName(stored)
             history.append(stored)
         judged = anomaly.backtest(*history, vote=vote, since=oldest)
-        judged.drop("history").write.mode("overwrite").parquet(f"{path}/batch={epoch}")
+        judged.drop("summary").write.mode("overwrite").parquet(f"{path}/batch={epoch}")
 
     return write

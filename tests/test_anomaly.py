@@ -160,3 +160,45 @@ def test_history_before_the_window_only(spark):
     rows = anomaly.detect(columns, categories, columns, categories, history_before_window=True).collect()
     shift = next(r for r in rows if r["metric"] == "distribution_shift")
     assert shift["anomalous"] and shift["direction"] == "above" and shift["detections"][0]["history_size"] == 6
+
+
+def _judgements(rows):
+    found = {}
+    for r in rows:
+        for d in r["detections"]:
+            numbers = tuple(None if d[c] is None else pytest.approx(d[c], abs=1e-9) for c in ("lower", "upper", "center", "spread"))
+            found[(r["column"], r["metric"], r["window_start"], d["detector"])] = (r["anomalous"], d["anomalous"], d["history_size"], numbers)
+    return found
+
+
+def test_running_summaries_judge_like_whole_histories(spark):
+    rng = random.Random(5)
+    windows = [{v: rng.randint(0, 9) for v in "abcd"[: rng.randint(2, 4)]} for _ in range(25)]
+    windows = [w if any(w.values()) else {"a": 1} for w in windows]
+    columns, categories = profiles(spark, windows), frame(spark, windows).where("count > 0")
+    whole = anomaly.judge(anomaly.walk_forward_observations(columns, categories)).collect()
+    running = anomaly.backtest(columns, categories).collect()
+    assert len(running) == len(whole) > 20 and _judgements(running) == _judgements(whole)
+
+
+def test_a_thousand_windows(spark):
+    from pyspark.sql import functions as F
+
+    days = spark.range(1000).select(
+        F.lit("t").alias("table"), F.lit("c").alias("column"), F.expr("timestamp_ntz '2020-01-01' + make_dt_interval(id)").alias("window_start"), "id"
+    )
+    rate = F.when(F.col("id") == 900, 0.5).otherwise((F.col("id") * 7 % 11) / 1000)
+    columns = days.withColumn("null_rate", rate).withColumn("duplicate_rate", F.lit(0.25))
+    categories = days.limit(0).select("table", "column", "window_start", F.lit("x").alias("value"), F.lit(1).alias("count"))
+    observed = anomaly.running_observations(columns.drop("id"), categories)
+    assert observed.columns == ["table", "column", "metric", "window_start", "observation", "summary"]
+    judged = anomaly.judge(observed)
+    assert judged.count() == 2 * 995
+    alarm, = judged.where("anomalous").collect()
+    assert (alarm["metric"], alarm["window_start"], alarm["fired"]) == ("null_rate", datetime(2022, 6, 19), 3)
+    numbers = judged.where("metric = 'null_rate'").orderBy("window_start").tail(1)[0]["detections"]
+    values = sorted(0.5 if i == 900 else i * 7 % 11 / 1000 for i in range(999))
+    center = math.fsum(values) / 999
+    assert numbers[0]["center"] == pytest.approx(center)
+    assert numbers[0]["spread"] == pytest.approx(math.sqrt(math.fsum((x - center) ** 2 for x in values) / 998))
+    assert numbers[1]["center"] == pytest.approx(values[499])
