@@ -1,14 +1,16 @@
 """Balanced label propagation: documents to shards of equal counts, few links cut.
 
 Vertices are the distinct texts, weighted by their number of documents; two texts are linked by every line that both
-hold. The links are kept as text-line pairs, never as pairs of texts. In every round each line takes the shard that
-weighs most among its texts, each text wants the shard that its lines favour most, and moves from shard to shard are
-admitted by hash with the probability that keeps every shard within its quota: balanced exchanges plus free room. At
+hold. The links are kept as text-line pairs, never as pairs of texts. Texts that have their rarest shared line in common
+start in one shard. In every round each line takes the shard that weighs most among its texts and votes for it with the
+weight that lies there (with a share of it below 1 if no shard can hold all its texts), each text wants the shard with most votes of its lines, and moves from shard to
+shard are admitted by hash with the probability that keeps every shard within its quota: balanced exchanges plus free
+room. The rounds end when the lines' agreement rises by less than GAIN, and the labels with the highest agreement count. At
 the end every shard keeps as many documents as its exact share, texts with most copies first, and what is beyond fills
 the free places of the others, so that the counts differ by one at most. A text with more copies than a shard holds is
 split.
 
-Only a table of shards squared reaches the driver.
+Only a table of shards squared and the agreement reach the driver.
 
 Defined results: NULL text is empty, of size 8; all empty texts are one group without lines. Rows without doc_id are
 placed like others. Repeated rows are rows of their own. Ties go to the smaller shard, then the smaller id. An empty
@@ -24,19 +26,27 @@ from ..functions.ranking import positions
 from ..session import cut
 
 SHARDS = 24
-ROUNDS = 4
+#: Rounds at most, and the rise of the agreement (relative) below which they end.
+ROUNDS, GAIN = 16, 0.005
+#: Units of a vote.
+FULL = 1000
 #: Share of the mean by which a shard may exceed it between rounds.
 SLACK = 0.02
 
 
-def _move(vertices: DataFrame, links: DataFrame, shards: int, turn: int, total: int) -> DataFrame:
+def _favoured(vertices: DataFrame, links: DataFrame, quota: float) -> DataFrame:
+    """(line, line_label, vote): each line's best shard, and the weight of its texts there: the links that a text gains by
+    joining them. A line heavier than a shard is cut wherever its texts lie, so it only breaks ties."""
+    favour = links.join(vertices, "vertex").groupBy("line", "label").agg(F.sum("weight").alias("w"))
+    # A text's own weight counts too, so a pair of texts agrees on the smaller shard.
+    lines = favour.groupBy("line").agg(F.max(F.struct("w", (-F.col("label")).alias("l"))).alias("best"), F.sum("w").alias("all"))
+    vote = F.when(F.col("all") <= quota, F.col("best.w") * FULL).otherwise(F.floor(F.col("best.w") * FULL / F.col("all"))).cast("long")
+    return lines.select("line", (-F.col("best.l")).alias("line_label"), vote.alias("vote"))
+
+
+def _move(vertices: DataFrame, links: DataFrame, lines: DataFrame, shards: int, turn: int, total: int) -> DataFrame:
     """One round: the vertices (vertex, weight, label) with new labels."""
-    placed = links.join(vertices, "vertex")
-    favour = placed.groupBy("line", "label").agg(F.sum("weight").alias("w"))
-    # Each line's best shard; a text's own weight counts too, so a pair of texts agrees on the smaller shard.
-    lines = favour.groupBy("line").agg(F.max(F.struct("w", (-F.col("label")).alias("l"))).alias("best"))
-    lines = lines.select("line", (-F.col("best.l")).alias("line_label"))
-    wants = links.join(lines, "line").groupBy("vertex", "line_label").agg(F.count(F.lit(1)).alias("votes"))
+    wants = links.join(lines, "line").groupBy("vertex", "line_label").agg(F.sum("vote").alias("votes"))
     wants = wants.groupBy("vertex").agg(F.max(F.struct("votes", (-F.col("line_label")).alias("l"))).alias("best"))
     wants = wants.select("vertex", (-F.col("best.l")).cast("int").alias("wanted"))
     wishes = cut(vertices.join(wants, "vertex", "left").withColumn("wanted", F.coalesce("wanted", "label")))
@@ -75,11 +85,23 @@ def shard(docs: DataFrame, shards: int = SHARDS, rounds: int = ROUNDS) -> DataFr
         return rows.select("doc_id", "size", "text_crc32", F.lit(0).alias("shard"), F.lit(0).cast("long").alias("slot"), F.lit(0).alias("label"))
     # A copy brings the same lines, so one row of each text is enough; lines of a single text link nothing.
     links = rows.select("vertex", F.explode("lines").alias("line")).distinct()
-    shared = links.groupBy("line").agg(F.count(F.lit(1)).alias("c")).where("c > 1").select("line")
-    links = cut(links.join(shared, "line", "left_semi"))
-    vertices = cut(vertices.withColumn("label", F.pmod(F.xxhash64("vertex", F.lit(-1)), F.lit(shards)).cast("int")))
-    for turn in range(rounds):
-        vertices = _move(vertices, links, shards, turn, total)
+    shared = links.groupBy("line").agg(F.count(F.lit(1)).alias("c")).where("c > 1")
+    links = cut(links.join(shared, "line"))
+    rarest = links.groupBy("vertex").agg(F.min(F.struct("c", "line"))["line"].alias("_first"))
+    links = links.select("vertex", "line")
+    start = F.pmod(F.xxhash64(F.coalesce("_first", "vertex"), F.lit(-1)), F.lit(shards)).cast("int")
+    vertices = cut(vertices.join(rarest, "vertex", "left").select("vertex", "weight", start.alias("label")))
+    best, agreement = vertices, -1
+    for turn in range(rounds + 1):
+        lines = cut(_favoured(vertices, links, total / shards))
+        reached = lines.agg(F.coalesce(F.sum("vote"), F.lit(0))).first()[0]
+        rises = reached > agreement * (1 + GAIN)
+        if reached > agreement:
+            best, agreement = vertices, reached
+        if not rises or turn == rounds:
+            break
+        vertices = _move(vertices, links, lines, shards, turn, total)
+    vertices = best
     placed = rows.drop("lines").join(vertices, "vertex")
     # Texts with many copies come first in their shard, so what has to leave a full shard are mostly single texts.
     order = [F.col("weight").desc(), F.col("vertex").asc(), F.col("doc_id").asc_nulls_first(), F.col("size").asc()]
@@ -102,7 +124,16 @@ def shard(docs: DataFrame, shards: int = SHARDS, rounds: int = ROUNDS) -> DataFr
     return out.select("doc_id", "size", "text_crc32", "shard", slot.alias("slot"), "label")
 
 
-def cut_links(sharded: DataFrame) -> DataFrame:
-    """(texts, split): texts with several documents, and how many of them lie in more than one shard."""
-    groups = sharded.groupBy("text_crc32", "size").agg(F.count(F.lit(1)).alias("c"), F.count_distinct("shard").alias("s")).where("c > 1")
-    return groups.agg(F.count(F.lit(1)).alias("texts"), F.coalesce(F.sum((F.col("s") > 1).cast("long")), F.lit(0)).alias("split"))
+def cut_links(sharded: DataFrame, docs: DataFrame) -> DataFrame:
+    """(lines, held, links, cut): lines that several documents share, those within one shard, (document, line) pairs of the
+    shared lines, and how many of them lie outside the line's largest shard."""
+    lines = F.split(F.coalesce(docs["text"].cast("string"), F.lit("")), "\n")
+    pairs = docs.select("doc_id", F.explode(F.array_distinct(F.filter(lines, lambda l: F.length(l) > 0))).alias("line"))
+    pairs = pairs.select("doc_id", F.xxhash64("line").alias("line")).join(sharded.select("doc_id", "shard"), "doc_id")
+    parts = pairs.groupBy("line", "shard").agg(F.count(F.lit(1)).alias("n"))
+    spread = parts.groupBy("line").agg(F.sum("n").alias("n"), F.max("n").alias("most")).where("n > 1")
+    count = lambda c: F.coalesce(F.sum(c), F.lit(0))
+    return spread.agg(
+        F.count(F.lit(1)).alias("lines"), F.count_if(F.col("n") == F.col("most")).alias("held"),
+        count("n").alias("links"), count(F.col("n") - F.col("most")).alias("cut"),
+    )

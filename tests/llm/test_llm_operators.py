@@ -301,6 +301,19 @@ def test_sharding_law(spark, documents, odd, empty):
         assert plain == collections.Counter((r["doc_id"], r["size"], r["text_crc32"]) for r in rows)
 
 
+def test_sharding_cuts_few_links(spark, documents):
+    docs = documents.select("doc_id", "text")
+    found = sharding.cut_links(sharding.shard(docs), docs).first()
+    dealt = docs.select("doc_id", F.pmod(F.xxhash64("doc_id"), F.lit(24)).cast("int").alias("shard"))
+    plain = sharding.cut_links(dealt, docs).first()
+    assert found["lines"] == plain["lines"] > 0 and found["links"] == plain["links"]
+    assert found["cut"] < 0.6 * plain["cut"] and found["held"] > plain["held"]
+    # A text with more copies than a shard holds is split, and the law still holds.
+    heavy = spark.createDataFrame([(i, "same\nlines") for i in range(40)] + [(100 + i, f"own {i}") for i in range(32)], "doc_id long, text string")
+    sizes = collections.Counter(r["shard"] for r in sharding.shard(heavy).collect())
+    assert [sizes[s] for s in range(24)] == [3] * 24
+
+
 def test_languages_held_out(spark, odd):
     docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     rows = languages.identify(docs).join(docs.select("doc_id", "lang"), "doc_id").where("held_out").collect()
