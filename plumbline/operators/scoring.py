@@ -21,7 +21,7 @@ from ..functions.exprs import f1, normal_identifier, normal_path, ratio, route_p
 from ..functions.graphs import components
 from ..functions.intervals import overlaps
 from ..functions.ranking import positions
-from ..session import cut
+from ..session import cut, spread
 
 #: Problem type -> category, in report order.
 PROBLEM_CATEGORY = {
@@ -458,8 +458,13 @@ def detection_latency(detections: DataFrame) -> DataFrame:
 
 
 def canonical_detection(outcomes: DataFrame) -> DataFrame:
-    """Whether a configuration detects a problem: in more than half of the repetitions."""
-    return outcomes.groupBy("config", "app", "entry_id").agg(
+    """Whether a configuration detects a problem: in more than half of the repetitions.
+
+    All outcomes of a problem are dealt to one partition before they are grouped. Hardly any group repeats among the rows
+    that one task reads, so grouping there first would only keep them all.
+    """
+    dealt = spread(outcomes.select("config", "app", "entry_id", "problem_type", "detected"), "app", "entry_id")
+    return dealt.groupBy("config", "app", "entry_id").agg(
         F.any_value("problem_type").alias("problem_type"),
         (F.count_if("detected") * 2 > F.count(F.lit(1))).alias("detected"),
     )

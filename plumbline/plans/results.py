@@ -13,7 +13,7 @@ from ..functions import exprs
 from ..functions.exprs import pick
 from ..operators import correlate as corr
 from ..operators import scoring, stats
-from ..session import cut
+from ..session import cut, spread
 from ..sources.tables import Tables
 from .quality import sql_pick
 from .registry import query
@@ -349,7 +349,8 @@ _TYPES = ["n_plus_one", "missing_index", "unpaginated_find_many", "null_spike",
 
 def _outcomes(t: Tables) -> DataFrame:
     """Each part is a problem, judged by every configuration in three repetitions."""
-    base = t.part.select(
+    # Each part becomes 21 rows.
+    base = spread(t.part.select("p_partkey", "p_size"), "p_partkey").select(
         F.concat(F.lit("app"), F.col("p_size") % 2).alias("app"), F.concat(F.lit("p"), "p_partkey").alias("entry_id"),
         F.get(F.array(*[F.lit(x) for x in _TYPES]), (F.col("p_partkey") % len(_TYPES)).cast("int")).alias("problem_type"), "p_partkey", "p_size",
     )

@@ -70,3 +70,12 @@ def cut(df: DataFrame) -> DataFrame:
     path = fresh_path(df.sparkSession, "step")
     df.write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
+def spread(df: DataFrame, *keys: str) -> DataFrame:
+    """``df`` dealt by the hash of ``keys`` over every shuffle partition.
+
+    The number is given, so adaptive execution does not merge partitions whose rows are yet to grow. A grouping whose keys
+    include ``keys`` needs no other shuffle, and no task keeps groups of rows that it only passes on.
+    """
+    return df.repartition(int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")), *keys)

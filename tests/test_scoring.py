@@ -158,3 +158,12 @@ def test_interval_blocks(spark):
     assert got == set(want) and len(want) == len(got)
     long = spark.range(1).select(intervals.cover(F.lit(1), F.lit(1_000_000), 20).alias("x")).first()["x"]
     assert len(long) <= 40 and sum(1 << x["level"] for x in long) == 1_000_000
+
+
+def test_outcomes_are_dealt_before_they_are_grouped(spark):
+    rows = [("A", "app", r, e, "n_plus_one", (e + r) % 2 == 0) for e in range(50) for r in (1, 2, 3)]
+    outcomes = spark.createDataFrame(rows, "config string, app string, repetition int, entry_id int, problem_type string, detected boolean")
+    judged = scoring.canonical_detection(outcomes)
+    plan = judged._jdf.queryExecution().executedPlan().toString()
+    assert plan.rindex("Aggregate(") < plan.index("Exchange hashpartitioning(app")  # no group is kept by the task that reads
+    assert {(r.entry_id, r.detected) for r in judged.collect()} == {(e, e % 2 == 1) for e in range(50)}
