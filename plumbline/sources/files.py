@@ -5,7 +5,7 @@ from __future__ import annotations
 import re
 from collections.abc import Iterator, Sequence
 
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -138,37 +138,81 @@ def sql_files(spark: SparkSession, root: str, pattern: str = "*.sql") -> DataFra
 _TOKEN = re.compile(r"(?P<comment>--[^\n]*|/\*.*?(?:\*/|\Z))|'(?:[^']|'')*(?:'|\Z)|(?P<end>;)|[^;'/-]+|.", re.DOTALL)
 
 
-def _statements(text: str) -> Iterator[tuple[int, str]]:
-    """(starting line, statement) of each top-level statement; comments are dropped."""
-    line, start, parts = 1, 0, []
-    for token in _TOKEN.finditer(text):
-        piece = token.group()
-        if token.group("end"):
-            if parts:
-                yield start, "".join(parts).strip()
-            start, parts = 0, []
-        elif not token.group("comment"):
-            if not parts:
-                bare = piece.lstrip()
-                if bare:
-                    start = line + piece[: len(piece) - len(bare)].count("\n")
-                    parts.append(bare)
-            else:
-                parts.append(piece)
-        line += piece.count("\n")
-    if parts:
-        yield start, "".join(parts).strip()
+#: Characters of a piece that a text is handed over in, and statements of a batch that goes back.
+PIECE, STATEMENTS = 4096, 10_000
+
+
+class _Splitter:
+    """Cuts one text, given in parts, into its top-level statements with their starting lines; comments are dropped.
+
+    What the end of a part may leave open, a comment, a string or half a sign, waits for the next part.
+    """
+
+    def __init__(self) -> None:
+        self.line, self.start, self.parts, self.rest = 1, 0, [], ""
+
+    def feed(self, text: str, final: bool) -> Iterator[tuple[int, str]]:
+        text = self.rest + text
+        self.rest = ""
+        for token in _TOKEN.finditer(text):
+            piece, kind = token.group(), token.lastgroup
+            if token.end() == len(text) and not final and kind != "end" and piece[0] in "-/'":
+                self.rest = piece
+                return
+            if kind == "end":
+                if self.parts:
+                    yield self.start, "".join(self.parts).strip()
+                self.start, self.parts = 0, []
+            elif kind != "comment":
+                if self.parts:
+                    self.parts.append(piece)
+                elif bare := piece.lstrip():
+                    self.start = self.line + piece[: len(piece) - len(bare)].count("\n")
+                    self.parts.append(bare)
+            self.line += piece.count("\n")
+        if final and self.parts:
+            yield self.start, "".join(self.parts).strip()
 
 
 def split_statements(files: DataFrame) -> DataFrame:
-    """(path, line, sql) for every statement of every file, split on top-level semicolons."""
+    """(path, line, sql) for every statement of every file, split on top-level semicolons.
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            rows = [(p, n, s) for p, x in zip(batch["path"], batch["text"]) for n, s in _statements(x)]
-            yield pd.DataFrame(rows, columns=["path", "line", "sql"])
+    A text reaches the worker in pieces, in order, and statements leave it in batches, so a worker holds one batch of
+    pieces and the statement it is in, however long a file is or however many files a task has.
+    """
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names, found, path, splitter = ["path", "line", "sql"], [], None, _Splitter()
 
-    return files.select("path", "text").mapInPandas(run, "path string, line int, sql string")
+        def filled() -> pa.RecordBatch:
+            rows = [pa.array(c, t) for c, t in zip(zip(*found), (pa.string(), pa.int32(), pa.string()))]
+            found.clear()
+            return pa.RecordBatch.from_arrays(rows, names)
+
+        for batch in batches:
+            places, last = batch.column(1).to_pylist(), batch.column(2).to_pylist()
+            at = 0
+            while at < len(places):
+                if places[at] == 0:
+                    path, splitter = batch.column(0)[at].as_py(), _Splitter()
+                # The pieces of one text up to its last one or the end of the batch.
+                end = at
+                while end + 1 < len(places) and not last[end]:
+                    end += 1
+                text = "".join(batch.column(3).slice(at, end + 1 - at).to_pylist())
+                for line, sql in splitter.feed(text, last[end]):
+                    found.append((path, line, sql))
+                    if len(found) == STATEMENTS:
+                        yield filled()
+                at = end + 1
+        if found:
+            yield filled()
+
+    pieces = F.regexp_extract_all("text", F.lit(f"(?s).{{1,{PIECE}}}"), F.lit(0))
+    # Only a text's first piece carries its path.
+    handed = files.select("path", pieces.alias("_pieces")).select("path", F.size("_pieces").alias("_n"), F.posexplode("_pieces").alias("_i", "_text"))
+    handed = handed.select(F.when(F.col("_i") == 0, F.col("path")).alias("path"), "_i", (F.col("_i") == F.col("_n") - 1).alias("_last"), "_text")
+    return handed.mapInArrow(run, "path string, line int, sql string")
 
 
 def corpus_counts(files: DataFrame, patterns: dict[str, str], only_if: str | None = None) -> DataFrame:
