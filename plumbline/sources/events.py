@@ -55,11 +55,12 @@ def parse_events(lines: DataFrame) -> tuple[DataFrame, DataFrame]:
     An event holds exactly the known keys, each of its type; a NULL where a value is required counts as
     broken. Quarantined rows are (value, reason): the line as it came and the first rule that it breaks.
     """
-    read = lines.select(
-        "value", F.from_json("value", OPERATION_EVENT).alias("_event"),
-        F.from_json("value", "map<string,string>").alias("_found"),
+    parsed = F.struct(
+        F.from_json("value", OPERATION_EVENT).alias("_event"), F.from_json("value", "map<string,string>").alias("_found"),
         F.from_json(F.get_json_object("value", "$.statements"), "array<map<string,string>>").alias("_statements"),
     )
+    # One generated row per line: a filter on the reason would parse the text again for every rule.
+    read = lines.select("value", F.explode(F.array(parsed)).alias("_p")).select("value", "_p.*")
     kind = read.schema["_event"].dataType
     rules = _rules(kind.names, kind["statements"].dataType.elementType.names)
     broken = F.coalesce(*[F.when(~F.coalesce(ok, F.lit(False)), F.lit(name)) for name, ok in rules.items()])
