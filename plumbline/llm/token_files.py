@@ -36,7 +36,7 @@ END = 1
 FILE_BYTES = 64 << 20
 STRIPE_BYTES = 16 << 20
 #: Bytes of text that are divided at once.
-CHUNK_BYTES = 4 << 20
+CHUNK_BYTES = 8 << 20
 REMEMBERED = 690_000
 #: A character that stands between words that are encoded together; words that hold it are encoded on their own.
 MARK = "\x01"
@@ -44,7 +44,7 @@ MARK = "\x01"
 NORMALIZERS = [{"type": "NFC"}, {"type": "Replace", "pattern": {"Regex": r"\s+"}, "content": " "}, {"type": "Lowercase"}]
 DIVISION = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 #: Latin-1 without spaces and controls, and its lower-case letters and its numbers.
-LATIN = re.compile("[!-~\xa1-\xff]+")
+LATIN, LATIN_LINES = re.compile("[!-~\xa1-\xff]+"), re.compile("[!-~\xa1-\xff\n]+")
 _LETTERS, _NUMBERS = "a-z\xaa\xb5\xba\xdf-\xf6\xf8-\xff", "0-9\xb2\xb3\xb9\xbc-\xbe"
 PIECES = re.compile(f"\n|'s|'t|'re|'ve|'m|'ll|'d|[{_LETTERS}]+|[{_NUMBERS}]|[^\n{_LETTERS}{_NUMBERS}]+")
 SCHEMA = "doc_id long, part int, place long, n_tokens int, ids array<int>"
@@ -153,7 +153,10 @@ class Encoder:
         if fresh:
             text = "\n".join(fresh)
             special = [t for t in self.added if t in text]
-            plain = [w for w in fresh if LATIN.fullmatch(w)] if self.divided else []
+            if self.divided and "" not in fresh and LATIN_LINES.fullmatch(text):
+                plain = list(fresh)
+            else:
+                plain = [w for w in fresh if LATIN.fullmatch(w)] if self.divided else []
             if special:
                 plain = [w for w in plain if not any(t in w for t in special)]
             if plain:
@@ -231,6 +234,6 @@ def with_checksums(tokens: DataFrame) -> DataFrame:
     def crc(column: pa.Array) -> pa.Array:
         bounds = np.asarray(column.offsets)
         values = np.asarray(column.values).astype("<u4")
-        return pa.array([zlib.crc32(values[a:b].tobytes()) for a, b in zip(bounds[:-1], bounds[1:])], pa.int64())
+        return pa.array([zlib.crc32(values[a:b]) for a, b in zip(bounds[:-1], bounds[1:])], pa.int64())
 
     return tokens.select("doc_id", "start", "n_tokens", crc("ids").alias("ids_crc32"))
