@@ -167,3 +167,18 @@ def test_outcomes_are_dealt_before_they_are_grouped(spark):
     plan = judged._jdf.queryExecution().executedPlan().toString()
     assert plan.rindex("Aggregate(") < plan.index("Exchange hashpartitioning(app")  # no group is kept by the task that reads
     assert {(r.entry_id, r.detected) for r in judged.collect()} == {(e, e % 2 == 1) for e in range(50)}
+
+
+def test_findings_of_one_spot_are_searched_once(spark, monkeypatch):
+    searched, overlaps = [], scoring.overlaps
+    monkeypatch.setattr(scoring, "overlaps", lambda left, *rest: searched.append(left.count()) or overlaps(left, *rest))
+    findings = [finding(f"a{i}", "MISSING_INDEX_ON_FILTERED_FIELD", "./f.ts", 3, confidence="LOW" if i % 2 else "HIGH") for i in range(40)]
+    findings += [finding(f"b{i}", "NULL_SPIKE", table="t", column="c") for i in range(30)] + [finding("c", "SQL_UNBOUNDED_MUTATION")] * 3
+    entries = [entry(f"i{i}", "missing_index", file="f.ts", line=1, end=5, endpoint="/") for i in range(4)]
+    entries += [entry("n", "null_spike", table="t", column="c"), entry("o", "null_spike", table="t", column="d")]
+    assert totals(spark, findings, entries) == (5, 3, 1, 65)
+    assert searched == [2]
+    contents = scoring._contents(spark.createDataFrame(findings, FINDING))
+    plan = contents._jdf.queryExecution().executedPlan().toString()
+    assert "SortAggregate(" not in plan and "Exchange hashpartitioning(finding" in plan
+    assert sorted(r["n"] for r in contents.collect()) == [1] * 70 + [3]
