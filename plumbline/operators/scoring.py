@@ -419,6 +419,10 @@ def result_rows(scored: dict[str, DataFrame], universe: DataFrame, first_detecti
 
     ``universe``: app, problem_type, units. ``first_detection``: app, entry_id, latency_s.
     """
+    # Both are read twice, by the counts and by the sizes or the unmapped row.
+    judged = cut(scored["entries"].select("app", "problem_type", "outcome"))
+    summed = scored["findings"].groupBy("app", "problem_type").agg(F.sum("fp").alias("fp"), F.sum("duplicates").alias("duplicates"))
+    scored = scored | {"entries": judged, "findings": cut(summed)}
     counts = counts_rollup(scored).where(F.col("level") == "problem_type").drop("level", "category")
     sizes = scored["entries"].groupBy("app", "problem_type").agg(F.count(F.lit(1)).alias("entries"))
     found = scored["matches"].withColumn("rank", _literal(CONFIDENCE_RANK, F.col("confidence")))

@@ -182,3 +182,19 @@ def test_findings_of_one_spot_are_searched_once(spark, monkeypatch):
     plan = contents._jdf.queryExecution().executedPlan().toString()
     assert "SortAggregate(" not in plan and "Exchange hashpartitioning(finding" in plan
     assert sorted(r["n"] for r in contents.collect()) == [1] * 70 + [3]
+
+
+def test_result_rows_read_outcomes_once(spark, tmp_path):
+    findings = [finding(f"a{i}", "NULL_SPIKE", table="t", column="c") for i in range(5)] + [finding("u", "SQL_UNBOUNDED_MUTATION")] * 2
+    findings += [finding("x", "NULL_SPIKE", table="other", column="c")]
+    entries = [entry("1", "null_spike", table="t", column="c"), entry("2", "null_spike", table="t", column="d")]
+    scored = run(spark, findings, entries)
+    for name, rows in scored.items():
+        rows.write.parquet(f"{tmp_path}/{name}")
+    scored = {name: spark.read.parquet(f"{tmp_path}/{name}") for name in scored}
+    universe = spark.createDataFrame([("shop", "null_spike", 12)], "app string, problem_type string, units long")
+    rows = scoring.result_rows(scored, universe)
+    left = {file.split("/")[-2] for file in rows.inputFiles() if str(tmp_path) in file}
+    assert left <= {"matches"}  # outcomes were read when they were summed
+    got = {r["problem_type"]: (r["entries"], r["tp"], r["fp"], r["fn"], r["duplicates"], r["fpr"], r["mean_tp_confidence"]) for r in rows.collect()}
+    assert got == {"null_spike": (2, 1, 1, 1, 4, 0.1, 3.0), "unmapped": (0, 0, 2, 0, 0, None, None)}
